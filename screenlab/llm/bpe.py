@@ -6,7 +6,8 @@ prefix of a pre-token has one encoding, so one last token. The transducer reads
 right and keeps, for the bytes not yet emitted, the last token at each position. A later token can start
 only where the bytes since then begin some vocabulary entry. Once the paths back from all those places
 meet, what lies before the meeting point cannot change any more and is emitted; the lookahead is at most
-the longest vocabulary entry. A state is the last token emitted and the bytes pending behind it; states
+the longest vocabulary entry. A state is what is pending; the token emitted last is a register beside it,
+asked only whether a token may start right behind it. So texts share states whatever came before. States
 and transitions are made when first met and kept up to a bound.
 """
 
@@ -31,36 +32,36 @@ def read_ranks(lines) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-_BYTES = [bytes((i,)) for i in range(256)]
-
 #: A rank beyond all others.
 _NEVER = 1 << 62
 
 
 class _State:
-    """Bytes pending after the last emitted token.
+    """What is pending after the last emitted token.
 
     ``back[j]`` is (start, token) of the last token of the prefix that ends after ``j + 1`` pending bytes;
-    ``live`` are (start, token before, vocabulary entries by next byte) of places where a token may still grow.
+    ``live`` are (start, token before, vocabulary entries by next byte) of places where a token may still
+    grow, the token before the first place being the register. ``steps`` has for each byte the token that
+    would reach from the first place to here, and where to go if it may, and if not.
     """
 
-    __slots__ = ("back", "live", "pending", "prev", "steps", "tail")
+    __slots__ = ("back", "live", "steps", "tail")
 
-    def __init__(self, prev: int, pending: bytes, back: tuple, live: tuple):
-        self.prev, self.pending, self.back, self.live = prev, pending, back, live
-        self.steps: dict[int, tuple[tuple[int, ...], _State]] = {}
+    def __init__(self, back: tuple, live: tuple):
+        self.back, self.live = back, live
+        self.steps: dict[int, list] = {}
         self.tail: tuple[int, ...] | None = None
 
 
 class Transducer:
     """Encodes pre-tokens with ``ranks`` (token bytes to rank; all 256 bytes present)."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 280_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 200_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._events: dict[int, list[tuple]] = {}
-        self._states: dict[tuple[int, bytes], _State] = {}
+        self._states: dict[tuple, _State] = {}
         # by first byte: (token or None, entries by next byte or None); tokens that merging cannot reach are left out
         grow: dict = {}
         for token, rank in ranks.items():
@@ -76,8 +77,10 @@ class Transducer:
         return {byte: (token, self._closed(below) if below else None) for byte, (token, below) in grow.items()}
 
     def _fresh(self) -> _State:
+        for state in self._states.values():
+            state.steps.clear()  # they point at each other
         self._states.clear()
-        return self._states.setdefault((-1, b""), _State(-1, b"", (), ((0, -1, self._root),)))
+        return self._states.setdefault((), _State((), ((0, -1, self._root),)))
 
     def _merged(self, piece: bytes, events: list | None = None) -> list[int]:
         """Plain merging by lowest rank, leftmost first; for compiling only.
@@ -133,47 +136,45 @@ class Transducer:
             self._pairs[left, right] = known
         return known
 
-    def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
-        back, size, pairs = state.back, len(state.back) + 1, self._pairs
-        live, last = [], None
+    def _first(self, state: _State, byte: int) -> list:
+        """The token from the first place that ``byte`` completes, and room for where to go."""
+        start, _, node = state.live[0]
+        below = node.get(byte) if not start else None
+        return [below[0] if below is not None else None, None, None]
+
+    def _step(self, state: _State, byte: int, first: int | None) -> tuple[tuple[int, ...], _State]:
+        """Emitted tokens and next state; ``first`` is the token from the first place if it may stand there."""
+        back, size = state.back, len(state.back) + 1
+        live, last = [], None if first is None else (0, first)
         for start, before, node in state.live:
             below = node.get(byte)
             if below is not None:
                 token, more = below
-                if last is None and token is not None:
-                    known = pairs.get((before, token))
-                    if known or (known is None and self._agree(before, token)):
-                        last = (start, token)
+                if start and last is None and token is not None and self._agree(before, token):
+                    last = (start, token)
                 if more is not None:
                     live.append((start, before, more))
         if last is None:
             raise ValueError("the ranks lack a single byte")
+        back = (*back, last)
         # the last place that the paths back from all live places share
         shared = size
         for start, _, _ in live:
             while shared != start:
                 if shared > start:
-                    shared = back[shared - 1][0] if shared < size else last[0]
+                    shared = back[shared - 1][0]
                 else:
                     start = back[start - 1][0]
             if not shared:
                 break
-        prev, pending = state.prev, state.pending + _BYTES[byte]
-        out: tuple[int, ...] = ()
+        live.append((size, last[1], self._root))
+        out = self._path(back, shared)
         if shared:
-            out = self._path((*back, last), shared)
-            prev, pending = out[-1], pending[shared:]
-        there = self._states.get((prev, pending))
+            back = tuple([(start - shared if start > shared else 0, token) for start, token in back[shared:]])
+            live = [(start - shared, before if start > shared else -1, node) for start, before, node in live]
+        there = self._states.get(back)  # tells all: the bytes pending, and so the live places
         if there is None:
-            live.append((size, last[1], self._root))
-            if shared == size:
-                back, live = (), [(0, prev, self._root)]
-            elif shared:
-                back = tuple([(start - shared if start > shared else 0, token) for start, token in (*back[shared:], last)])
-                live = [(start - shared, before, node) for start, before, node in live]
-            else:
-                back = (*back, last)
-            there = self._states[prev, pending] = _State(prev, pending, back, live)
+            there = self._states[back] = _State(back, tuple(live))
         return out, there
 
     @staticmethod
@@ -186,34 +187,58 @@ class Transducer:
 
     def stream(self, piece: bytes) -> Iterator[tuple[int, ...]]:
         """Tokens of one pre-token, each as soon as no later byte can change it."""
-        state = self._start
+        state, prev, pairs = self._start, -1, self._pairs
         for byte in piece:
-            if byte not in state.steps:
-                state.steps[byte] = self._step(state, byte)
-            out, state = state.steps[byte]
-            yield out
-        yield self._rest(state)
-
-    def _rest(self, state: _State) -> tuple[int, ...]:
+            found = state.steps.get(byte)
+            if found is None:
+                found = state.steps[byte] = self._first(state, byte)
+            first = found[0]
+            may = 2
+            if first is not None:
+                known = prev < 0 or pairs.get((prev, first))
+                may = 1 if (self._agree(prev, first) if known is None else known) else 2
+            out, state = found[may] or self._fill(state, byte, found, may)
+            if out:
+                prev = out[-1]
+                yield out
         if state.tail is None:
             state.tail = self._path(state.back, len(state.back))
+        yield state.tail
         if len(self._states) > self.max_states:
             self._start = self._fresh()
-        return state.tail
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of one pre-token; a pre-token that is itself an entry is that entry."""
-        if piece in self.ranks:
-            return (self.ranks[piece],)
-        state, out = self._start, ()
+        """Tokens of one pre-token; a pre-token that is itself an entry is that entry. The loop is that of ``stream``."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return (whole,)
+        state, prev, pairs, made = self._start, -1, self._pairs, ()
         for byte in piece:
             found = state.steps.get(byte)
             if found is None:
-                found = state.steps[byte] = self._step(state, byte)
-            if found[0]:
-                out += found[0]
-            state = found[1]
-        return out + self._rest(state)
+                found = state.steps[byte] = self._first(state, byte)
+            first = found[0]
+            if first is None:
+                step = found[2] or self._fill(state, byte, found, 2)
+            else:
+                known = prev < 0 or pairs.get((prev, first))
+                if known is None:
+                    known = self._agree(prev, first)
+                step = found[2 - known] or self._fill(state, byte, found, 2 - known)
+            out, state = step
+            if out:
+                prev = out[-1]
+                made += out
+        if state.tail is None:
+            state.tail = self._path(state.back, len(state.back))
+        made += state.tail
+        if len(self._states) > self.max_states:
+            self._start = self._fresh()
+        return made
+
+    def _fill(self, state: _State, byte: int, found: list, may: int) -> tuple:
+        found[may] = self._step(state, byte, found[0] if may == 1 else None)
+        return found[may]
 
 
 #: Byte classes of UTF-8 (RFC 3629) as (first, last, class), and for each state the classes
@@ -291,18 +316,19 @@ class Codec:
     The cuts of ``chunks`` hold for the public pattern of letters, numbers, other marks and white space.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words_kept: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words_kept: int = 300_000):
         self.transducer = Transducer(ranks)
         self.bytes_of = self.transducer.bytes_of
         self.open_ids = StreamDecoder.open_tokens(self.bytes_of)
         self.digits = {i: str(i) for i in self.bytes_of}
+        self._tails = Memo(lambda tail: self.transducer.encode(tail.encode()), 100)
         self._find, self._words = regex.compile(pattern).findall, Memo(self._word, words_kept)
 
     def _word(self, part: str) -> tuple[int, ...]:
         """Tokens of a part after a space."""
         stem, tail = split_tail(part)
         if tail:
-            return self._words[stem] + self.transducer.encode(tail.encode())
+            return self._words[stem] + self._tails[tail]
         if part.isalpha():  # one pre-token
             return self.transducer.encode(b" " + part.encode())
         return self._plain(" " + part)
