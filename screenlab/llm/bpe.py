@@ -56,7 +56,7 @@ class _State:
 class Transducer:
     """Encodes pre-tokens with ``ranks`` (token bytes to rank; all 256 bytes present)."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 180_000, max_pairs: int = 400_000):
         self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -316,12 +316,12 @@ class Codec:
     The cuts of ``chunks`` hold for the public pattern of letters, numbers, other marks and white space.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words_kept: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, words_kept: int = 500_000):
         self.transducer = Transducer(ranks)
         self.bytes_of = self.transducer.bytes_of
         self.open_ids = StreamDecoder.open_tokens(self.bytes_of)
         self.digits = {i: str(i) for i in self.bytes_of}
-        self._tails = Memo(lambda tail: self.transducer.encode(tail.encode()), 100)
+        self._tails = Memo(lambda tail: self.transducer.encode(tail.encode()), 10_000)
         self._find, self._words = regex.compile(pattern).findall, Memo(self._word, words_kept)
 
     def _word(self, part: str) -> tuple[int, ...]:
@@ -340,7 +340,7 @@ class Codec:
         head, *rest = parts(text)
         return [*self._plain(head), *chain.from_iterable(map(self._words.__getitem__, rest))]
 
-    def decode(self, ids: list[int], block: int = 65_536) -> Iterator[str]:
+    def decode(self, ids: list[int], block: int = 4_096) -> Iterator[str]:
         decoder = StreamDecoder(self.bytes_of, self.open_ids)
         for i in range(0, len(ids), block):
             yield decoder.feed(ids[i : i + block])

@@ -38,7 +38,7 @@ class LibraryEncoder:
 
     def __init__(self, path: str, parts_kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        self.limit, self.memo = parts_kept, {}
+        self.limit, self.memo, self.marks = parts_kept, {}, {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -86,15 +86,11 @@ class LibraryEncoder:
         for words in cut:
             seen.update(words[1:])
         seen.difference_update(memo)
-        stems = {stem for part in seen for stem in split_tail(part) if stem}
-        marks = {tail for part in seen if (tail := split_tail(part)[1])}
-        fresh = self._learn([s for s in stems - marks if s not in memo])
+        fresh = self._learn([s for s in {split_tail(part)[0] for part in seen} if s not in memo])
         for part in seen:
             stem, tail = split_tail(part)
             if tail:
                 fresh[part] = (memo.get(stem) or fresh[stem]) + self._mark(tail)
-            elif part not in fresh:
-                fresh[part] = self._learn([part])[part]
         room = self.limit - len(memo)
         if room > 0:
             memo.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
@@ -106,7 +102,9 @@ class LibraryEncoder:
         return [[*head, *chain.from_iterable(map(get, words[1:]))] for head, words in zip(heads, cut)]
 
     def _mark(self, tail: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.model.model.tokenize(tail))
+        if tail not in self.marks:
+            self.marks[tail] = tuple(t.id for t in self.model.model.tokenize(tail))
+        return self.marks[tail]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
