@@ -75,7 +75,7 @@ def soft_samples(spark: SparkSession, path: str) -> DataFrame:
 
     Lines belong to the last sample line before them; metadata files are one task's work.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     starts = F.sum((F.col("line").startswith("^SAMPLE")).cast("int")).over(Window.orderBy("n"))
     rows = raw.withColumn("s", starts).filter("s > 0 AND line LIKE '!Sample_%'")
     pair = F.split(F.substring("line", 9, 1 << 20), r"\s*=\s*", 2)
