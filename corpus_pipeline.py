@@ -10,17 +10,15 @@ from pyspark.sql import functions as F
 
 from screenlab.llm import bpe, contamination, language, secrets, simhash
 from screenlab.llm.queries import pattern, vocabulary
-from screenlab.llm.store import staged, table
+from screenlab.llm.store import numbered, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language at even odds or better; text without a letter and null text go."""
     model = language.fit(docs)
-    found = language.identify(docs, model, docs.columns)
-    # predicted columns stand after the rows' own, whatever those are called
-    n = len(docs.columns)
-    found = found.toDF(*[f"__c{i}" for i in range(n)], "__lang", "__score")
-    return found.filter((F.col("__lang") != language.UNDETERMINED) & (F.col("__score") >= 0.5)).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    inner = numbered(docs)
+    found = language.identify(inner, model, inner.columns, text=f"__c{docs.columns.index('text')}")
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)).select(*inner.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that benchmark passages do not make up a twentieth of."""
     columns = docs.columns
-    inner = docs.toDF(*[f"__c{i}" for i in range(len(columns))])
+    inner = numbered(docs)
     text = f"__c{columns.index('text')}"
     found = contamination.decontaminate(inner, table(spark, sf_dir, "benchmark"), inner.columns, text=text)
-    return found.filter("NOT contaminated").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
+    return found.filter("NOT contaminated").select(*inner.columns).toDF(*columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunks import Memo, parts, split_tail, windows
+from .store import kept
 
 
 def read_ranks(lines) -> dict[bytes, int]:
@@ -377,7 +378,7 @@ def encode_texts(docs: DataFrame, ranks_file: Callable[[], str], pattern: str, k
     empty: no tokens. Special strings are plain text. Rows stay independent: repeated rows give repeated
     results, an empty table an empty one. Texts are encoded in windows of about ``step`` characters.
     """
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = docs.select(*[docs[c] for c in kept(keep, out)], docs[text].alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(k, FIELDS[k][0]) for k in out)])
 
     def rows(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import staged
+from .store import kept, staged
 
 #: Fixed value: what a word is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,7 +98,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text: str
     passes over the rows, whose hits add up. Null text has no words and no hits; items without words have
     no windows; repeated rows give repeated results; without items nothing is contaminated.
     """
-    rows = docs.select(*[docs[c] for c in keep], F.lit(None).cast("binary").alias("__bits"), F.lit(None).cast("array<string>").alias("__items"), docs[text].alias("__text"))
+    rows = docs.select(*[docs[c] for c in kept(keep, ["n_words", "n_hit", "contaminated"])], F.lit(None).cast("binary").alias("__bits"), F.lit(None).cast("array<string>").alias("__items"), docs[text].alias("__text"))
     shards = list(item_shards(items, item_id, item_text, most_bytes))
     for k, shard in enumerate(shards):
         rows = _pass(rows, shard, size, k + 1 == len(shards), spans)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .chunks import parts, split_tail, windows
+from .store import kept
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,7 @@ def count_tokens(docs: DataFrame, vocabulary: Callable[[], str], keep: list[str]
     give repeated results, an empty table an empty one. ``vocabulary`` is called on the executor and
     gives the vocabulary file's path there. Batches hold about ``most_bytes`` of text.
     """
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = docs.select(*[docs[c] for c in kept(keep, ["n_bytes", "n_tokens", "over_limit"])], docs[text].alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def rows(batches):

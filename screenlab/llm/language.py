@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import kept
+
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}").search
 #: Odd multipliers of the n-gram hash, one for each place.
@@ -116,10 +118,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep``, lang_pred and score (0 to 1) of each row, from its text alone.
 
     Null text and text without a letter are ``und`` with score 0, as is every row if no language was
-    learned. Repeated rows give repeated results, an empty table an empty one; long texts are scored whole.
+    learned. Repeated rows give repeated results, an empty table an empty one; columns in ``keep`` that are
+    named like a result are left out; long texts are scored whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = docs.select(*[docs[c] for c in kept(keep, ["lang_pred", "score"])], docs[text].alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def rows(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import joined, let, match_spans, shown
-from .store import staged
+from .store import kept, staged
 
 #: The strong patterns, made possessive where that cannot change a match, and started only
 #: at the end of a match or the start of a run, as no match starts later inside a run where its start fails.
@@ -146,6 +146,7 @@ def scan_personal(docs: DataFrame, keep: list[str], text: str = "text", least: f
     repeated rows give repeated results; without candidates only strong spans are reported; an empty
     table gives an empty result.
     """
+    keep = kept(keep, [f"n_{k}" for k in BASE])
     value = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(*[docs[c] for c in keep], value.alias("__text"), strong(value).alias("__found"))
     rows = rows.select(*keep, *[shown(k, F.col("__found")[k]).alias(f"__{k}") for k in BASE], candidates(F.col("__text"), F.col("__found")).alias("__candidates"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import kept
+
 #: Fixed value: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -47,7 +49,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and the counts of each whole text. Null and empty texts count 0 throughout."""
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = docs.select(*[docs[c] for c in kept(keep, list(MEASURES))], docs[text].alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def rows(batches):

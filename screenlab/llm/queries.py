@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, contamination, counts, language, personal, quality, secrets, simhash, tokenfile, warc
-from .store import table
+from .store import staged, table
 
 
 def vocabulary(name: str) -> Callable[[], str]:
@@ -37,10 +37,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    measured = quality.measured(docs, ["doc_id", "lang"])
+    measured = staged(quality.measured(docs, ["doc_id", "lang"]), "measures")  # texts are read once and never shuffled
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    holdout = quality.measured(docs.join(good, "doc_id", "left_semi"), ["doc_id", "lang"])
-    cutoffs = quality.fit_cutoffs(holdout, F.lit(True), F.col("lang"))
+    cutoffs = quality.fit_cutoffs(measured.join(good, "doc_id", "left_semi"), F.lit(True), F.col("lang"))
     return quality.judged(measured, cutoffs, F.col("lang"), ["doc_id"])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import joined, masked, match_spans, shown
+from .store import kept, numbered
 
 #: The strong patterns. A shorter run of the second and third is no match at all, and no
 #: match starts inside one, so their lengths are asked for in the pattern; the first is checked afterwards.
@@ -71,6 +72,7 @@ def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text", scope: in
     Null text counts as empty. Spans depend on the text alone, so repeated rows and copies have the same
     ones; links join back by the text's MD5. An empty table gives an empty result.
     """
+    keep = kept(keep, [f"n_{k}" for k in KINDS[:3]])
     value = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(*[docs[c] for c in keep], F.md5(F.encode(value, "utf-8")).alias("__key"), strong(value).alias("__found"))
     base = F.array_sort(F.concat(*[shown(k, F.col("__found")[k], i) for i, k in enumerate(KINDS[:3])]))
@@ -81,8 +83,10 @@ def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text", scope: in
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """The rows with all secrets in ``text`` replaced by ``mark``; the other columns stay. Null text stays null."""
-    found = scan_secrets(docs, docs.columns, text, scope)
-    return found.withColumn(text, masked(F.col(text), F.col("__spans"), mark)).select(*docs.columns)
+    inner, columns = numbered(docs), docs.columns
+    at = f"__c{columns.index(text)}"
+    found = scan_secrets(inner, inner.columns, at, scope).withColumn(at, masked(F.col(at), F.col("__spans"), mark))
+    return found.select(*inner.columns).toDF(*columns)
 
 
 def digests(found: DataFrame, keep: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import staged
+from .store import kept, staged
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", size: int = 3) -> DataFrame:
     """``keep`` and __fp (the fingerprint's 64 bits as a signed long) of every row. Null text has no words."""
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    source = docs.select(*[docs[c] for c in kept(keep, ["__fp"])], docs[text].alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__fp", T.LongType())])
 
     def rows(batches):

@@ -41,3 +41,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(keep: list[str], made: list[str]) -> list[str]:
+    """Columns to carry along: each once, without those whose name a result column has."""
+    return [c for c in dict.fromkeys(keep) if c not in set(made)]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as ``__c0``, ``__c1`` ..., which clash with nothing."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
