@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,9 @@ class LibraryEncoder:
     look across any cut.
     """
 
-    def __init__(self, path: str, parts_kept: int = 400_000):
+    def __init__(self, path: str, parts_kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        self.limit, self.memo, self.marks = parts_kept, {}, {}
+        self.limit, self.memo, self.marks = parts_kept, _Known(), {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -66,12 +66,25 @@ class LibraryEncoder:
             for code in (*range(0x800), 0x800, *range(0x1000, 0xD000, 0x1000), 0xD000, 0xE000, 0xF000, 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000):
                 self.table |= dict(zip(chr(code).encode(), shown.pre_tokenize_str(chr(code))[0][0]))
 
-    def _learn(self, missing: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of parts after a space: a word of letters goes straight to the model, others through the whole pipeline."""
-        found, odd, tokenize, table = {}, [], self.model.model.tokenize, self.table
+    def _letters(self, word: str) -> tuple[int, ...]:
+        """Ids of a pre-token of letters (a space may stand before it), straight from the library's model."""
+        return tuple([t.id for t in self.model.model.tokenize(word.encode().decode("latin-1").translate(self.table))])
+
+    def _learn(self, missing: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of parts after a space: letters with or without closing marks by the model, others by the whole library."""
+        found, odd, memo = {}, [], self.memo
         for part in missing:
             if part.isalpha():
-                found[part] = tuple([t.id for t in tokenize((b" " + part.encode()).decode("latin-1").translate(table))])
+                found[part] = self._letters(" " + part)
+                continue
+            stem, tail = split_tail(part)
+            if tail and stem.isalpha():
+                ids = dict.get(memo, stem) or found.get(stem)
+                if ids is None:
+                    ids = found[stem] = self._letters(" " + stem)
+                if tail not in self.marks:
+                    self.marks[tail] = tuple([t.id for t in self.model.model.tokenize(tail)])
+                found[part] = ids + self.marks[tail]
             else:
                 odd.append(part)
         if odd:
@@ -82,30 +95,23 @@ class LibraryEncoder:
         """Ids of each text."""
         if not self.cuts:
             return self.whole(texts)
-        cut = [parts(text) for text in texts]
-        memo, seen = self.memo, set()
+        cut, memo, seen = [parts(text) for text in texts], self.memo, set()
         for words in cut:
             seen.update(words[1:])
-        seen.difference_update(memo)
-        fresh = self._learn([s for s in {split_tail(part)[0] for part in seen} if s not in memo])
-        for part in seen:
-            stem, tail = split_tail(part)
-            if tail:
-                fresh[part] = (memo.get(stem) or fresh[stem]) + self._mark(tail)
+        memo.rest = self._learn(seen.difference(memo))
         room = self.limit - len(memo)
         if room > 0:
-            memo.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
-        if room < len(fresh):
-            get = lambda part: memo.get(part) or fresh[part]
-        else:
-            get = memo.__getitem__
-        heads = self.whole([words[0] for words in cut])
-        return [[*head, *chain.from_iterable(map(get, words[1:]))] for head, words in zip(heads, cut)]
-
-    def _mark(self, tail: str) -> tuple[int, ...]:
-        if tail not in self.marks:
-            self.marks[tail] = tuple(t.id for t in self.model.model.tokenize(tail))
-        return self.marks[tail]
+            memo.update(memo.rest if len(memo.rest) <= room else dict(islice(memo.rest.items(), room)))
+        plain = {w[0] for w in cut if not w[0].isalpha()}
+        heads = dict(zip(plain, self.whole(list(plain))))
+        return [[*(heads[w[0]] if w[0] in plain else self._letters(w[0])), *chain.from_iterable(map(memo.__getitem__, w[1:]))] for w in cut]
+
+
+class _Known(dict):
+    """Remembered parts; those of the batch at hand that there is no room for stand in ``rest``."""
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        return self.rest[part]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}

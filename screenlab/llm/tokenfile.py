@@ -131,7 +131,6 @@ def write_tokens(docs: DataFrame, vocabulary: Callable[[], str], files: int | No
 
     def write(batches):
         codes, out, total = encoder(vocabulary()), None, 0
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             for rows, ids in encode_rows(batch, codes, most_bytes):
                 if out is None:
@@ -140,8 +139,9 @@ def write_tokens(docs: DataFrame, vocabulary: Callable[[], str], files: int | No
                     sink = writer(system, f"{path}/{name}")
                     out = TokenFile(sink)
                 for key, x in zip(rows.column(0).to_pylist(), ids):
-                    out.add(key, np.concatenate([np.asarray(x, np.uint32), end]))
-                    total += len(x) + 1
+                    x.append(end_id)
+                    out.add(key, np.array(x, np.uint32))
+                    total += len(x)
         if out is not None:
             out.finish()
             sink.close()
