@@ -48,3 +48,14 @@ def presence_or_zero(rows: DataFrame, features: DataFrame, measured: DataFrame,
 def log_ratio(a: Column, b: Column) -> Column:
     """log2((a + 1) / (b + 1)); NULL where one is not measured."""
     return F.log2((a + 1) / (b + 1))
+
+
+def rolled_up(df: DataFrame, sample: str, donor: str, keys: list[str], count: str) -> DataFrame:
+    """Sums by donor with the samples that went into them."""
+    return df.groupBy(donor, *keys).agg(F.sum(count).alias(count), F.array_join(F.array_sort(F.collect_set(F.col(sample).cast("string"))), ";").alias("samples"))
+
+
+def donor_summary(df: DataFrame, keys: list[str], donor: str, value: str) -> DataFrame:
+    """Donors counted alike: their number, and median, least and most of their values."""
+    per = df.groupBy(*keys, donor).agg(F.avg(value).alias("__v"))
+    return per.groupBy(*keys).agg(F.count("*").alias("n_donors"), F.median("__v").alias("median"), F.min("__v").alias("least"), F.max("__v").alias("most"))

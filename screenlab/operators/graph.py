@@ -63,3 +63,21 @@ def beam_search(adjacent: dict[str, set[str]], reward: Callable[[frozenset], flo
 def non_additivity(pair_gain: float, one: float, two: float) -> float:
     """What a pair brings beyond its members."""
     return pair_gain - one - two
+
+
+def random_modules(adjacent: dict[str, set[str]], size: int, n: int, seed: str) -> list[list[str]]:
+    """Connected control sets of a size, grown from hashed choices, for graphs of candidate nodes."""
+    from hashlib import sha256
+
+    out = []
+    names = sorted(adjacent)
+    for i in range(n):
+        pick = lambda options, step: min(options, key=lambda x: sha256(f"{seed}|{i}|{step}|{x}".encode()).hexdigest())
+        chosen = {pick(names, 0)}
+        while len(chosen) < size:
+            edge = sorted({m for c in chosen for m in adjacent[c]} - chosen)
+            if not edge:
+                break
+            chosen.add(pick(edge, len(chosen)))
+        out.append(sorted(chosen))
+    return out

@@ -173,3 +173,64 @@ def cross_fitted(rows: DataFrame, entity: str, group: str, vector: str, targets:
     return data.groupBy("held").applyInPandas(fold, f"held {kind[group]}, {entity} {kind[entity]}, target string, prediction double")
 
 
+
+
+def block_sum(grams: dict[str, DataFrame], chosen: list[str]) -> DataFrame:
+    """The kernel of a configuration: the sum of its named blocks."""
+    from functools import reduce
+
+    rows = reduce(DataFrame.unionByName, [grams[name].select("id_a", "id_b", "dot") for name in chosen])
+    return rows.groupBy("id_a", "id_b").agg(F.sum("dot").alias("dot"))
+
+
+def permuted_kernel(gram: DataFrame, donors: DataFrame) -> DataFrame:
+    """A kernel as if each row had its donor's values: ids looked up twice, the products stay. ``gram`` holds both orders of a pair."""
+    a = donors.select(F.col("row_id").alias("new_a"), F.col("donor").alias("id_a"))
+    b = donors.select(F.col("row_id").alias("new_b"), F.col("donor").alias("id_b"))
+    return gram.join(a, "id_a").join(b, "id_b").select(F.col("new_a").alias("id_a"), F.col("new_b").alias("id_b"), "dot")
+
+
+def one_hot(df: DataFrame, entity: str, category: str, train: Column) -> DataFrame:
+    """Long indicator features of the categories that training rows have; other categories have none."""
+    names = df.filter(train).select(F.col(category).alias("__c")).distinct()
+    return df.join(names, F.col(category) == F.col("__c")).select(entity, F.concat(F.lit(f"{category}="), F.col("__c").cast("string")).alias("feature"), F.lit(1.0).alias("value"))
+
+
+def certificate(slopes: DataFrame, alpha: float) -> DataFrame:
+    """Largest violation of the lasso conditions by target, from weights and correlations (weight, slope) of each column."""
+    w, s = F.col("weight"), F.col("slope")
+    off = F.when(w != 0, F.abs(s - alpha * F.signum(w))).otherwise(F.greatest(F.abs(s) - alpha, F.lit(0.0)))
+    return slopes.groupBy("target").agg(F.max(off).alias("violation"), F.count_if(w != 0).alias("n_active"))
+
+
+def residualised(x: np.ndarray, y: np.ndarray, nuisance: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides less their ridge fit on nuisance columns: a fit of the rest on the rest is the joint fit's part."""
+    z = nuisance - nuisance.mean(axis=0)
+    solve = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T)
+    return (x - x.mean(axis=0)) - z @ (solve @ (x - x.mean(axis=0))), (y - y.mean(axis=0)) - z @ (solve @ (y - y.mean(axis=0)))
+
+
+def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the angles between two column spaces, largest first; blind to sign and rotation."""
+    qa, qb = np.linalg.qr(a)[0], np.linalg.qr(b)[0]
+    return np.clip(np.linalg.svd(qa.T @ qb, compute_uv=False), 0, 1)
+
+
+def refit_stability(rows: DataFrame, stratum: str, cluster: str, entity: str, vector: str, target: str, held: Column, draws: int, seed: str, k: int = 10) -> DataFrame:
+    """How often each held-out row is among the k lowest predictions of models refitted on cluster bootstraps, one draw a task."""
+    from .resample import cluster_bootstrap
+
+    train = cluster_bootstrap(rows.filter(~held).select(stratum, cluster, entity, vector, target), stratum, cluster, draws, seed).select("draw", entity, vector, target, F.lit(False).alias("__h"))
+    test = rows.filter(held).select(entity, vector, target).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", entity, vector, target, F.lit(True).alias("__h"))
+
+    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([entity], kind="stable")
+        h, x, y = pdf["__h"].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(float), pdf[[target]].to_numpy(float)
+        w, bias = component_ridge(x[~h], y[~h], 16, 1.0)
+        score = np.round((x[h] @ w + bias)[:, 0], 9)
+        ids = pdf[entity].to_numpy()[h]
+        return pd.DataFrame({"draw": pdf["draw"].iloc[0], entity: ids[np.lexsort((ids, score))[:k]]})
+
+    kind = dict(rows.dtypes)
+    picked = train.unionByName(test).groupBy("draw").applyInPandas(refit, f"draw int, {entity} {kind[entity]}")
+    return picked.groupBy(entity).agg((F.count("*") / draws).alias("frequency"))

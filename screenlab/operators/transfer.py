@@ -75,3 +75,30 @@ def z_against(rows: DataFrame, normal: DataFrame, column: str, value: str, floor
     """Deviation from the normal rows' mean over their sample SD, which counts as ``floor`` at least."""
     about = normal.groupBy(column).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"))
     return rows.join(about, column).withColumn("z", (F.col(value) - F.col("m")) / F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(floor))).drop("m", "s")
+
+
+def mapping_errors(mapped: DataFrame, truth: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """Root mean squared and mean absolute error and correlation of each row over shared columns."""
+    from .metrics import pearson
+
+    both = mapped.select(row, column, F.col(value).alias("m")).join(truth.select(row, column, F.col(value).alias("t")), [row, column])
+    d = F.col("m") - F.col("t")
+    return both.groupBy(row).agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), pearson(F.col("m"), F.col("t")).alias("pearson"))
+
+
+def recovery_audit(wanted: DataFrame, direct: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """How each wanted feature is found: direct, by one alias, by several (ambiguous), or not."""
+    d = direct.select(key).distinct().withColumn("__d", F.lit(True))
+    a = aliases.groupBy(key).agg(F.count_distinct("approved").alias("__n"), F.min("approved").alias("__a"))
+    status = F.when(F.col("__d"), "direct").when(F.col("__n") == 1, "alias").when(F.col("__n") > 1, "ambiguous").otherwise("missing")
+    return wanted.join(d, key, "left").join(a, key, "left").select(key, status.alias("status"), F.when(F.col("__d"), F.col(key)).when(F.col("__n") == 1, F.col("__a")).alias("source"))
+
+
+def imputed(df: DataFrame, means: DataFrame, column: str, value: str) -> DataFrame:
+    """Missing values replaced by a published mean of the column."""
+    return df.join(means.select(column, F.col("mean").alias("__m")), column, "left").withColumn(value, F.coalesce(value, "__m")).drop("__m")
+
+
+def event_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """1 where either table has a 1; pairs that neither has are absent."""
+    return a.select(*keys, "hit").unionByName(b.select(*keys, "hit")).groupBy(*keys).agg(F.max("hit").alias("hit"))

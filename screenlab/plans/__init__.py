@@ -1,6 +1,6 @@
 """Queries over the driver tables."""
 
-from . import evaluation, relations, screening
+from . import evaluation, further, relations, screening
 
-QUERIES = relations.QUERIES | screening.QUERIES | evaluation.QUERIES
-ORACLE_SQL = relations.ORACLE_SQL | screening.ORACLE_SQL | evaluation.ORACLE_SQL
+QUERIES = relations.QUERIES | screening.QUERIES | evaluation.QUERIES | further.QUERIES
+ORACLE_SQL = relations.ORACLE_SQL | screening.ORACLE_SQL | evaluation.ORACLE_SQL | further.ORACLE_SQL
