@@ -42,7 +42,7 @@ def presence_or_zero(rows: DataFrame, features: DataFrame, measured: DataFrame,
     have = measured.distinct().withColumn("__m", F.lit(True))
     every = rows.crossJoin(features)  # two small dimensions
     out = every.join(have, [c for c in have.columns if c != "__m"], "left").join(cells, keys, "left")
-    return out.select(*keys, F.coalesce("__m", F.lit(False)).alias("present"), F.when(F.col("__m"), F.coalesce(F.col(value), F.lit(0))).alias(value))
+    return out.select(*keys, F.coalesce("__m", F.lit(False)).alias("present"), F.when(F.col("__m"), F.coalesce(F.col(value), F.lit(0).cast(dict(cells.dtypes)[value]))).alias(value))
 
 
 def log_ratio(a: Column, b: Column) -> Column:

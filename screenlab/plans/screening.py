@@ -283,10 +283,10 @@ def mixture_profiles(spark, sf):
     return counts.mixtures(p, ["feature"], "a", "b").withColumn("profile", six("profile"))
 
 
-@register(_EVENTS + ", m AS (SELECT DISTINCT feature FROM counts WHERE feature <> 'click'), e AS (SELECT DISTINCT c.cell, f.feature FROM counts c, (SELECT DISTINCT feature FROM counts) f) SELECT e.cell, e.feature, m.feature IS NOT NULL AS present, CASE WHEN m.feature IS NOT NULL THEN coalesce(c.count, 0) END AS count FROM e LEFT JOIN m ON e.feature = m.feature LEFT JOIN counts c ON c.cell = e.cell AND c.feature = e.feature")
+@register(_EVENTS + ", m AS (SELECT DISTINCT feature FROM counts WHERE feature <> 'click'), e AS (SELECT DISTINCT c.cell, f.feature FROM counts c, (SELECT DISTINCT feature FROM counts) f) SELECT e.cell, e.feature, m.feature IS NOT NULL AS present, CASE WHEN m.feature IS NOT NULL THEN coalesce(c.count, 0)::DOUBLE END AS count FROM e LEFT JOIN m ON e.feature = m.feature LEFT JOIN counts c ON c.cell = e.cell AND c.feature = e.feature")
 def presence_vs_zero(spark, sf):
     c = event_counts(spark, sf)
-    return counts.presence_or_zero(c.select("cell").distinct(), c.select("feature").distinct(), c.filter("feature <> 'click'").select("feature").distinct(), c.select("cell", "feature", "count"), ["cell", "feature"], "feature", "count")
+    return counts.presence_or_zero(c.select("cell").distinct(), c.select("feature").distinct(), c.filter("feature <> 'click'").select("feature").distinct(), c.select("cell", "feature", F.col("count").cast("double").alias("count")), ["cell", "feature"], "feature", "count")
 
 
 @register("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
