@@ -20,11 +20,12 @@ from .store import kept
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim")
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int]:
-    """The five counts of ``MEASURES``; null text is empty."""
+def measure(text: str | None) -> tuple[int, int, int, int, int, int, int]:
+    """The counts of ``MEASURES``; null text is empty. The last two are the letters A-Z and exclamation marks."""
     data = (text or "").encode()
     words = data.split()
     n = len(words)
@@ -44,7 +45,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
             if seen[w] > 1:
                 again += i + 3 - max(i, upto)
                 upto = i + 3
-    return n, chars, symbols, repeated, again
+    return n, chars, symbols, repeated, again, len(data) - len(data.translate(None, UPPER)), data.count(b"!")
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -54,7 +55,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            made = list(zip(*(measure(t.as_py()) for t in batch.column(batch.num_columns - 1)))) or [()] * 5
+            made = list(zip(*(measure(t.as_py()) for t in batch.column(batch.num_columns - 1)))) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(m, pa.int64()) for m in made)], names=schema.names)
 
     return source.mapInArrow(rows, schema)
@@ -73,6 +74,8 @@ def rule_values() -> dict[str, Column]:
         "repeats": F.col("n_repeat_words") / n,
         "lines": F.col("n_dup_lines") / n,
         "long_words": F.col("word_chars") / n / 100,
+        "upper": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "exclaim": F.col("n_exclaim") / n,
     }
 
 

@@ -57,15 +57,15 @@ def plain_measures(text):
     lines = [x for x in text.split("\n") if regex.search(WORD, x)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     again = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
-    return len(words), sum(map(len, words)), len(regex.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(again)
+    return len(words), sum(map(len, words)), len(regex.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(again), len(regex.findall("[A-Z]", text)), text.count("!")
 
 
 def test_measures():
     rnd = random.Random(1)
     for _ in range(400):
-        text = "".join(rnd.choice("aab b \n\t\x0b\x85\xa0é#|") for _ in range(rnd.randrange(80)))
+        text = "".join(rnd.choice("aab b \n\t\x0b\x85\xa0é#|A!") for _ in range(rnd.randrange(80)))
         assert quality.measure(text) == plain_measures(text)
-    assert quality.measure(None) == (0, 0, 0, 0, 0)
+    assert quality.measure(None) == (0,) * 7
 
 
 def test_exact_bound():
@@ -80,8 +80,8 @@ def test_exact_bound():
 
 def test_cutoffs_keep_good_rows(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, "big", 100, 500, int(rng.integers(0, 10)), 0, 0) for i in range(3000)] + [(i, "few", 100, 500, 5, 0, 0) for i in range(5)]
-    frame = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    rows = [(i, "big", 100, 500, int(rng.integers(0, 10)), 0, 0, 0, 0) for i in range(3000)] + [(i, "few", 100, 500, 5, 0, 0, 0, 0) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_exclaim long")
     cut = quality.fit_cutoffs(frame, F.lit(True), F.col("lang"))
     assert not any(s == "few" for s, _ in cut) and 0.08 < cut["big", "symbols"] < 0.1
     bad = frame.limit(1).withColumn("n_symbols", F.lit(60).cast("long"))
