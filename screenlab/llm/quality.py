@@ -3,8 +3,9 @@
 Each rule holds one measure of a text against a cut-off; more is worse. For every stratum, rule and
 candidate cut-off, the rejected among the labelled good holdout documents are counted, and the exact
 (Clopper-Pearson) upper bound of the false rejection rate is taken at a level divided among all rules of
-the stratum and all candidate cut-offs (Bonferroni), so the chosen cut-offs hold together. A rule takes its
-lowest cut-off whose bound is within the rule's share of the allowed rate, and none if no cut-off is.
+the stratum (Bonferroni). The candidates of a rule are tested in a fixed order, from the highest down, up
+to the first that fails, which needs no further division, so the chosen cut-offs hold together. A rule takes
+the last cut-off whose bound is within the rule's share of the allowed rate, and none if the first fails.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from .store import kept
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, int, int]:
-    """The counts of ``MEASURES``; null text is empty. The last two are the letters A-Z and exclamation marks."""
+def measure(text: str | None) -> tuple[int, int, int, int, int]:
+    """The five counts of ``MEASURES``; null text is empty."""
     data = (text or "").encode()
     words = data.split()
     n = len(words)
@@ -45,7 +45,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int, int]:
             if seen[w] > 1:
                 again += i + 3 - max(i, upto)
                 upto = i + 3
-    return n, chars, symbols, repeated, again, len(data) - len(data.translate(None, UPPER)), data.count(b"!")
+    return n, chars, symbols, repeated, again
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -55,7 +55,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            made = list(zip(*(measure(t.as_py()) for t in batch.column(batch.num_columns - 1)))) or [()] * len(MEASURES)
+            made = list(zip(*(measure(t.as_py()) for t in batch.column(batch.num_columns - 1)))) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *(pa.array(m, pa.int64()) for m in made)], names=schema.names)
 
     return source.mapInArrow(rows, schema)
@@ -74,8 +74,6 @@ def rule_values() -> dict[str, Column]:
         "repeats": F.col("n_repeat_words") / n,
         "lines": F.col("n_dup_lines") / n,
         "long_words": F.col("word_chars") / n / 100,
-        "upper": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "exclaim": F.col("n_exclaim") / n,
     }
 
 
@@ -107,15 +105,18 @@ def _tail(k: int, n: int, p: float) -> float:
 
 
 def choose(tallies: list[tuple[str, str, int, int, int]], steps: int, rate: float, level: float, rules: int) -> dict[tuple[str, str], int]:
-    """Cut-off step of each (stratum, rule) from (stratum, rule, step, rejected, good): the lowest that is safe.
+    """Cut-off step of each (stratum, rule) from (stratum, rule, step, rejected, good): the last safe one going down.
 
     ``rate`` is the share of good documents that all rules of a stratum may reject together, ``level`` the
     chance that any cut-off of the stratum breaks its part of it.
     """
+    counts = {(s, r, k): (rejected, good) for s, r, k, rejected, good in tallies}
     safe: dict[tuple[str, str], int] = {}
-    for stratum, rule, step, rejected, good in tallies:
-        if upper_bound(rejected, good, level / (rules * steps)) <= rate / rules:
-            safe[stratum, rule] = min(step, safe.get((stratum, rule), step))
+    for stratum, rule in {(s, r) for s, r, *_ in tallies}:
+        for step in range(steps - 1, -1, -1):
+            if upper_bound(*counts[stratum, rule, step], level / rules) > rate / rules:
+                break
+            safe[stratum, rule] = step
     return safe
 
 
