@@ -43,7 +43,7 @@ def cell_sql(measure: str = "l_discount", name: str = "cell") -> str:
 PRED_SQL = (
     cell_sql()
     + """, sums AS (SELECT lineage, col_id, sum(value) AS s, count(value) AS n FROM cell GROUP BY ALL
-), others AS (SELECT lineage, col_id, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS mu FROM sums WINDOW w AS (PARTITION BY col_id)
+), others AS (SELECT lineage, col_id, round((sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0), 12) AS mu FROM sums WINDOW w AS (PARTITION BY col_id)
 ), grand AS (SELECT lineage, avg(mu) AS grand FROM others GROUP BY lineage
 ), pred AS (SELECT row_id, cell.lineage, cluster, cell.col_id, round(value - mu, 9) AS truth, round(mu - grand, 9) AS predicted
   FROM cell JOIN others ON cell.lineage = others.lineage AND cell.col_id = others.col_id JOIN grand ON cell.lineage = grand.lineage)"""
