@@ -55,8 +55,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and what byte-level BPE makes of the text."""
-    return bpe.encode_texts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern(), ["doc_id"], ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"])
+    """doc_id and what byte-level BPE makes of the text; smaller tables, as the workers of other stages share the memory."""
+    return bpe.encode_texts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern(), ["doc_id"], ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"], words_kept=300_000, max_states=60_000)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("hide_secrets", hide_secrets), ("tokenize", tokenize)]
