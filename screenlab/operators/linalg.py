@@ -1,18 +1,21 @@
 """Dense algebra: sums of products in SQL, and small solvers inside grouped functions.
 
 Only what needs an eigendecomposition or an iteration runs in numpy, on one fold's matrix at a time; a
-fold's matrix is bounded by its feature and target counts, as normal equations are summed in Spark first.
+fold's matrix is bounded by its feature and target counts, as normal equations are summed first: partitions
+return counts, means and centred products (``moments``), and no task sees more rows than its partition has.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -149,36 +152,193 @@ SOLVERS = {
 }
 
 
-def cross_fitted(rows: DataFrame, entity: str, group: str, vector: str, targets: list[str], method: str) -> DataFrame:
-    """held, entity, target, prediction: each group predicted by a model of all others, one fold a task.
+def ridge_moments(a: np.ndarray, b: np.ndarray, n: float, alpha: float = 1.0) -> np.ndarray:
+    """Ridge weights from centred products: features by features, features by targets."""
+    return np.linalg.solve(a + alpha * np.eye(len(a)), b)
+
+
+def component_moments(a: np.ndarray, b: np.ndarray, n: float, rank: int = 16, alpha: float = 1.0) -> np.ndarray:
+    """``component_ridge`` from centred products."""
+    values, vectors = np.linalg.eigh(a)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    least = max(1e-20, len(a) * np.finfo(float).eps * max(values.max(initial=0.0), 0.0))
+    r = int(min(rank, n - 1, (values > least).sum()))
+    return vectors[:, :r] @ ((vectors[:, :r].T @ b) / (values[:r] + alpha)[:, None])
+
+
+def reduced_moments(a: np.ndarray, b: np.ndarray, n: float, rank: int = 2, alpha: float = 1.0) -> np.ndarray:
+    """``reduced_rank`` from centred products."""
+    w = ridge_moments(a, b, n, alpha)
+    lead = np.linalg.eigh(w.T @ a @ w)[1][:, ::-1][:, :rank]
+    return w @ lead @ lead.T
+
+
+def elastic_moments(a: np.ndarray, b: np.ndarray, n: float, alpha: float = 0.01, mix: float = 0.5, rounds: int = 5000, close: float = 1e-9) -> np.ndarray:
+    """``elastic_net`` of every target from centred products: the same steps, with the slopes kept instead of what is left of y."""
+    out = np.zeros(b.shape)
+    a, sq = a / n, np.diag(a) / n
+    for t in range(b.shape[1]):
+        w, slope = out[:, t], b[:, t] / n
+        for _ in range(rounds):
+            moved = 0.0
+            for j in np.flatnonzero(sq > 0):
+                rho = slope[j] + sq[j] * w[j]
+                new = np.sign(rho) * max(abs(rho) - alpha * mix, 0) / (sq[j] + alpha * (1 - mix))
+                if new != w[j]:
+                    slope = slope + a[:, j] * (w[j] - new)
+                    moved, w[j] = max(moved, abs(new - w[j])), new
+            if moved < close:
+                break
+    return out
+
+
+#: The solvers above on summed products.
+MOMENT_SOLVERS = {"kernel_ridge": ridge_moments, "component_ridge": component_moments, "reduced_rank": reduced_moments, "elastic_net": elastic_moments}
+_STATE = tuple[float, np.ndarray, np.ndarray]
+
+
+def _state(z: np.ndarray, w: np.ndarray) -> _STATE:
+    """Weight, mean and centred products of rows."""
+    n = w.sum()
+    mean = w @ z / n
+    c = z - mean
+    return float(n), mean, (c * w[:, None]).T @ c
+
+
+def _merged(a: _STATE | None, b: _STATE | None) -> _STATE | None:
+    """The state of both sets of rows; means are moved, so nothing cancels."""
+    if a is None or b is None:
+        return b if a is None else a
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def _states(table: pa.Table, order: list[tuple[str, str]]) -> list[_STATE]:
+    """The states of a table's rows."""
+    table = table.sort_by(order)
+    vectors = [[np.asarray(v.values, float) for v in table.column(c)] for c in ("mean", "cross")]
+    return [(n, m, c.reshape(len(m), len(m))) for n, m, c in zip(table.column("n").to_pylist(), *vectors)]
+
 
-    Features are standardised on training rows. A fold's matrix must fit a task: rows times features.
+def moments(rows: DataFrame, key: str, vector: str, targets: list[str], masked: bool = False, weight: str | None = None) -> DataFrame:
+    """key, part, n, mean, cross: weight, means and centred products of vector and targets by key, summed over partitions.
+
+    Part -1 is of all rows: the vector followed by the targets. ``masked``: the vector alone there, and a
+    part t for the rows that have target t: the vector followed by that target.
+    """
+    source = rows.select(F.col(key).alias("__k"), F.col(vector).cast("array<double>").alias("__v"), *[F.col(t).cast("double").alias(f"__t{i}") for i, t in enumerate(targets)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
+    schema = f"{key} {dict(rows.dtypes)[key]}, part int, n double, mean array<double>, cross array<double>"
+
+    def table(states: dict, kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([k for k, _ in states], kind), pa.array([p for _, p in states], pa.int32()), pa.array([s[0] for s in states.values()], pa.float64()), *(pa.array([s[i].ravel() for s in states.values()], pa.list_(pa.float64())) for i in (1, 2))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([TaskContext.get().partitionId()] * len(states), pa.int32())], names=[key, "part", "n", "mean", "cross", "piece"])
+
+    def summed(batches):
+        states: dict = {}
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            keys = batch.column(0).dictionary_encode("encode")
+            place, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(targets))], axis=1)
+            w = batch.column(2 + len(targets)).to_numpy()
+            for k, name in enumerate(names):
+                here = np.flatnonzero(place == k)
+                parts = {-1: (here, x[here] if masked else np.hstack([x[here], y[here]]))}
+                for t in range(len(targets) if masked else 0):
+                    seen = here[~np.isnan(y[here, t])]
+                    if len(seen):
+                        parts[t] = (seen, np.hstack([x[seen], y[seen, t : t + 1]]))
+                for part, (at, z) in parts.items():
+                    states[name, part] = _merged(states.get((name, part)), _state(z, w[at]))
+            if len(states) > 256:
+                yield table(states, kind)
+                states = {}
+        if states:
+            yield table(states, kind)
+
+    def one(group: pa.Table) -> pa.Table:
+        n, mean, cross = reduce(_merged, _states(group, [("piece", "ascending"), ("n", "ascending")]))
+        return pa.table({key: group.column(key)[:1], "part": group.column("part")[:1], "n": [n], "mean": [mean], "cross": [cross.ravel()]})
+
+    return source.mapInArrow(summed, schema + ", piece int").groupBy(key, "part").applyInArrow(one, schema)
+
+
+def others(states: DataFrame, key: str) -> DataFrame:
+    """The states of all other keys' rows for each key: what comes before it and what comes after, so nothing is subtracted.
+
+    One task a part holds a state a key: keys times features squared, whatever the number of rows.
     """
-    folds = rows.select(F.col(group).alias("held")).distinct()
-    solve = SOLVERS[method]
-    data = rows.select(entity, F.col(group).alias("__g"), F.col(vector).alias("__v"), *targets).join(F.broadcast(folds))  # each fold reads all rows
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf["held"].iloc[0]
-        pdf = pdf.sort_values(entity, kind="stable")
-        out = (pdf["__g"] == held).to_numpy()
-        x, y = np.stack(pdf["__v"].to_numpy()).astype(float), pdf[targets].to_numpy(float)
-        mean, sd = x[~out].mean(axis=0), x[~out].std(axis=0)
-        x = ((x - mean) / np.where(sd > 1e-8, sd, 1))[:, sd > 1e-8]
-        w, bias = solve(x[~out], y[~out])
-        made = x[out] @ w + bias
-        return pd.concat([pd.DataFrame({"held": held, entity: pdf[entity].to_numpy()[out], "target": t, "prediction": made[:, i]}) for i, t in enumerate(targets)])
+    def rest(group: pa.Table) -> pa.Table:
+        group = group.sort_by(key)
+        states = _states(group, [(key, "ascending")])
+        after: list[_STATE | None] = [None]
+        for s in states[:0:-1]:
+            after.append(_merged(s, after[-1]))
+        before, out = None, []
+        for s, late in zip(states, after[::-1]):
+            out.append(_merged(before, late) or (0.0, np.full(len(s[1]), np.nan), np.zeros(s[2].shape)))
+            before = _merged(before, s)
+        return pa.table({key: group.column(key), "part": group.column("part"), "n": [o[0] for o in out], "mean": [o[1] for o in out], "cross": [o[2].ravel() for o in out]})
+
+    return states.groupBy("part").applyInArrow(rest, states.schema)
+
+
+def fitted(states: DataFrame, key: str, n_targets: int, method: str, scaled: bool = True) -> DataFrame:
+    """key, mean, bias, weights (an array a target): a target's prediction is its bias plus the weights times what exceeds the mean.
+
+    ``scaled``: features are standardised on the training rows first, and those without spread go. A target
+    that a key's rows lack, or that fewer than two have, gets NaN where parts by target are given.
+    """
+    solve = MOMENT_SOLVERS[method]
+
+    def fit(group: pa.Table) -> pa.Table:
+        parts = dict(zip(group.sort_by("part").column("part").to_pylist(), _states(group, [("part", "ascending")])))
+        n, mean, cross = parts[-1]
+        masked = method == "kernel_ridge"
+        p = len(mean) if masked else len(mean) - n_targets
+        mean, sd = mean[:p], np.sqrt(np.maximum(np.diag(cross)[:p] / max(n, 1), 0)) if scaled else np.ones(p)
+        on = np.flatnonzero(sd > 1e-8) if n else np.arange(0)
+        sd, weights, bias = sd[on], np.zeros((n_targets, p)), np.full(n_targets, np.nan)
+        for part, (m, centre, c) in parts.items():
+            if m < 1 or part >= 0 and m < 2 or masked and part < 0:
+                continue
+            at = [part] if masked else list(range(n_targets))
+            w = solve(c[np.ix_(on, on)] / np.outer(sd, sd), c[on, p:] / sd[:, None], m)
+            weights[np.ix_(at, on)] = (w / sd[:, None]).T
+            bias[at] = centre[p:] - (centre[on] - mean[on]) / sd @ w
+        mean = np.where(np.isnan(mean), 0, mean)
+        return pa.table({key: group.column(key)[:1], "mean": [mean], "bias": [bias], "weights": pa.array([[w for w in weights]], pa.list_(pa.list_(pa.float64())))})
+
+    return states.groupBy(key).applyInArrow(fit, f"{key} {dict(states.dtypes)[key]}, mean array<double>, bias array<double>, weights array<array<double>>")
+
+
+def _predicted(vector: str, target: int) -> Column:
+    """The prediction of one target by the model beside the row."""
+    over = F.zip_with(F.col(vector), F.col("mean"), lambda x, m: x.cast("double") - m)
+    return F.get("bias", F.lit(target)) + dot(over, F.get("weights", F.lit(target)))
 
-    kind = dict(rows.dtypes)
-    return data.groupBy("held").applyInPandas(fold, f"held {kind[group]}, {entity} {kind[entity]}, target string, prediction double")
 
+def cross_fitted(rows: DataFrame, entity: str, group: str, vector: str, targets: list[str], method: str) -> DataFrame:
+    """held, entity, target, prediction: each group predicted by a model of all others.
 
+    Features are standardised on training rows. Products are summed by group once; a fold solves a system
+    of features by features on the sums of the other groups, and rows meet their group's weights alone.
+    """
+    source = rows.select(entity, F.col(group).alias("held"), F.col(vector).alias("__v"), *[F.col(t).alias(f"__y{i}") for i, t in enumerate(targets)])
+    names = [f"__y{i}" for i in range(len(targets))]
+    models = fitted(others(moments(source, "held", "__v", names, method == "kernel_ridge"), "held"), "held", len(targets), method)
+    found = source.join(F.broadcast(models), "held")  # a fold's weights: features by targets
+    made = F.array(*[F.struct(F.lit(t).alias("target"), _predicted("__v", i).alias("prediction")) for i, t in enumerate(targets)])
+    return found.select("held", entity, F.explode(made).alias("__p")).select("held", entity, "__p.target", "__p.prediction")
 
 
 def block_sum(grams: dict[str, DataFrame], chosen: list[str]) -> DataFrame:
     """The kernel of a configuration: the sum of its named blocks."""
-    from functools import reduce
-
     rows = reduce(DataFrame.unionByName, [grams[name].select("id_a", "id_b", "dot") for name in chosen])
     return rows.groupBy("id_a", "id_b").agg(F.sum("dot").alias("dot"))
 
@@ -217,20 +377,16 @@ def principal_angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def refit_stability(rows: DataFrame, stratum: str, cluster: str, entity: str, vector: str, target: str, held: Column, draws: int, seed: str, k: int = 10) -> DataFrame:
-    """How often each held-out row is among the k lowest predictions of models refitted on cluster bootstraps, one draw a task."""
-    from .resample import cluster_bootstrap
-
-    train = cluster_bootstrap(rows.filter(~held).select(stratum, cluster, entity, vector, target), stratum, cluster, draws, seed).select("draw", entity, vector, target, F.lit(False).alias("__h"))
-    test = rows.filter(held).select(entity, vector, target).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", entity, vector, target, F.lit(True).alias("__h"))
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([entity], kind="stable")
-        h, x, y = pdf["__h"].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(float), pdf[[target]].to_numpy(float)
-        w, bias = component_ridge(x[~h], y[~h], 16, 1.0)
-        score = np.round((x[h] @ w + bias)[:, 0], 9)
-        ids = pdf[entity].to_numpy()[h]
-        return pd.DataFrame({"draw": pdf["draw"].iloc[0], entity: ids[np.lexsort((ids, score))[:k]]})
-
-    kind = dict(rows.dtypes)
-    picked = train.unionByName(test).groupBy("draw").applyInPandas(refit, f"draw int, {entity} {kind[entity]}")
+    """How often each held-out row is among the k lowest predictions of models refitted on cluster bootstraps.
+
+    A draw's products are sums of rows weighted by how often their cluster is drawn.
+    """
+    from .resample import drawn
+
+    train = rows.filter(~held).select(stratum, cluster, F.col(vector).alias("__v"), F.col(target).alias("__y"))
+    times = drawn(train.select(stratum, cluster).distinct(), [stratum], cluster, draws, seed).groupBy(stratum, cluster, "draw").agg(F.count("*").alias("__n"))
+    models = fitted(moments(train.join(times, [stratum, cluster]), "draw", "__v", ["__y"], weight="__n"), "draw", 1, "component_ridge", scaled=False)
+    test = rows.filter(held).select(entity, F.col(vector).alias("__v")).join(F.broadcast(models))  # one row of weights a draw
+    scored = test.select("draw", entity, F.round(_predicted("__v", 0), 9).alias("__s"))
+    picked = scored.withColumn("__r", F.row_number().over(Window.partitionBy("draw").orderBy("__s", entity))).filter(F.col("__r") <= k)
     return picked.groupBy(entity).agg((F.count("*") / draws).alias("frequency"))

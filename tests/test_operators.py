@@ -94,6 +94,53 @@ def test_solvers():
     assert off < 1e-6
 
 
+def held_out_by_hand(rows, method):
+    """Predictions of dense solvers on each fold's rows, features standardised on the training rows."""
+    out, groups = {}, np.array([r[1] for r in rows])
+    x, y = np.array([r[2] for r in rows]), np.array([[np.nan if v is None else v for v in r[3:]] for r in rows])
+    for held in set(groups.tolist()):
+        test = groups == held
+        sd = x[~test].std(axis=0)
+        z = ((x - x[~test].mean(axis=0)) / np.where(sd > 1e-8, sd, 1))[:, sd > 1e-8]
+        w, bias = linalg.SOLVERS[method](z[~test], y[~test])
+        for i in np.flatnonzero(test):
+            out |= {(rows[i][0], t): v for t, v in zip(("t1", "t2", "t3"), z[i] @ w + bias)}
+    return out
+
+
+@pytest.mark.parametrize("method", sorted(linalg.SOLVERS))
+def test_folds_are_fitted_from_sums(spark, method):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(90):
+        x = [*(rng.normal(size=20) * 3 + 50), 1.0 if i % 4 else 5.0 if i % 8 else 7.0]  # the last has no spread outside group 0
+        hole = method == "kernel_ridge" and (i % 5 == 0, i % 3 == 0)
+        rows.append((i, i % 4, [float(v) for v in x], None if hole and hole[0] else float(x[0] - x[1]), float(x[2] + rng.normal()), None if hole and hole[1] else float(rng.normal())))
+    df = spark.createDataFrame(rows, "k long, g int, v array<double>, t1 double, t2 double, t3 double").repartition(5)
+    made = linalg.cross_fitted(df, "k", "g", "v", ["t1", "t2", "t3"], method)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan  # no task gets all rows of a fold
+    got, want = {(r["k"], r["target"]): r["prediction"] for r in made.collect()}, held_out_by_hand(rows, method)
+    assert got.keys() == want.keys() and max(abs(got[key] - want[key]) for key in want) < 1e-6
+
+
+def test_refits_are_weighted_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, i % 12, [float(v) for v in rng.normal(size=20)], float(rng.normal())) for i in range(150)]
+    df = spark.createDataFrame(rows, "k long, s int, c int, v array<double>, t double").repartition(4)
+    made = linalg.refit_stability(df, "s", "c", "k", "v", "t", F.col("s") == 0, 6, "x", 5)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    train, want = resample.cluster_bootstrap(df.filter("s <> 0"), "s", "c", 6, "x").collect(), {}
+    test = [r for r in rows if r[1] == 0]
+    for draw in range(6):
+        mine = [r for r in train if r["draw"] == draw]
+        w, bias = linalg.component_ridge(np.array([r["v"] for r in mine]), np.array([[r["t"]] for r in mine]), 16, 1.0)
+        score = np.round((np.array([r[3] for r in test]) @ w + bias)[:, 0], 9)
+        for i in np.lexsort(([r[0] for r in test], score))[:5]:
+            want[test[i][0]] = want.get(test[i][0], 0) + 1 / 6
+    assert {r["k"]: round(r["frequency"], 9) for r in made.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_counts(spark):
     df = spark.createDataFrame([("c1", "a", 3, "x"), ("c1", "b", 0, "x"), ("c2", "a", 2, "y"), ("c3", "b", 5, "x")], "cell string, f string, n int, label string")
     sums = counts.group_counts(counts.overlapping(df, F.col("label"), "x"), ["group"], "f", "n")
