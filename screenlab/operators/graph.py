@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,55 @@ def random_modules(adjacent: dict[str, set[str]], size: int, n: int, seed: str)
             chosen.add(pick(edge, len(chosen)))
         out.append(sorted(chosen))
     return out
+
+
+def shared_key_edges(df: DataFrame, node: str, keys: list[str]) -> DataFrame:
+    """Canonical edges between nodes that have a key in common; ``df`` is brought to distinct keys first."""
+    have = df.select(node, *keys).distinct()
+    return canonical_edges(have.withColumnRenamed(node, "__a").join(have.withColumnRenamed(node, "__b"), keys), "__a", "__b")
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    """__from, __to of each edge in both directions."""
+    return edges.select(F.explode(F.array(F.struct(F.col("src").alias("__from"), F.col("dst").alias("__to")), F.struct(F.col("dst").alias("__from"), F.col("src").alias("__to")))).alias("e")).select("e.*")
+
+
+def beam_modules(edges: DataFrame, worths: DataFrame, node: str, worth: str, budget: int, width: int, penalty: int) -> DataFrame:
+    """members, worth: what ``beam_search`` finds, as joins of states with edges.
+
+    ``worths`` has a whole number for each node. A state is live, or the best of all earlier ones; each step
+    keeps the ``width`` first live ones and the best one.
+    """
+    prices = worths.select(F.col(node).alias("__to"), (F.col(worth) - penalty).cast("long").alias("__gain"))
+    moves = _steps(edges).join(prices, "__to")
+    order = [F.desc("worth"), "members"]
+
+    def first(states: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("live").orderBy(*order))
+        return states.withColumn("__n", place).filter((F.col("__n") <= width) & (F.col("live") | (F.col("__n") == 1))).drop("__n")
+
+    both = lambda members, worth: F.explode(F.array(*[F.struct(F.lit(live).alias("live"), members.alias("members"), worth.alias("worth")) for live in (True, False)]))
+    states = first(prices.select(both(F.array("__to"), F.col("__gain")).alias("s")).select("s.*"))
+    for _ in range(budget - 1):
+        # the best one stays as it is; a live one grows by each neighbour of a member
+        reached = states.withColumn("__from", F.explode("members")).join(moves, "__from", "left")
+        grows = F.col("live") & F.col("__to").isNotNull() & ~F.array_contains("members", F.col("__to"))
+        grown = F.when(grows, F.sort_array(F.concat("members", F.array("__to")))), F.when(grows, F.col("worth") + F.col("__gain"))
+        made = reached.select("live", "members", "worth", *[c.alias(n) for c, n in zip(grown, ("__m", "__w"))])
+        kept = F.when(~F.col("live"), F.array(F.struct("live", "members", "worth"))).when(F.col("__m").isNotNull(), F.array(*[F.struct(F.lit(live).alias("live"), F.col("__m").alias("members"), F.col("__w").alias("worth")) for live in (True, False)]))
+        states = first(made.select(F.explode(kept).alias("s")).select("s.*").distinct())
+    return states.filter(~F.col("live")).select("members", "worth")
+
+
+def random_growth(edges: DataFrame, nodes: DataFrame, node: str, size: int, n: int, seed: str) -> DataFrame:
+    """draw, members: what ``random_modules`` grows, as joins of draws with edges."""
+    moves = _steps(edges)
+    lot = lambda step, x: F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string"), F.lit(str(step)), x), 256)
+    drawn = nodes.select(F.col(node).alias("__to")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    grown = drawn.groupBy("draw").agg(F.array(F.min_by("__to", lot(0, F.col("__to")))).alias("members"))
+    for step in range(1, size):
+        reached = grown.withColumn("__from", F.explode("members")).join(moves, "__from", "left")
+        open_ = F.when(~F.array_contains("members", F.col("__to")), F.col("__to"))
+        chosen = reached.select("draw", "members", open_.alias("__to")).groupBy("draw", "members").agg(F.min_by("__to", F.when(F.col("__to").isNotNull(), lot(step, F.col("__to")))).alias("__to"))
+        grown = chosen.select("draw", F.when(F.col("__to").isNull(), F.col("members")).otherwise(F.concat("members", F.array("__to"))).alias("members"))
+    return grown.select("draw", F.sort_array("members").alias("members"))

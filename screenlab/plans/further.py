@@ -8,6 +8,7 @@ from ..operators import aggregate, counts, evidence, graph, linalg, metrics, ran
 from ..sources.tables import event_counts, held_out_predictions, labelled_cells, screen_cells, suppliers, table
 from .evaluation import metric_rows
 from .register import EVENT_SQL, METRIC_SQL, PRED_SQL, Register, cell_sql, six
+from .relations import nation_edges
 
 register = Register()
 QUERIES, ORACLE_SQL = register.queries, register.sql
@@ -147,9 +148,8 @@ def shuffled_control(spark, sf):
 
 @register()
 def random_modules(spark, sf):
-    names = [f"n{i:02d}" for i in range(25)]
-    adjacent = graph.neighbours(list(zip(names, names[1:])) + list(zip(names, names[5:])))
-    return spark.createDataFrame([(i, ",".join(m)) for i, m in enumerate(graph.random_modules(adjacent, 5, 20, "control"))], "draw long, members string")
+    nodes = table(spark, sf, "supplier").select(F.format_string("n%02d", "s_nationkey").alias("node")).distinct()
+    return graph.random_growth(nation_edges(spark, sf), nodes, "node", 5, 20, "control").select("draw", F.concat_ws(",", "members").alias("members"))
 
 
 @register(_CELL + ", r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY value, col_id) AS rank FROM cell), p AS (SELECT lineage, col_id, row_number() OVER (PARTITION BY lineage ORDER BY count(*) DESC, col_id) AS place FROM r WHERE rank <= 10 GROUP BY lineage, col_id) SELECT col_id, count(DISTINCT lineage) AS n FROM p WHERE place <= 40 GROUP BY col_id HAVING count(DISTINCT lineage) >= 3")

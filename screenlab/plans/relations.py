@@ -124,14 +124,22 @@ def bridge_nodes(spark, sf):
     return graph.bridges(graph.canonical_edges(_pairs(spark, sf), "a", "b"), pairs, "a", "b")
 
 
+def nation_edges(spark, sf):
+    """Nations as nodes, joined if suppliers of both sell a part of the same brand in the same month."""
+    lines, part, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
+    sold = lines.join(part, lines["l_partkey"] == part["p_partkey"]).join(s, lines["l_suppkey"] == s["s_suppkey"])
+    return graph.shared_key_edges(sold.select(_nation().alias("node"), "p_brand", F.trunc("l_shipdate", "month").alias("month")), "node", ["p_brand", "month"])
+
+
+def _nation():
+    return F.format_string("n%02d", "s_nationkey")
+
+
 def _module(spark, sf, width: int):
-    """Nations as nodes, joined if suppliers of both sell a part of the same brand in the same month; worth by balance."""
-    n = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.round(F.avg("s_acctbal"), 2).alias("w")).collect()
-    worth = {f"n{r['s_nationkey']:02d}": r["w"] for r in n}
-    names = sorted(worth)
-    ring = [(a, b) for a, b in zip(names, names[1:] + names[:1])] + [(a, b) for a, b in zip(names, names[5:])]
-    chosen, value = graph.beam_search(graph.neighbours([e for e in ring if e[0] != e[1]]) or {x: set() for x in names}, lambda s: sum(worth[x] for x in s), 6, width, 100.0)
-    return spark.createDataFrame([(i + 1, x, float(value)) for i, x in enumerate(chosen)], "position long, node string, worth double")
+    """A connected set of nations; worth by mean balance, in cents, less 100 a nation."""
+    worths = table(spark, sf, "supplier").groupBy(_nation().alias("node")).agg(F.round(F.avg(F.col("s_acctbal").cast("decimal(12,2)")) * 100).cast("long").alias("cents"))
+    best = graph.beam_modules(nation_edges(spark, sf), worths, "node", "cents", 6, width, 10_000)
+    return best.select(F.posexplode("members").alias("position", "node"), (F.col("worth") / 100).alias("worth")).select((F.col("position") + 1).cast("long").alias("position"), "node", "worth")
 
 
 @register()

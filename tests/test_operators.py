@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from screenlab.functions import scalars, text
 from screenlab.operators import aggregate, counts, evidence, governance, graph, linalg, metrics, ranking, relational, resample, split, transfer
+from screenlab.plans import further, relations
 from screenlab.sources import matrices, publish
 from screenlab.streaming import counts as streaming
 
@@ -157,6 +158,24 @@ def test_graph(spark):
     assert graph.beam_search(adjacent, lambda s: {"a": 1, "b": -1, "c": 2, "d": 3}[min(s)] + len(s), 3, 4)[0]
 
 
+def test_modules_follow_the_tables(spark, tmp_path):
+    """Edges from sales, and the same modules as the searches on the driver."""
+    lines = [(1, 1, "1994-01-03"), (1, 2, "1994-01-30"), (2, 2, "1994-02-01"), (1, 3, "1994-03-01"), (3, 3, "1994-02-09"), (3, 4, "1994-02-10"), (2, 4, "1995-02-10"), (1, 5, "1994-02-10"), (2, 6, "1994-02-20")]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, d string").selectExpr("l_partkey", "l_suppkey", "to_timestamp(d) l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    balance = {1: 50.25, 2: 900.0, 3: -20.0, 4: 700.5, 5: 40.0, 6: 300.0, 7: 901.0}
+    spark.createDataFrame([(k, k, v) for k, v in balance.items()], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    edges = {("n01", "n02"), ("n02", "n05"), ("n02", "n06"), ("n05", "n06"), ("n03", "n04")}
+    assert {tuple(r) for r in relations.nation_edges(spark, str(tmp_path)).collect()} == edges
+    adjacent = {f"n{k:02d}": set() for k in balance} | graph.neighbours(sorted(edges))
+    for query, width in ((relations.module_greedy, 1), (relations.module_beam, 8)):
+        members, value = graph.beam_search(adjacent, lambda s: sum(balance[int(x[1:])] for x in s), 6, width, 100.0)
+        got = query(spark, str(tmp_path)).orderBy("position").collect()
+        assert [(r["position"], r["node"]) for r in got] == list(enumerate(members, 1)) and {r["worth"] for r in got} == {value}
+    want = graph.random_modules(adjacent, 5, 20, "control")
+    assert [tuple(r) for r in further.random_modules(spark, str(tmp_path)).orderBy("draw").collect()] == [(i, ",".join(m)) for i, m in enumerate(want)]
+
+
 def test_evidence_and_governance(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0), (3, -1.0)], "k int, v double")
     rules = [("low", F.col("v") < 0), ("high", F.col("v") > 1)]
