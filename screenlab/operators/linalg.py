@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,15 +43,54 @@ def held_out_scalers(df: DataFrame, entity: str, group: str, column: str, value:
     return rows.select("held", column, mean.alias("mean"), sd.alias("sd"), (sd > 1e-8).alias("kept"))
 
 
+def _blocks(df: DataFrame, block: int, *columns: Column) -> DataFrame:
+    """__rows: structs of the columns, at most ``block`` a row, put together inside partitions."""
+    source = df.select(F.struct(*columns).alias("__r"))
+
+    def cut(batches):
+        for batch in batches:
+            column = batch.column(0)
+            for start in range(0, len(column), block):
+                part = column.slice(start, block)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.concat_arrays([part]))], names=["__rows"])
+
+    return source.mapInArrow(cut, T.StructType([T.StructField("__rows", T.ArrayType(source.schema[0].dataType))]))
+
+
+def _block_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every block of ``a`` (the stated query set) beside every block of ``b``: blocks meet, not rows."""
+    return a.withColumnRenamed("__rows", "__a").join(b.withColumnRenamed("__rows", "__b"), F.lit(True))
+
+
+def _matrix(rows: pa.Array, name: str = "v") -> np.ndarray:
+    return rows.field(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+
+
 def gram(queries: DataFrame, rows: DataFrame, entity: str, vector: str, block: int = 256) -> DataFrame:
     """id_a, id_b, dot of a stated query set against all rows; rows go by blocks, so no row meets another alone."""
-    a = queries.select(F.col(entity).alias("id_a"), F.col(vector).alias("va"))
-    b = rows.select(F.col(entity).alias("id_b"), F.col(vector).alias("vb"))
-    return a.join(b, F.lit(True)).select("id_a", "id_b", dot(F.col("va"), F.col("vb")).alias("dot"))
+    cells = lambda df: _blocks(df, block, F.col(entity).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = [dict(df.dtypes)[entity] for df in (queries, rows)]
+
+    def products(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(k)[i].values for k in (0, 1))
+                made = _matrix(a) @ _matrix(b).T
+                x, y = (k.ravel() for k in np.indices(made.shape))
+                yield pa.RecordBatch.from_arrays([a.field("id").take(pa.array(x)), b.field("id").take(pa.array(y)), pa.array(made.ravel())], names=["id_a", "id_b", "dot"])
+
+    return _block_pairs(cells(queries), cells(rows)).mapInArrow(products, f"id_a {kinds[0]}, id_b {kinds[1]}, dot double")
 
 
-def gram_by_features(df: DataFrame, entity: str, column: str, value: str) -> DataFrame:
-    """The kernel of a long table: products summed over shared columns."""
+def gram_by_features(df: DataFrame, entity: str, column: str, value: str, queries: Column | None = None) -> DataFrame:
+    """The kernel of a long table: products summed over shared columns.
+
+    Without ``queries`` each pair of entities once; with it, the entities for which it holds against all.
+    """
+    if queries is not None:
+        a = df.filter(queries).select(F.col(entity).alias("id_a"), column, F.col(value).alias("__x"))
+        b = df.select(F.col(entity).alias("id_b"), column, F.col(value).alias("__y"))
+        return a.join(b, column).groupBy("id_a", "id_b").agg(F.sum(F.col("__x") * F.col("__y")).alias("dot"))
     a, b = df.alias("a"), df.alias("b")
     pairs = a.join(b, F.col(f"a.{column}") == F.col(f"b.{column}")).filter(F.col(f"a.{entity}") <= F.col(f"b.{entity}"))
     return pairs.groupBy(F.col(f"a.{entity}").alias("id_a"), F.col(f"b.{entity}").alias("id_b")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("dot"))
@@ -350,6 +390,12 @@ def permuted_kernel(gram: DataFrame, donors: DataFrame) -> DataFrame:
     return gram.join(a, "id_a").join(b, "id_b").select(F.col("new_a").alias("id_a"), F.col("new_b").alias("id_b"), "dot")
 
 
+def permuted_block(queries: DataFrame, rows: DataFrame, donors: DataFrame, entity: str, vector: str) -> DataFrame:
+    """``permuted_kernel`` of a stated query set against all rows: each row takes its donor's vector, and blocks meet."""
+    given = rows.select(F.col(entity).alias("donor"), F.col(vector).alias("__v")).join(donors, "donor").select(F.col("row_id").alias(entity), F.col("__v").alias(vector))
+    return gram(given.join(queries.select(entity), entity, "left_semi"), given, entity, vector)
+
+
 def one_hot(df: DataFrame, entity: str, category: str, train: Column) -> DataFrame:
     """Long indicator features of the categories that training rows have; other categories have none."""
     names = df.filter(train).select(F.col(category).alias("__c")).distinct()

@@ -124,6 +124,12 @@ def feature_kernel(spark, sf):
     return linalg.gram_by_features(labelled_cells(spark, sf).filter("lineage = 'ASIA'"), "row_id", "col_id", "value").withColumn("dot", six("dot"))
 
 
+@register("WITH " + PRED_SQL + " SELECT a.row_id AS id_a, b.row_id AS id_b, round(sum(a.value * b.value), 6) AS dot FROM cell a JOIN cell b ON a.col_id = b.col_id WHERE a.row_id % 20 = 0 GROUP BY ALL")
+def feature_kernel_all(spark, sf):
+    """As ``feature_kernel`` over every lineage: ids divisible by 20 against all rows."""
+    return linalg.gram_by_features(labelled_cells(spark, sf), "row_id", "col_id", "value", F.col("row_id") % 20 == 0).withColumn("dot", six("dot"))
+
+
 def _fit(method: str):
     def query(spark, sf):
         e = table(spark, sf, "embeddings").withColumns({"t1": F.col("label").cast("double"), "t2": F.sin(F.col("label").cast("double")), "t3": F.when(F.col("vec_id") % 7 != 0, F.get("embedding", F.lit(0)).cast("double")) if method == "kernel_ridge" else F.get("embedding", F.lit(0)).cast("double")})

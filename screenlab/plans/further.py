@@ -72,6 +72,14 @@ def permuted_kernel(spark, sf):
     return linalg.permuted_kernel(linalg.gram(e, e, "vec_id", "embedding"), donors).withColumn("dot", six("dot", 5))
 
 
+@register()
+def permuted_kernel_all(spark, sf):
+    """As ``permuted_kernel`` over every label: ids divisible by 20 against all rows."""
+    e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    donors = resample.block_permutation(e, "label", "vec_id", "kernel").select(F.col("vec_id").alias("row_id"), "donor")
+    return linalg.permuted_block(e.filter("vec_id % 20 = 0"), e, donors, "vec_id", "embedding").withColumn("dot", six("dot", 5))
+
+
 @register("SELECT s_suppkey, 'n_name=' || n_name AS feature, 1.0::DOUBLE AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0)")
 def one_hot_features(spark, sf):
     s = suppliers(spark, sf).select(F.col("row_id").alias("s_suppkey"), F.col("cluster").alias("n_name"))

@@ -142,6 +142,19 @@ def test_refits_are_weighted_sums(spark):
     assert {r["k"]: round(r["frequency"], 9) for r in made.collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_kernels_cover_all_strata(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(700, 6)).round(3)
+    spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    donor = {r["vec_id"]: r["donor"] for r in resample.block_permutation(e, "label", "vec_id", "kernel").collect()}
+    got = {(r["id_a"], r["id_b"]): r["dot"] for r in further.permuted_kernel_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(a, b) for a in range(0, 700, 20) for b in range(700)}
+    assert max(abs(v - vectors[donor[a]] @ vectors[donor[b]]) for (a, b), v in got.items()) < 2e-5
+    cells = spark.createDataFrame([(1, "x", 2.0), (1, "y", 3.0), (2, "x", 5.0), (3, "y", 7.0)], "r long, c string, v double")
+    assert {tuple(r) for r in linalg.gram_by_features(cells, "r", "c", "v", F.col("r") == 1).collect()} == {(1, 1, 13.0), (1, 2, 10.0), (1, 3, 21.0)}
+
+
 def test_counts(spark):
     df = spark.createDataFrame([("c1", "a", 3, "x"), ("c1", "b", 0, "x"), ("c2", "a", 2, "y"), ("c3", "b", 5, "x")], "cell string, f string, n int, label string")
     sums = counts.group_counts(counts.overlapping(df, F.col("label"), "x"), ["group"], "f", "n")
