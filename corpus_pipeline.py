@@ -22,16 +22,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the group's smallest doc_id.
+    """One row of each group of near duplicates: the first by doc_id, fingerprint and text; rows without an id come last.
 
-    Of repeated rows with that id one stays (the first by text); a group without ids keeps one row too.
+    Groups are told apart by their root, so ids that repeat with other texts do not mix them.
     """
-    marked = staged(simhash.near_duplicates(docs, ["doc_id"]), "groups")
-    kept = marked.filter(F.col("doc_id") == F.col("__component")).select("doc_id", "__fp").distinct()
-    rows = docs.join(kept.groupBy("doc_id").agg(F.min("__fp").alias("__fp")), "doc_id").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    rows = rows.filter("__n = 1").select(*docs.columns)
-    nameless = simhash.near_duplicates(docs, docs.columns).filter("doc_id IS NULL AND __component IS NULL").dropDuplicates(["__fp"]) if not marked.filter("__component IS NULL").isEmpty() else None
-    return rows if nameless is None else rows.unionByName(nameless.select(*docs.columns))
+    marked_docs = docs.withColumn("__md5", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+    marked = staged(simhash.near_duplicates(marked_docs, ["doc_id", "__md5"], root=True).select("__root", "doc_id", "__fp", "__md5").distinct(), "groups")
+    first = marked.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__fp")).alias("f")).select(F.col("__root").alias("r"), F.col("f.doc_id").alias("d"), F.col("f.__fp").alias("p"))
+    chosen = marked.join(first, (F.col("__root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__fp") == F.col("p"))).select("__root", F.col("doc_id").alias("__id"), F.col("__md5").alias("__text"))
+    rows = marked_docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text")))
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__root").orderBy("text"))).filter("__n = 1").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

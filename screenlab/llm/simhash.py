@@ -170,12 +170,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, root: bool = False) -> DataFrame:
     """``keep``, __fp and __component of each row: the smallest ``doc_id`` that links reach.
 
     Null ids are ignored when the smallest is taken (null only if a whole component has none). Repeated
     rows give repeated results. Texts without words all have fingerprint 0. An empty table gives an
-    empty result.
+    empty result. ``root``: __root too, the fingerprint that names the component, whatever its ids.
     """
     columns = list(dict.fromkeys([*keep, doc_id]))
     rows = staged(fingerprints(docs, columns, text, size), "fingerprints")
@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", te
     roots = components(near_pairs(prints.select("__fp"), radius))
     named = prints.join(roots, prints["__fp"] == roots["node"], "left").select("__fp", "__least", F.coalesce("root", "__fp").alias("__root"))
     least = named.groupBy("__root").agg(F.min("__least").alias("__component"))
-    named = named.select("__fp", "__root").join(least, "__root").select("__fp", "__component")
-    return rows.join(named, "__fp").select(*[rows[c] for c in keep], rows["__fp"], "__component")
+    named = named.select("__fp", "__root").join(least, "__root").select("__fp", "__component", "__root")
+    return rows.join(named, "__fp").select(*[rows[c] for c in keep], rows["__fp"], "__component", *["__root"] * root)
 
 
 def hex_print(fp: str = "__fp"):

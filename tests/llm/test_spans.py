@@ -189,3 +189,12 @@ def test_pipeline_edge_cases(spark, edge):
     kept = [r["doc_id"] for r in rows.collect()]
     assert 1 in kept and 11 not in kept and kept.count(7) == 1 and 3 not in kept and len(EDGE) > len(kept)
     assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == len(kept)
+
+
+def test_dedup_tells_groups_with_one_id_apart(spark):
+    words = [f"{a}{i} " for a in "abcde" for i in range(40)]
+    one, two, three = ("".join(words[k::3]) for k in range(3))
+    # ids repeat with other texts: 1 is the smallest of two groups; a group without ids has copies
+    rows = [(1, one), (2, one), (1, two), (3, two), (None, three), (None, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str) == sorted([(1, one), (1, two), (None, three)], key=str)
