@@ -13,6 +13,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,11 +81,12 @@ def item_shards(items: DataFrame, item_id: str, text: str, most_bytes: int):
     """Items in lists of at most ``most_bytes`` of text (one longer item stands alone), fetched part by part."""
     part, size = [], 0
     for row in items.select(items[item_id].cast("string"), items[text]).toLocalIterator():
-        part.append((row[0] or "", row[1]))
-        size += len(row[1] or "")
-        if size >= most_bytes:
+        more = len((row[1] or "").encode())
+        if part and size + more > most_bytes:
             yield part
             part, size = [], 0
+        part.append((row[0] or "", row[1]))
+        size += more
     yield part
 
 
@@ -95,20 +97,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text: str
     """``keep``, n_words, n_hit, __items (ids of items with occurring windows), contaminated, and __spans if asked for.
 
     What is broadcast is at most ``most_bytes`` of item text at a time: more items are scanned in further
-    passes over the rows, whose hits add up. Null text has no words and no hits; items without words have
+    passes over the rows, whose hits add up. The driver holds two such parts at most. Null text has no words and no hits; items without words have
     no windows; repeated rows give repeated results; without items nothing is contaminated.
     """
     rows = docs.select(*[docs[c] for c in kept(keep, ["n_words", "n_hit", "contaminated"])], F.lit(None).cast("binary").alias("__bits"), F.lit(None).cast("array<string>").alias("__items"), docs[text].alias("__text"))
-    shards = list(item_shards(items, item_id, item_text, most_bytes))
-    for k, shard in enumerate(shards):
-        rows = _pass(rows, shard, size, k + 1 == len(shards), spans)
-        if k + 1 < len(shards):
-            rows = staged(rows, "hits")
-    return rows
-
-
-def _pass(rows: DataFrame, shard: list, size: int, last: bool, spans: bool) -> DataFrame:
-    sent, name = rows.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
+    shards = item_shards(items, item_id, item_text, most_bytes)
+    shard = next(shards)
+    for following in shards:
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+        rows = staged(_pass(rows, sent, size, False, spans), "hits")
+        sent.destroy()
+        shard = following
+    return _pass(rows, docs.sparkSession.sparkContext.broadcast(shard), size, True, spans)
+
+
+def _pass(rows: DataFrame, sent: Broadcast, size: int, last: bool, spans: bool) -> DataFrame:
+    name = uuid.uuid4().hex
     kept = rows.schema.fields[:-3]
     made = [("n_words", T.LongType(), pa.int64()), ("n_hit", T.LongType(), pa.int64()), ("__items", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("contaminated", T.BooleanType(), pa.bool_())]
     if spans:

@@ -194,3 +194,20 @@ def test_contamination_edge_cases(spark, edge):
     assert sorted(map(key, again)) == sorted(map(key, contamination.decontaminate(rows, items, ["doc_id"], spans=True).collect()))
     assert contamination.decontaminate(rows, items.limit(0), ["doc_id"]).filter("contaminated OR n_hit > 0").count() == 0
     assert contamination.decontaminate(rows.limit(0), items, ["doc_id"]).count() == 0
+
+
+def test_items_are_held_part_by_part(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{k}", f"é{k} b{k} c{k}") for k in range(6)], "item_id string, text string")
+    assert [len(p) for p in contamination.item_shards(items, "item_id", "text", 20)] == [2, 2, 2]  # nine characters, ten bytes an item
+    fetched, events, shards, one_pass = [0], [], contamination.item_shards, contamination._pass
+
+    def counted(*args):
+        for part in shards(*args):
+            fetched[0] += 1
+            yield part
+
+    monkeypatch.setattr(contamination, "item_shards", counted)
+    monkeypatch.setattr(contamination, "_pass", lambda *args: events.append(fetched[0]) or one_pass(*args))
+    docs = spark.createDataFrame([(k, f"x é{k} b{k} c{k} y") for k in range(6)], "doc_id long, text string")
+    found = contamination.decontaminate(docs, items, ["doc_id"], most_bytes=20, size=3).collect()
+    assert events == [2, 3, 3] and {r["doc_id"]: r["__items"] for r in found} == {k: [f"i{k}"] for k in range(6)}
