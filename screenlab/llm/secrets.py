@@ -2,7 +2,7 @@
 
 Strong patterns stand by themselves. Weak parts - identifiers, secret-like strings and endpoints - are
 reported only next to their complement: an identifier next to a secret, a secret next to an identifier, an
-endpoint next to both. Parts meet by an interval join: every part is put into the bins of its document that
+endpoint next to both; parts that overlap do not vouch for each other. Parts meet by an interval join: every part is put into the bins of its document that
 its scope touches, and bins are joined. Parts of a class do not overlap and are six characters long or
 more, so a bin holds a bounded number of them and the join grows with the text, not with its square.
 """
@@ -59,7 +59,7 @@ def linked(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     bins = lambda margin: F.explode(F.sequence(F.floor((F.col("start") - margin) / scope), F.floor((F.col("end") + margin) / scope))).alias("bin")
     weak = parts.filter("order >= 3").select("__key", "class", "kind", "order", "start", "end", bins(scope))
     other = parts.select("__key", F.col("class").alias("class2"), F.col("start").alias("start2"), F.col("end").alias("end2"), bins(0))
-    near = weak.join(other, ["__key", "bin"]).filter((F.col("start2") <= F.col("end") + scope) & (F.col("end2") >= F.col("start") - scope) & (F.col("class2") != F.col("class")))
+    near = weak.join(other, ["__key", "bin"]).filter((F.col("start2") <= F.col("end") + scope) & (F.col("end2") >= F.col("start") - scope) & ((F.col("end2") <= F.col("start")) | (F.col("start2") >= F.col("end"))) & (F.col("class2") != F.col("class")))
     beside = near.groupBy("__key", "class", "kind", "order", "start", "end").agg(F.bool_or(F.col("class2") == "identifier").alias("id"), F.bool_or(F.col("class2") == "secret").alias("secret"))
     beside = beside.filter(((F.col("class") == "identifier") & F.col("secret")) | ((F.col("class") == "secret") & F.col("id")) | (F.col("id") & F.col("secret")))
     one = F.struct("start", "order", "end", F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("shown"))
