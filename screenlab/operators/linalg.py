@@ -96,12 +96,30 @@ def gram_by_features(df: DataFrame, entity: str, column: str, value: str, querie
     return pairs.groupBy(F.col(f"a.{entity}").alias("id_a"), F.col(f"b.{entity}").alias("id_b")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("dot"))
 
 
-def knn_mean(queries: DataFrame, rows: DataFrame, entity: str, vector: str, target: str, k: int) -> DataFrame:
-    """Mean target of the ``k`` most similar other rows by cosine; ties go to the smaller id, missing targets are skipped."""
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    a = queries.select(F.col(entity).alias("id_a"), F.col(vector).alias("va"), norm.alias("na"))
-    b = rows.select(F.col(entity).alias("id_b"), F.col(vector).alias("vb"), norm.alias("nb"), F.col(target).alias("t"))
-    pairs = a.join(b, F.col("id_a") != F.col("id_b")).select("id_a", "id_b", "t", F.round(dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")), 9).alias("cos"))
+def knn_mean(queries: DataFrame, rows: DataFrame, entity: str, vector: str, target: str, k: int, block: int = 256) -> DataFrame:
+    """Mean target of the ``k`` most similar other rows by cosine; ties go to the smaller id, missing targets are skipped.
+
+    A query's ``k`` nearest of each block of rows leave the block; a vector of zeros is similar to none.
+    """
+    cells = lambda df, *more: _blocks(df, block, F.col(entity).alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
+    kinds = [dict(queries.dtypes)[entity], dict(rows.dtypes)[entity], dict(rows.dtypes)[target]]
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(j)[i].values for j in (0, 1))
+                x, y = _matrix(a), _matrix(b)
+                size = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+                cos = np.round(np.divide(x @ y.T, size, out=np.full(size.shape, -2.0), where=size > 0), 9)
+                ids = [c.field("id").to_numpy(zero_copy_only=False) for c in (a, b)]
+                place = np.unique(ids[1], return_inverse=True)[1]
+                order = np.lexsort((np.broadcast_to(place, cos.shape), -cos), axis=-1)[:, : k + 1]
+                p, q = np.repeat(np.arange(len(a)), order.shape[1]), order.ravel()
+                apart = ids[0][p] != ids[1][q]
+                p, q = p[apart], q[apart]
+                yield pa.RecordBatch.from_arrays([a.field("id").take(pa.array(p)), b.field("id").take(pa.array(q)), b.field("t").take(pa.array(q)), pa.array(cos[p, q])], names=["id_a", "id_b", "t", "cos"])
+
+    pairs = _block_pairs(cells(queries), cells(rows, F.col(target).alias("t"))).mapInArrow(nearest, f"id_a {kinds[0]}, id_b {kinds[1]}, t {kinds[2]}, cos double")
     near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("cos"), "id_b"))).filter(F.col("rank") <= k)
     return near.groupBy("id_a").agg(F.avg("t").alias("prediction"), F.count("t").alias("n"))
 

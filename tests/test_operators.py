@@ -155,6 +155,24 @@ def test_kernels_cover_all_strata(spark, tmp_path):
     assert {tuple(r) for r in linalg.gram_by_features(cells, "r", "c", "v", F.col("r") == 1).collect()} == {(1, 1, 13.0), (1, 2, 10.0), (1, 3, 21.0)}
 
 
+def test_neighbours_are_cut_inside_blocks(spark):
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, size=(90, 3)).astype(float) + [0, 0, 5]  # many ties
+    t = [None if i % 11 == 0 else float(i % 7) for i in range(90)]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], t[i]) for i in range(90)], "k long, v array<double>, t double").repartition(3)
+    made = linalg.knn_mean(df.filter("k % 9 = 0"), df, "k", "v", "t", 4, block=8)
+    assert "MapInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    cos, want = np.round(v @ v.T / np.outer(*[np.linalg.norm(v, axis=1)] * 2), 9), {}
+    for i in range(0, 90, 9):
+        near = [t[j] for j in sorted(set(range(90)) - {i}, key=lambda j: (-cos[i, j], j))[:4] if t[j] is not None]
+        want[i] = (round(sum(near) / len(near), 9), len(near)) if near else (None, 0)
+    assert {r["id_a"]: (r["prediction"] if r["prediction"] is None else round(r["prediction"], 9), r["n"]) for r in made.collect()} == want
+    blocks = linalg._blocks(df, 8, F.col("k")).collect()
+    assert max(len(r[0]) for r in blocks) <= 8 and sum(len(r[0]) for r in blocks) == 90
+    products = {(r["id_a"], r["id_b"]): r["dot"] for r in linalg.gram(df.filter("k % 9 = 0"), df, "k", "v", 8).collect()}
+    assert len(products) == 900 and all(products[i, j] == v[i] @ v[j] for i, j in products)
+
+
 def test_counts(spark):
     df = spark.createDataFrame([("c1", "a", 3, "x"), ("c1", "b", 0, "x"), ("c2", "a", 2, "y"), ("c3", "b", 5, "x")], "cell string, f string, n int, label string")
     sums = counts.group_counts(counts.overlapping(df, F.col("label"), "x"), ["group"], "f", "n")
