@@ -31,8 +31,7 @@ def pattern() -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.is_held_out())
-    model = language.fit(docs.filter("NOT held_out"))
-    return language.identify(docs, model, ["doc_id", "held_out"])
+    return language.identify(docs, language.models(docs.filter("NOT held_out")), ["doc_id", "held_out"])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,23 @@ def test_language_scores(spark, edge):
     assert small[0] == ["fr", "und", "en"]
 
 
+def test_blocks_change_nothing(spark, edge):
+    """Neither the size of a block of text nor that of a block of languages changes a result."""
+    model = language.fit(edge.filter("doc_id <> 8"), per_language=50, bits=10)
+    texts = [t for _, t, _ in EDGE]
+    whole = model.predict(texts)
+    assert all(model.predict(texts, block) == whole for block in (1, 7, 1000, 1 << 22))
+    for text in ("", "a", "ab ΑΣ cd", "日本 x" * 300):
+        want = sorted(language.ngrams(text, (1, 2, 3), 15))
+        assert all(sorted(np.concatenate(list(language.gram_blocks(text, (1, 2, 3), 15, b)))) == want for b in (1, 2, 5, 64))
+    many = spark.createDataFrame([(i, f"{c * 3}{d * 2} {c}{d} " * 9, f"l{i:02d}") for i, (c, d) in enumerate((c, d) for c in "abcde" for d in "vwxyz")], "doc_id long, text string, lang string").unionByName(edge.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
+    one = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.identify(many, language.fit(many, bits=12), ["doc_id"]).collect()}
+    parts = list(language.models(many, bits=12, block_languages=4))
+    assert [len(m.languages) for m in parts] == [4] * 6 + [1]
+    assert one == {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.identify(many, parts, ["doc_id"]).collect()}
+    assert {n for _, n, _ in one} > {f"l{i:02d}" for i in range(25)}
+
+
 def test_language_without_labels(edge):
     model = language.fit(edge.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in language.identify(edge, model, ["doc_id"]).collect()} == {"und"}
