@@ -11,6 +11,7 @@ the last cut-off whose bound is within the rule's share of the allowed rate, and
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,11 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and the counts of each whole text. Null and empty texts count 0 throughout."""
+    """``keep`` and the counts of each whole text.
+
+    Null and empty texts count 0 throughout; repeated rows give repeated results, an empty table an empty
+    one; columns in ``keep`` that are named like a count are left out.
+    """
     source = docs.select(*[docs[c] for c in kept(keep, list(MEASURES))], docs[text].alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
@@ -104,40 +109,46 @@ def _tail(k: int, n: int, p: float) -> float:
     return total
 
 
-def choose(tallies: list[tuple[str, str, int, int, int]], steps: int, rate: float, level: float, rules: int) -> dict[tuple[str, str], int]:
-    """Cut-off step of each (stratum, rule) from (stratum, rule, step, rejected, good): the last safe one going down.
-
-    ``rate`` is the share of good documents that all rules of a stratum may reject together, ``level`` the
-    chance that any cut-off of the stratum breaks its part of it.
-    """
-    counts = {(s, r, k): (rejected, good) for s, r, k, rejected, good in tallies}
-    safe: dict[tuple[str, str], int] = {}
-    for stratum, rule in {(s, r) for s, r, *_ in tallies}:
-        for step in range(steps - 1, -1, -1):
-            if upper_bound(*counts[stratum, rule, step], level / rules) > rate / rules:
-                break
-            safe[stratum, rule] = step
+def choose(rejected: list[int], good: int, rate: float, level: float) -> int | None:
+    """The last safe step going down from the highest, of the rejected good documents at each step; None if the first fails."""
+    safe = None
+    for step in range(len(rejected) - 1, -1, -1):
+        if upper_bound(rejected[step], good, level) > rate:
+            break
+        safe = step
     return safe
 
 
-def fit_cutoffs(counts: DataFrame, good: Column, stratum: Column, rate: float = 0.05, level: float = 0.05, steps: int = 64, most_strata: int = 5_000) -> dict[tuple[str, str], float]:
-    """Cut-offs by (stratum, rule) from the rows of ``measured`` for which ``good`` holds and the base rules pass.
+def cutoff_table(counts: DataFrame, good: Column, stratum: Column, rate: float = 0.05, level: float = 0.05, steps: int = 64) -> DataFrame:
+    """stratum, rule, cutoff from the rows of ``measured`` for which ``good`` holds and the base rules pass.
 
-    Candidates are ``steps`` fixed values from 1/200 up on a geometric scale, so they do not depend on the
-    labels. Only the histogram of steps by stratum and rule goes to the driver, whose strata are limited.
+    ``rate`` is the share of a stratum's good documents that all its rules may reject together, ``level`` the
+    chance that any cut-off of the stratum breaks its part of it; both are divided among the rules. Strata
+    are not divided further: each has its own guarantee at ``level``. Candidates are ``steps`` fixed values
+    from 1/200 up on a geometric scale, so they do not depend on the labels. A stratum's and rule's
+    histogram of ``steps`` numbers is one small task's work, however many strata there are. A null stratum
+    counts as the empty one; repeated rows count as often as they stand; no good rows give no cut-offs.
     """
     rules, grid = rule_values(), candidates(steps)
     rows = counts.filter(~base_failed() & good).select(F.coalesce(stratum.cast("string"), F.lit("")).alias("stratum"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("value")) for r, v in rules.items()])).alias("x")).select("stratum", "x.rule", "x.value")
     # number of candidates below the value: a document is rejected by exactly those
     over = F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g < F.col("value")))
-    found = rows.groupBy("stratum", "rule", over.alias("over")).agg(F.count("*").alias("n")).limit(most_strata * len(rules) * (steps + 1) + 1).collect()
-    groups: dict[tuple[str, str], list[int]] = {}
-    for r in found:
-        groups.setdefault((r["stratum"], r["rule"]), [0] * (steps + 1))[r["over"]] += r["n"]
-    if len(groups) > most_strata * len(rules):
-        raise ValueError(f"more than {most_strata} strata")
-    tallies = [(s, rule, k, sum(n[k + 1 :]), sum(n)) for (s, rule), n in groups.items() for k in range(steps)]
-    return {key: grid[k] for key, k in choose(tallies, steps, rate, level, len(rules)).items()}
+    histogram = rows.groupBy("stratum", "rule", over.alias("over")).agg(F.count("*").alias("n"))
+    share = len(rules)
+
+    def cut(group: pa.Table) -> pa.Table:
+        n = [0] * (steps + 1)
+        for over, k in zip(group.column("over").to_pylist(), group.column("n").to_pylist()):
+            n[over] += k
+        step = choose([sum(n[k + 1 :]) for k in range(steps)], sum(n), rate / share, level / share)
+        return group.select(["stratum", "rule"]).slice(0, 0 if step is None else 1).append_column("cutoff", pa.array([] if step is None else [grid[step]], pa.float64()))
+
+    return histogram.groupBy("stratum", "rule").applyInArrow(cut, "stratum string, rule string, cutoff double")
+
+
+def fit_cutoffs(counts: DataFrame, good: Column, stratum: Column, **options) -> dict[tuple[str, str], float]:
+    """``cutoff_table`` on the driver, by (stratum, rule): for few strata."""
+    return {(r["stratum"], r["rule"]): r["cutoff"] for r in cutoff_table(counts, good, stratum, **options).collect()}
 
 
 def candidates(steps: int) -> list[float]:
@@ -145,16 +156,17 @@ def candidates(steps: int) -> list[float]:
     return [0.005 * 800 ** (k / (steps - 1)) for k in range(steps)]
 
 
-def judged(counts: DataFrame, cutoffs: dict[tuple[str, str], float], stratum: Column, keep: list[str]) -> DataFrame:
+def judged(counts: DataFrame, cutoffs: DataFrame | dict[tuple[str, str], float], stratum: Column, keep: list[str]) -> DataFrame:
     """``keep``, the counts, base_failed and kept: false if the base rules or a cut-off of the stratum reject.
 
-    A stratum without safe cut-offs (too few labels, or none) is judged by the base rules alone.
+    A stratum without safe cut-offs (too few labels, or none) is judged by the base rules alone. Repeated
+    rows give repeated results, an empty table an empty one; columns in ``keep`` that are named like a
+    result are left out. Cut-offs are joined by stratum, one row each: broadcast if they are small.
     """
+    if isinstance(cutoffs, dict):
+        cutoffs = counts.sparkSession.createDataFrame([(s, r, c) for (s, r), c in cutoffs.items()], "stratum string, rule string, cutoff double")
     rules = rule_values()
-    place = F.coalesce(stratum.cast("string"), F.lit(""))
-    rejected = F.lit(False)
-    for rule, value in rules.items():
-        known = [x for (s, r), cut in sorted(cutoffs.items()) if r == rule for x in (F.lit(s), F.lit(cut))]
-        if known:
-            rejected = rejected | F.coalesce(value > F.create_map(*known)[place], F.lit(False))
-    return counts.withColumn("__rejected", rejected).select(*keep, *MEASURES, base_failed().alias("base_failed"), (~base_failed() & ~F.col("__rejected")).alias("kept"))
+    wide = cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in rules])
+    rows = counts.withColumn("__stratum", F.coalesce(stratum.cast("string"), F.lit(""))).join(wide, "__stratum", "left")
+    rejected = reduce(Column.__or__, [F.coalesce(value > F.col(f"__{rule}"), F.lit(False)) for rule, value in rules.items()])
+    return rows.select(*kept(keep, [*MEASURES, "base_failed", "kept"]), *MEASURES, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))

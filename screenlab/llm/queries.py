@@ -38,7 +38,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     measured = staged(quality.measured(docs, ["doc_id", "lang"]), "measures")  # texts are read once and never shuffled
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    cutoffs = quality.fit_cutoffs(measured.join(good, "doc_id", "left_semi"), F.lit(True), F.col("lang"))
+    cutoffs = staged(quality.cutoff_table(measured.join(good, "doc_id", "left_semi"), F.lit(True), F.col("lang")), "cutoffs")
     return quality.judged(measured, cutoffs, F.col("lang"), ["doc_id"])
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -73,7 +74,8 @@ def plain_measures(text):
     words = regex.findall(WORD, text)
     lines = [x for x in text.split("\n") if regex.search(WORD, x)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    again = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    often = Counter(windows)
+    again = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
     return len(words), sum(map(len, words)), len(regex.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(again)
 
 
@@ -106,12 +108,47 @@ def test_cutoffs_keep_good_rows(spark):
     assert sum(not r["kept"] for r in out) == 1
 
 
+def plain_cutoffs(rows, rate=0.05, level=0.05, steps=64):
+    """Cut-offs by (stratum, rule) from (stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), with the exact binomial by its sum."""
+    from math import comb
+
+    grid, out = [0.005 * 800 ** (k / (steps - 1)) for k in range(steps)], {}
+    for stratum in {r[0] for r in rows}:
+        good = [r for r in rows if r[0] == stratum and r[1] >= 50 and 100 * r[5] <= 50 * r[1]]
+        for rule, of in {"symbols": lambda r: r[3] / r[1], "repeats": lambda r: r[5] / r[1], "lines": lambda r: r[4] / r[1], "long_words": lambda r: r[2] / r[1] / 100}.items():
+            for cut in reversed(grid):
+                n, k, p = len(good), sum(of(r) > cut for r in good), rate / 4
+                # the bound is within the rate just if so few rejections are unlikely at that rate
+                if n == 0 or k >= n or sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > level / 4:
+                    break
+                out[stratum or "", rule] = cut
+    return out
+
+
+def test_kept_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(2400):
+        lang, n = rng.choice(["en", "en", "en", None, "de"]), rng.randrange(30, 300)
+        rows.append((i, lang, n, n * rng.randrange(3, 9), rng.choice([0, 0, 0, 1, n // 9]), rng.choice([0, 0, 0, n // 20]), rng.choice([0, 0, n // 9, n])))
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    want = plain_cutoffs([r[1:] for r in rows])
+    assert want and quality.fit_cutoffs(frame, F.lit(True), F.col("lang")) == want
+    out = {r["doc_id"]: r["kept"] for r in quality.judged(frame, quality.cutoff_table(frame, F.lit(True), F.col("lang")), F.col("lang"), ["doc_id", "n_words"]).collect()}
+    for i, lang, n, chars, symbols, lines, again in rows:
+        over = {"symbols": symbols / n, "repeats": again / n, "lines": lines / n, "long_words": chars / n / 100}
+        assert out[i] == (n >= 50 and 100 * again <= 50 * n and not any(v > want.get((lang or "", rule), 9e9) for rule, v in over.items()))
+    # any number of strata
+    many = frame.withColumn("lang", (F.col("doc_id") % 700).cast("string"))
+    assert quality.judged(many, quality.cutoff_table(many, F.lit(True), F.col("lang")), F.col("lang"), ["doc_id"]).count() == len(rows)
+
+
 def test_quality_query(spark, edge):
     out = {r["doc_id"]: r for r in QUERIES["op2_quality_rules"](spark, SF).collect()}
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert set(out) == set(docs)
     for i, r in out.items():
-        want = plain_measures(docs[i]["text"]) if len(docs[i]["text"]) < 8000 else quality.measure(docs[i]["text"])
+        want = plain_measures(docs[i]["text"])
         assert tuple(r[m] for m in quality.MEASURES) == want
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["base_failed"] and r["kept"])
     made = quality.judged(quality.measured(edge.drop("n_words"), ["doc_id", "lang"]), {}, F.col("lang"), ["doc_id"])
