@@ -17,7 +17,7 @@ _CUT = re.compile(r" (?=\S)").split
 
 #: Marks that may be taken off the end of a part after a letter: a letter and one of these never share a
 #: pre-token, a run of them at the end is one pre-token, and no special string of the public vocabularies ends in them.
-_TAIL = ".,;:!?#*$%&()[]{}+-=/@^~"
+TAIL = ".,;:!?#*$%&()[]{}+-=/@^~"
 
 
 def parts(text: str) -> list[str]:
@@ -65,7 +65,7 @@ class Memo(dict):
 
 def split_tail(part: str) -> tuple[str, str]:
     """A part and the run of closing marks after its last letter, which is a pre-token of its own."""
-    stem = part.rstrip(_TAIL)
+    stem = part.rstrip(TAIL)
     if len(stem) < len(part) and stem and stem[-1].isalpha():
         return stem, part[len(stem) :]
     return part, ""

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import parts, split_tail, windows
+from .chunks import TAIL, parts, split_tail, windows
 from .store import kept
 
 
@@ -33,8 +33,9 @@ class LibraryEncoder:
     """Ids of whole texts by the library that a vocabulary file belongs to.
 
     Byte-level vocabularies are cut at safe spaces; the parts of a batch that are not remembered yet are
-    handed to the library together. Other vocabularies get each text whole, as their pre-processing may
-    look across any cut.
+    handed to the library together; parts with a special string always go to it. Other vocabularies, and
+    those whose special strings hold spaces or closing marks, get each text whole, as their pre-processing
+    may look across any cut.
     """
 
     def __init__(self, path: str, parts_kept: int = 600_000):
@@ -58,8 +59,9 @@ class LibraryEncoder:
             with open(path, encoding="utf-8") as f:
                 kind = json.load(f)
             pre = kind.get("pre_tokenizer") or {}
-            self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer") and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in kind["added_tokens"])
-            self.special = [x["content"] for x in kind["added_tokens"]]
+            self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer") and not any(" " in x["content"] or x["lstrip"] or x["rstrip"] or x["content"].strip(TAIL) != x["content"] for x in kind["added_tokens"])
+            #: special strings that a part of letters may hold: the library alone finds them
+            self.special = [x["content"] for x in kind["added_tokens"] if not x["content"] or any(c.isalpha() for c in x["content"])]
             shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             #: characters that byte-level models show bytes as, read off the library with text that holds them
             self.table = {}
@@ -70,10 +72,13 @@ class LibraryEncoder:
         """Ids of a pre-token of letters (a space may stand before it), straight from the library's model."""
         return tuple([t.id for t in self.model.model.tokenize(word.encode().decode("latin-1").translate(self.table))])
 
-    def _learn(self, missing: set[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, missing: set[str], special: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of parts after a space: letters with or without closing marks by the model, others by the whole library."""
         found, odd, memo = {}, [], self.memo
         for part in missing:
+            if special and any(x in part for x in special):
+                odd.append(part)
+                continue
             if part.isalpha():
                 found[part] = self._letters(" " + part)
                 continue
@@ -95,14 +100,15 @@ class LibraryEncoder:
         """Ids of each text."""
         if not self.cuts:
             return self.whole(texts)
+        special = [x for x in self.special if any(x in text for text in texts)]
         cut, memo, seen = [parts(text) for text in texts], self.memo, set()
         for words in cut:
             seen.update(words[1:])
-        memo.rest = self._learn(seen.difference(memo))
+        memo.rest = self._learn(seen.difference(memo), special)
         room = self.limit - len(memo)
         if room > 0:
             memo.update(memo.rest if len(memo.rest) <= room else dict(islice(memo.rest.items(), room)))
-        plain = {w[0] for w in cut if not w[0].isalpha()}
+        plain = {w[0] for w in cut if not w[0].isalpha() or any(x in w[0] for x in special)}
         heads = dict(zip(plain, self.whole(list(plain))))
         return [[*(heads[w[0]] if w[0] in plain else self._letters(w[0])), *chain.from_iterable(map(memo.__getitem__, w[1:]))] for w in cut]
 

@@ -106,6 +106,24 @@ def test_library_encoder(library):
             assert list(ids) == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("special", ["PADTOKEN", "<a.b>", "¶¶", ".end", "né"])
+def test_special_strings(tmp_path, special):
+    """Special strings of any make are found as the library finds them."""
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        kind = json.load(f)
+    kind["added_tokens"].append({**kind["added_tokens"][0], "id": 50257, "content": special})
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(kind), encoding="utf-8")
+    codes, own = counts.LibraryEncoder(str(path)), Tokenizer.from_file(str(path))
+    texts = [special, f"one {special} two", f"one{special}two {special}.", f" {special}{special} x", special * 2 + " end", "one two end."]
+    texts += [t.replace("Z", special) for t in odd_texts(300, 8)]
+    for batch in (texts, texts[::-1]):
+        assert [list(x) for x in codes.encode(batch)] == [own.encode(t, add_special_tokens=False).ids for t in batch]
+    assert codes.cuts == (special != ".end")
+
+
 def test_count_query(spark, docs, edge, library):
     for source in (docs, edge):
         want = sorted((r["doc_id"] or 0, len((r["text"] or "").encode()), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in source.collect())
