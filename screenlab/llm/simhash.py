@@ -1,8 +1,9 @@
 """SimHash near duplicates: fingerprints, exact links by tiles, components.
 
-Fingerprints at most ``radius`` bits apart agree on at least one of ``radius + 1`` bit bands, so a band and
-its leading bits (more of them the more fingerprints there are) decide which fingerprints meet; a crowded
-value is dealt to slices by population count, and slices whose counts differ beyond the radius never meet. Inside a task, slices are cut
+Of some bit blocks, fingerprints at most ``radius`` bits apart agree on all but ``radius``, so the bits of one
+such choice of blocks (a band) and its value decide which fingerprints meet; the more fingerprints there are,
+the more blocks they are cut into and the more bits a band has, so a value holds about as many of them at
+any size. A crowded value is dealt to slices by population count, and slices whose counts differ beyond the radius never meet. Inside a task, slices are cut
 into tiles in the order of the count, tile pairs beyond the radius are skipped, and the rest is compared
 exactly with exclusive-or and bit counts. A task returns a spanning forest of its links, not the pairs.
 """
@@ -10,11 +11,12 @@ exactly with exclusive-or and bit counts. A task returns a spanning forest of it
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,19 +110,41 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int = 5
     return np.stack([values[apart], values[root[apart]]], axis=1)
 
 
+def bands(n: int, radius: int, group_rows: int) -> tuple[list[list[tuple[int, int]]], int]:
+    """Bands as lists of bit ranges (from, to), and how many of a band's leading bits make its value.
+
+    With m blocks there is a band for each choice of m - radius of them: two fingerprints within the radius
+    differ in ``radius`` blocks at most and agree on all of some band. The fewest blocks are taken whose bands
+    have the bits that give a value about ``group_rows`` of ``n`` fingerprints.
+    """
+    wanted = max(0, round(math.log2(max(1, n / group_rows))))
+    for m in range(radius + 1, 65):
+        cuts = [64 * k // m for k in range(m + 1)]
+        made = [[(cuts[k], cuts[k + 1]) for k in chosen] for chosen in combinations(range(m), m - radius)]
+        if m == 64 or min(sum(b - a for a, b in ranges) for ranges in made) >= wanted:
+            return made, min(wanted, min(sum(b - a for a, b in ranges) for ranges in made))
+    raise AssertionError
+
+
 def near_pairs(prints: DataFrame, radius: int = 3, slice_rows: int = 4096, group_rows: int = 1024) -> DataFrame:
     """a, b: links that connect what fingerprints (__fp, distinct) within ``radius`` bits connect.
 
-    The leading bits of a band that make the key grow with the number of fingerprints, so that a value
-    holds about ``group_rows``. Counts by band, value and population count size the slices of values
+    Counts by band, value and population count size the slices of values
     beyond ``slice_rows``, so no task compares more than about two slices however common a value is.
     """
-    bands = radius + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    wanted = max(0, round(math.log2(max(1, prints.count() / group_rows))))
-    taken = [min(wanted, cuts[k + 1] - cuts[k]) for k in range(bands)]
-    value = lambda k: F.shiftrightunsigned("__fp", cuts[k + 1] - taken[k]).bitwiseAND(F.lit((1 << taken[k]) - 1)) if taken[k] < 64 else F.col("__fp")
-    rows = prints.select("__fp", F.bit_count("__fp").alias("pop"), F.explode(F.array(*[F.struct(F.lit(k).alias("band"), value(k).cast("long").alias("value")) for k in range(bands)])).alias("x")).select("__fp", "pop", "x.band", "x.value")
+    cut, taken = bands(prints.count(), radius, group_rows)
+
+    def value(ranges: list[tuple[int, int]]) -> Column:
+        """The leading ``taken`` bits of a band, those of its last range first."""
+        made, left = F.lit(0).cast("long"), taken
+        for low, high in reversed(ranges):
+            n = min(left, high - low)
+            if n:
+                made = F.shiftleft(made, n).bitwiseOR(F.shiftrightunsigned("__fp", high - n).bitwiseAND(F.lit((1 << n) - 1)))
+            left -= n
+        return made
+
+    rows = prints.select("__fp", F.bit_count("__fp").alias("pop"), F.explode(F.array(*[F.struct(F.lit(k).alias("band"), value(ranges).alias("value")) for k, ranges in enumerate(cut)])).alias("x")).select("__fp", "pop", "x.band", "x.value")
     key = ["band", "value"]
     counts = rows.groupBy(*key, "pop").agg(F.count("*").alias("n"))
     by_pop = Window.partitionBy(*key).orderBy("pop")  # at most 65 rows a value
@@ -148,7 +172,7 @@ def near_pairs(prints: DataFrame, radius: int = 3, slice_rows: int = 4096, group
     return few.unionByName(many).groupBy(*key, "one", "two").applyInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) reaches, by alternating stars.
 
     Each round links the larger neighbours of a node to its smallest neighbour, then the smaller ones;
@@ -156,7 +180,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
@@ -167,7 +191,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
         before = now
-    raise RuntimeError("the components did not settle")
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, root: bool = False) -> DataFrame:

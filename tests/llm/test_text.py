@@ -224,6 +224,35 @@ def test_links_lose_nothing(spark, slice_rows, group_rows):
     assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()} and unsigned(-1) == 2**64 - 1
 
 
+def test_bands_share_a_value():
+    """Whatever the number of fingerprints, two within the radius agree on the bits of some band."""
+    rnd = random.Random(3)
+    for n in (0, 10, 10**6, 10**8, 10**10, 10**12):
+        cut, taken = simhash.bands(n, 3, 1024)
+        assert min(sum(b - a for a, b in ranges) for ranges in cut) >= taken >= min(28, round(np.log2(max(1, n / 1024)))) and len(cut) <= 56
+        for _ in range(300):
+            a = rnd.getrandbits(64)
+            b = a ^ sum(1 << k for k in rnd.sample(range(64), 3))
+            assert any(all((a ^ b) >> low & ((1 << (high - low)) - 1) == 0 for low, high in ranges) for ranges in cut)
+
+
+def test_links_with_many_blocks(spark, monkeypatch):
+    """The bands of a huge table lose no link of a small one."""
+    rnd = random.Random(4)
+    prints = sorted({x ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(4))) for x in [rnd.getrandbits(64) for _ in range(60)] for _ in range(5)})
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "__fp long")
+    real = simhash.bands
+    monkeypatch.setattr(simhash, "bands", lambda n, radius, rows: real(10**10, radius, rows))
+    roots = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.components(simhash.near_pairs(frame)).collect()}
+    got = {}
+    for i, p in enumerate(prints):
+        got.setdefault(roots.get(p, p), set()).add(i)
+    want = {}
+    for i, c in plain_components(list(enumerate(prints))):
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(prints)
+
+
 def test_contamination_equals_sql(spark):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
