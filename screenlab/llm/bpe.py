@@ -311,10 +311,18 @@ class StreamDecoder:
         return rest.decode(errors="replace")
 
 
+def public_pattern() -> str:
+    """The pattern for which ``chunks`` knows safe cuts."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class Codec:
     """Whole texts to ids and back: cuts into pre-tokens, encodes by transducer, remembers common words.
 
-    The cuts of ``chunks`` hold for the public pattern of letters, numbers, other marks and white space.
+    The cuts of ``chunks`` hold for the public pattern of letters, numbers, other marks and white space;
+    with any other pattern texts are taken whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, words_kept: int = 500_000, max_states: int = 180_000):
@@ -324,6 +332,7 @@ class Codec:
         self.digits = {i: str(i) for i in self.bytes_of}
         self._tails = Memo(lambda tail: self.transducer.encode(tail.encode()), 10_000)
         self._find, self._words = regex.compile(pattern).findall, Memo(self._word, words_kept)
+        self.cuts = pattern == public_pattern()
 
     def _word(self, part: str) -> tuple[int, ...]:
         """Tokens of a part after a space."""
@@ -338,6 +347,8 @@ class Codec:
         return tuple(chain.from_iterable(self.transducer.encode(piece.encode()) for piece in self._find(text)))
 
     def encode(self, text: str) -> list[int]:
+        if not self.cuts:
+            return list(self._plain(text))
         head, *rest = parts(text)
         return [*self._plain(head), *chain.from_iterable(map(self._words.__getitem__, rest))]
 
@@ -393,7 +404,8 @@ def encode_texts(docs: DataFrame, ranks_file: Callable[[], str], pattern: str, k
                 made: dict[str, list] = {k: [] for k in out}
                 for value in part.column(part.num_columns - 1):
                     ids: list[int] = []
-                    for piece in windows(value.as_py() or "", step):
+                    whole = value.as_py() or ""
+                    for piece in windows(whole, step) if codes.cuts else [whole]:
                         ids += codes.encode(piece)
                     for k in out:
                         made[k].append(_field(k, codes, ids))
