@@ -119,14 +119,18 @@ class TokenReader:
 def write_tokens(docs: DataFrame, vocabulary: Callable[[], str], files: int | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, most_bytes: int = 1 << 20) -> DataFrame:
     """Write ids in ascending ``doc_id`` (nulls first, equal ids by text) and return the manifest: part, path, n_docs, n_tokens.
 
-    Rows are dealt by ranges of ``doc_id`` to ``files`` tasks (the session's shuffle partitions by
-    default); every task writes one file, so file order and order inside files give the corpus order.
+    Rows are dealt by ranges of ``doc_id`` and the text's first characters, so rows without an id or of one
+    id are not one task's work. There are ``files`` tasks, by default as many as the table is read in, which
+    grows with its bytes, and the session's shuffle partitions at least; every task writes one file, so file
+    order and order inside files give the corpus order.
     Null text counts as empty and gives the end id alone. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    n, folder = files or int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, "tokens")
+    n = files or max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = new_path(spark, "tokens")
     source = docs.select(docs[doc_id].cast("long").alias("__id"), docs[text].alias("__text"))
-    source = source.repartitionByRange(n, "__id").sortWithinPartitions(F.col("__id").asc_nulls_first(), "__text")
+    order = F.col("__id").asc_nulls_first()
+    source = source.repartitionByRange(n, order, F.left("__text", F.lit(32))).sortWithinPartitions(order, "__text")
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def write(batches):

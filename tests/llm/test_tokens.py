@@ -84,6 +84,16 @@ def test_bpe_query(spark, docs, encoding):
             assert r["decoded_sha256"] == hashlib.sha256(encoding.decode_bytes(ids)).hexdigest()
 
 
+def test_other_patterns(encoding):
+    """Cuts at spaces are for the public pattern alone: any other has each text whole."""
+    own = r"[^\s]+ ?|\s+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(RANKS), "rb"))}
+    codes, want = bpe.Codec(ranks, own), tiktoken.Encoding("other", pat_str=own, mergeable_ranks=ranks, special_tokens={})
+    assert not codes.cuts and bpe.Codec(ranks, pattern()).cuts
+    for text in odd_texts(200, 9):
+        assert codes.encode(text) == want.encode_ordinary(text)
+
+
 def test_bpe_edge_cases(spark, edge, encoding):
     out = bpe.encode_texts(edge, vocabulary(RANKS), pattern(), ["doc_id", "score"], ["n_tokens", "token_ids", "decoded"], step=1000).collect()
     assert len(out) == len(EDGE)
@@ -179,4 +189,8 @@ def test_token_file_query(spark, docs, edge, library):
             at += len(ids)
         out = tokenfile.read_tokens(tokenfile.write_tokens(source, vocabulary("byte_bpe_50k.json"), most_bytes=5000)).collect()
         assert sorted((r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in out) == sorted(want)
+    # rows without an id are dealt by their texts
+    lost = spark.createDataFrame([(None, f"{k % 7}{k} text") for k in range(400)], "doc_id long, text string")
+    made = tokenfile.write_tokens(lost, vocabulary("byte_bpe_50k.json"), files=4).collect()
+    assert len(made) >= 3 and sum(r["n_docs"] for r in made) == 400
     assert tokenfile.read_tokens(tokenfile.write_tokens(edge.limit(0), vocabulary("byte_bpe_50k.json"))).count() == 0
