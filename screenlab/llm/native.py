@@ -60,15 +60,23 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: s["shown"]), ",")
 
 
+def in_blocks(values: Column) -> Column:
+    """An array cut into arrays of ``_BLOCK``; an empty one gives one empty block."""
+    last = F.greatest(F.floor((F.size(values) - 1) / _BLOCK), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
 def masked(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with each run of overlapping spans (sorted by start) replaced by ``mark``."""
+    """``text`` with each run of overlapping spans (sorted by start) replaced by ``mark``.
+
+    How far the spans before one reach comes from the maxima of whole blocks and the rest of its own.
+    """
     piece = lambda s, past: F.when(s["start"] >= past, F.concat(F.substring(text, past + 1, s["start"] - past), F.lit(mark))).otherwise(F.lit(""))
-    past = lambda ends: F.coalesce(F.array_max(ends), F.lit(0))
-    done = let(
-        F.transform(spans, lambda s: s["end"]),
-        lambda ends: F.concat(
-            F.array_join(F.transform(spans, lambda s, i: let(past(F.slice(ends, F.lit(1), i)), lambda p: piece(s, p))), ""),
-            F.substring(text, past(ends) + 1, F.char_length(text)),
-        ),
-    )
+    most = lambda ends: F.coalesce(F.array_max(ends), F.lit(0))
+
+    def replaced(x: Column) -> Column:
+        past = lambda i: F.greatest(most(F.slice(x["maxima"], F.lit(1), F.floor(i / _BLOCK).cast("int"))), most(F.slice(x["ends"], F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))
+        return F.concat(F.array_join(F.transform(spans, lambda s, i: let(past(i), lambda p: piece(s, p))), ""), F.substring(text, most(x["maxima"]) + 1, F.char_length(text)))
+
+    done = let(F.transform(spans, lambda s: s["end"]), lambda ends: let(F.struct(ends.alias("ends"), F.transform(in_blocks(ends), most).alias("maxima")), replaced))
     return F.when(F.size(spans) > 0, done).otherwise(text)

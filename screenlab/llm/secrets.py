@@ -38,13 +38,19 @@ def _mixed(m: Column) -> Column:
     return m["value"].rlike("[A-Z]") & m["value"].rlike("[a-z]") & m["value"].rlike("[0-9]")
 
 
+def has_identifier(text: Column) -> Column:
+    """Whether a text may hold an identifier; every rule of ``linked`` needs one."""
+    value = F.coalesce(text, F.lit(""))
+    return value.contains("AKIA") | value.rlike(IDENTIFIER)
+
+
 def linked(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     """__key (MD5 of a text) and __linked: its weak parts with a complement within ``scope`` characters.
 
-    Every rule needs an identifier, so only texts with one are looked at, each distinct text once.
+    Only texts with an identifier are looked at, each distinct text once.
     """
     value = F.coalesce(F.col("__text"), F.lit(""))
-    rows = docs.select(docs[text].alias("__text")).filter(value.contains("AKIA") | value.rlike(IDENTIFIER)).select(F.md5(F.encode(value, "utf-8")).alias("__key"), "__text").dropDuplicates(["__key"])
+    rows = docs.select(docs[text].alias("__text")).filter(has_identifier(F.col("__text"))).select(F.md5(F.encode(value, "utf-8")).alias("__key"), "__text").dropDuplicates(["__key"])
     classes = {
         "identifier": [("access", 1, match_spans(value, ACCESS)), ("identifier", 3, match_spans(value, IDENTIFIER))],
         "secret": [("assign", 0, strong(value)["assign"]), ("hex", 2, match_spans(value, HEX)), ("opaque", 4, F.filter(match_spans(value, OPAQUE), _mixed))],
@@ -66,23 +72,39 @@ def linked(docs: DataFrame, text: str = "text", scope: int = 200) -> DataFrame:
     return beside.groupBy("__key").agg(F.collect_list(one).alias("__linked"))
 
 
-def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text", scope: int = 200) -> DataFrame:
+def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text", scope: int = 200, salts: int = 64) -> DataFrame:
     """``keep``, n_assign, n_access, n_hex, __base and __spans (structs in order of start, then kind) of each row.
 
     Null text counts as empty. Spans depend on the text alone, so repeated rows and copies have the same
-    ones; links join back by the text's MD5. An empty table gives an empty result.
+    ones. Only rows with an identifier are shuffled; they meet the links of their text by its MD5 and one of
+    ``salts`` numbers, so the copies of a text are many tasks' work. Columns in ``keep`` that are named like a
+    count are left out. An empty table gives an empty result.
     """
     keep = kept(keep, [f"n_{k}" for k in KINDS[:3]])
-    value = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(*[docs[c] for c in keep], F.md5(F.encode(value, "utf-8")).alias("__key"), strong(value).alias("__found"))
-    base = F.array_sort(F.concat(*[shown(k, F.col("__found")[k], i) for i, k in enumerate(KINDS[:3])]))
-    rows = rows.select(*keep, "__key", *[F.size(F.col("__found")[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]], base.alias("__base"))
-    rows = rows.join(linked(docs, text, scope), "__key", "left")
-    return rows.select(*keep, *[f"n_{k}" for k in KINDS[:3]], "__base", F.when(F.col("__linked").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__linked"))).alias("__spans"))
+    counts = [f"n_{k}" for k in KINDS[:3]]
+
+    def based(rows: DataFrame, *more: Column) -> DataFrame:
+        found = rows.select(*[rows[c] for c in keep], *more, strong(F.coalesce(rows[text], F.lit(""))).alias("__found"))
+        base = F.array_sort(F.concat(*[shown(k, F.col("__found")[k], i) for i, k in enumerate(KINDS[:3])]))
+        sizes = [F.size(F.col("__found")[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+        return found.select(*keep, *[c for c in found.columns if c in ("__key", "__salt")], *sizes, base.alias("__base"))
+
+    may = has_identifier(docs[text])
+    key = F.md5(F.encode(F.coalesce(docs[text], F.lit("")), "utf-8")).alias("__key")
+    # which of the same links a row meets: by its columns and, for repeated rows, by where it stands
+    salt = F.pmod(F.xxhash64(*[docs[c] for c in keep], F.spark_partition_id()), F.lit(salts)).cast("int").alias("__salt")
+    plain = based(docs.filter(~may)).withColumn("__spans", F.col("__base"))
+    links = linked(docs, text, scope).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = based(docs.filter(may), key, salt).join(links, ["__key", "__salt"], "left")
+    spans = F.when(F.col("__linked").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__linked")))
+    return plain.unionByName(rows.select(*keep, *counts, "__base", spans.alias("__spans")))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: int = 200) -> DataFrame:
-    """The rows with all secrets in ``text`` replaced by ``mark``; the other columns stay. Null text stays null."""
+    """The rows with all secrets in ``text`` replaced by ``mark``; the other columns stay, whatever their names.
+
+    Null text stays null; repeated rows give repeated results, an empty table an empty one.
+    """
     inner, columns = numbered(docs), docs.columns
     at = f"__c{columns.index(text)}"
     found = scan_secrets(inner, inner.columns, at, scope).withColumn(at, masked(F.col(at), F.col("__spans"), mark))
