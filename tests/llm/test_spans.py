@@ -171,6 +171,71 @@ def test_weak_candidates(spark):
     assert personal.scan_personal(with_ids(spark, texts).limit(0), ["doc_id"]).count() == 0
 
 
+def spoken(seed, n):
+    """Texts with one candidate each, and whether it is personal; cues are missing or wrong for some."""
+    rnd = random.Random(seed)
+    digits = lambda k: "".join(rnd.choice("23456789") for _ in range(k))
+    out = []
+    for _ in range(n):
+        true = rnd.random() < 0.5
+        right = rnd.random() < 0.9
+        kind = rnd.choice(["phone", "ssn", "account", "person"])
+        cue, counter = {"phone": ("call my phone", "order serial"), "ssn": ("her social", "invoice part"), "account": ("konto", "model version"), "person": ("dear", "model page")}[kind]
+        body = {
+            "phone": f"({digits(3)}) {digits(3)}-{digits(4)}" if true else f"{digits(3)} {digits(3)} {digits(4)}",
+            "ssn": f"{rnd.randrange(100, 600)}-{digits(2)}-{digits(4)}" if true else f"9{digits(2)}-{digits(2)}-{digits(4)}",
+            "account": f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)}" if true else f"XQ{digits(2)}{digits(12)}",
+            "person": f"{rnd.choice(personal.GIVEN)} {rnd.choice(personal.FAMILY)}" if true else f"{rnd.choice(personal.GIVEN)} {rnd.choice(['River', 'Bridge', 'Series'])}",
+        }[kind]
+        said = (cue if true == right else counter) if rnd.random() < 0.85 else "and then"
+        mail = " to a.b@mail.example.com" if true and rnd.random() < 0.3 else ""
+        out.append((f"lorem ipsum {said} {body}{mail} dolor sit", true))
+    return out
+
+
+def test_classifier_on_held_out_candidates(spark):
+    """Trained without labels on one half, measured on the other: precision and recall of added spans."""
+    train, test = spoken(1, 1500), spoken(2, 1500)
+    text = F.coalesce("text", F.lit(""))
+    rows = with_ids(spark, [t for t, _ in train]).select(F.explode(personal.candidates(text, personal.strong(text))).alias("c"))
+    model = personal.train(rows)
+    out = personal.scan_personal(with_ids(spark, [t for t, _ in test]), ["doc_id"], trained=model).select("doc_id", F.exists("__spans", lambda s: ~s["shown"].rlike("^(email|ip|card|phone):")).alias("hit")).collect()
+    caught = {r["doc_id"] for r in out if r["hit"]}
+    true = {i for i, (_, t) in enumerate(test) if t}
+    precision, recall = len(caught & true) / len(caught), len(caught & true) / len(true)
+    assert precision > 0.9 and recall > 0.9, (precision, recall)
+
+
+def test_votes_equal_brute_force(spark):
+    """Candidates, votes and features of each text, by plain searches over all strong spans."""
+    texts = [t for t, _ in spoken(3, 150)] + [f"{t} {u} x@y.example.com {v}" for (t, _), (u, _), (v, _) in zip(spoken(4, 60), spoken(5, 60), spoken(6, 60))]
+    texts += [" ".join(f"u{i}@m.example.com" for i in range(700)) + " call (234) 555-8424 " + " ".join(f"v{i}@m.example.com" for i in range(300))]
+    text = F.col("text")
+    out = with_ids(spark, texts).select("doc_id", personal.candidates(text, personal.strong(text)).alias("c")).collect()
+    search = lambda p, x: re.search(p, x) is not None
+    for r in out:
+        t = texts[r["doc_id"]]
+        base = [tuple(map(int, x.split(":")[1:])) for x in plain_personal(t)[1].split(",") if x]
+        want = []
+        for kind, pattern in personal.WEAK.items():
+            if kind == "person":
+                found = [m for m in re.finditer(r"(?<![A-Za-z.])(?:" + "|".join(personal.GIVEN) + r")\x20[A-Z][a-z]{1,30}(?![A-Za-z])", t) if not search(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20$", t[: m.start()])]
+            else:
+                found = list(re.finditer(pattern, t))
+            for m in found:
+                (a, b), v = m.span(), m[0]
+                if any(s < b and e > a for s, e in base):
+                    continue
+                before, after = t[max(0, a - 40) : a], t[b : b + 40]
+                # what stands before ends at the match before it
+                before = before if len(found) == 1 else t[max([0, a - 40, *[x.end() for x in found if x.end() <= a]]) : a]
+                after = after if len(found) == 1 else t[b : min([b + 40, len(t), *[x.start() for x in found if x.start() >= b]])]
+                around = f"{before} {after}"
+                vote = (int(search(personal.STRICT[kind], v)), int(search(personal.GAZETTEER, around if kind == "person" else f"{before} {v} {after}")), 1 if search(personal.CUES, around) else -1 if search(personal.COUNTER, around) else 0, -1 if search(personal.DULL, v) else 0, int(any(s < b + 60 and e > a - 60 for s, e in base)))
+                want.append((kind, a, b, vote))
+        assert [(c["kind"], c["start"], c["end"], tuple(c["votes"])) for c in r["c"]] == want, t
+
+
 def test_long_match_lists(spark):
     text = "ab1 " * 3000
     got = spark.createDataFrame([(text,)], "t string").select(native.match_spans(F.col("t"), "[0-9]", 2).alias("s")).first()["s"]
