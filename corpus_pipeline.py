@@ -1,11 +1,12 @@
 """Corpus pipeline: language, near duplicates, benchmark passages, secrets, tokens.
 
 Each stage gets the rows that the one before kept; all but the last return the columns of ``documents``.
+Every stage gives an empty table for an empty one, and takes any further columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlab.llm import bpe, contamination, language, secrets, simhash
@@ -14,28 +15,32 @@ from screenlab.llm.store import numbered, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language at even odds or better; text without a letter and null text go."""
-    model = language.fit(docs)
+    """Rows whose text has a language at even odds or better; text without a letter and null text go.
+
+    Rows without a language are judged but not learned from; repeated rows stay or go together.
+    """
     inner = numbered(docs)
-    found = language.identify(inner, model, inner.columns, text=f"__c{docs.columns.index('text')}")
+    found = language.identify(inner, language.models(docs), inner.columns, text=f"__c{docs.columns.index('text')}")
     return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)).select(*inner.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the first by doc_id, fingerprint and text; rows without an id come last.
+    """One row of each group of near duplicates: the first by doc_id, fingerprint and digest of the text; rows without an id come last.
 
-    Groups are told apart by their root, so ids that repeat with other texts do not mix them.
+    Groups are told apart by their root, so ids that repeat with other texts do not mix them. Texts without
+    words, null ones included, are one group.
     """
     marked_docs = docs.withColumn("__md5", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
-    marked = staged(simhash.near_duplicates(marked_docs, ["doc_id", "__md5"], root=True).select("__root", "doc_id", "__fp", "__md5").distinct(), "groups")
-    first = marked.groupBy("__root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__fp")).alias("f")).select(F.col("__root").alias("r"), F.col("f.doc_id").alias("d"), F.col("f.__fp").alias("p"))
-    chosen = marked.join(first, (F.col("__root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__fp") == F.col("p"))).select("__root", F.col("doc_id").alias("__id"), F.col("__md5").alias("__text"))
+    marked = simhash.near_duplicates(marked_docs, ["doc_id", "__md5"], root=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__fp", "__md5")).alias("f")
+    chosen = marked.groupBy("__root").agg(first).select("__root", F.col("f.doc_id").alias("__id"), F.col("f.__md5").alias("__text"))
     rows = marked_docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text")))
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__root").orderBy("text"))).filter("__n = 1").select(*docs.columns)
+    # what is left of a group are rows of one id and text: one stays
+    return rows.dropDuplicates(["__root"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that benchmark passages do not make up a twentieth of."""
+    """Rows that benchmark passages do not make up a twentieth of; null and empty texts stay, repeated rows stay or go together."""
     columns = docs.columns
     inner = numbered(docs)
     text = f"__c{columns.index('text')}"
@@ -44,7 +49,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, secrets in their text replaced by a mark, n_chars counted anew where the text changed."""
+    """All rows, secrets in their text replaced by a mark, n_chars counted anew where the text changed.
+
+    Null and empty texts stay as they are, and repeated rows are changed alike.
+    """
     columns = docs.columns
     before = docs.withColumn("__before", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
     rows = secrets.redact_secrets(before)
@@ -55,7 +63,10 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and what byte-level BPE makes of the text; smaller tables, as the workers of other stages share the memory."""
+    """doc_id and what byte-level BPE makes of the text; null and empty texts have no tokens, repeated rows come as often as they stand.
+
+    Smaller tables than by itself, as the workers of other stages share the memory.
+    """
     return bpe.encode_texts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern(), ["doc_id"], ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"], words_kept=300_000, max_states=60_000)
 
 
