@@ -67,3 +67,8 @@ def hash_place(*parts: Column) -> Column:
 def hash_key(*parts: Column) -> Column:
     """SHA-256 of the parts joined by ``|``: an order that depends on the parts alone."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+
+
+def finite_below(x: Column, bound: float = 0.0) -> Column:
+    """Whether a number is there and below ``bound``; missing and NaN are not."""
+    return F.coalesce(x < bound, F.lit(False)) & F.coalesce(~F.isnan(x), F.lit(False))

@@ -16,6 +16,13 @@ def collapsed(df: DataFrame, keys: list[str], value: str, how: str, order: str |
     return df.groupBy(*keys).agg(made.alias(value))
 
 
+def collapsed_by(df: DataFrame, keys: list[str], modality: str, value: str, how: dict[str, str], otherwise: str = "mean") -> DataFrame:
+    """One value a key and modality: each modality by its own rule of ``collapsed``."""
+    made = {"mean": F.avg, "sum": F.sum, "max": F.max}
+    rule = F.coalesce(*[F.when(F.col(modality) == m, made[h](value)) for m, h in how.items()], F.when(~F.coalesce(F.col(modality).isin(*how), F.lit(False)), made[otherwise](value)))
+    return df.groupBy(*keys, modality).agg(rule.alias(value))
+
+
 def smd(df: DataFrame, keys: list[str], value: str, arm: Column, least: int = 3) -> DataFrame:
     """Standardised mean difference of the rows where ``arm`` holds against the others, pooled SD; NULL below ``least`` a side."""
     a, b = F.when(arm, F.col(value)), F.when(~arm, F.col(value))

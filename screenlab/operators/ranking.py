@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +62,50 @@ def top_n(df: DataFrame, frequency: str, key: str, n: int, positive: bool = Fals
     """The ``n`` most frequent keys; zeros pad the list unless only positive ones count."""
     rows = df.filter(F.col(frequency) > 0) if positive else df
     return rows.orderBy(F.desc(frequency), key).limit(n)
+
+
+def placed(df: DataFrame, by: list[str], value: str, key: str, buckets: int = 1024) -> DataFrame:
+    """``place`` (from 1, by ``value`` and ``key``) and ``size`` of each row in its group, for groups of any share of all rows.
+
+    Approximate quantiles cut a group into ranges of about equal size; rows are numbered inside their range,
+    after the exact counts of the ranges before it. Without ``by`` the whole table is one group. ``value``
+    is a number; missing ones come first. Equal values share a range.
+    """
+    side = 32
+    n = side * max(1, buckets // side)
+    q = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10 * n))
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    drop = [f"__g{i}" for i in range(len(by))]
+    met = reduce(Column.__and__, same, F.lit(True))
+    cuts = df.groupBy(*groups).agg(F.coalesce(q, F.array().cast("array<double>")).alias("__q"), F.count("*").alias("size"))
+    below = lambda x: F.size(F.filter(x, lambda c: c < F.col(value)))
+    # every 32nd bound first, then the bounds between two of those
+    coarse = below(F.transform(F.sequence(F.lit(1), F.lit(max(1, n // side - 1))), lambda i: F.get("__q", i * side - 1)))
+    rows = df.join(cuts, met).drop(*drop).withColumn("__c", coarse)
+    rows = rows.withColumn("__b", F.col("__c") * side + below(F.slice("__q", F.col("__c") * side + 1, F.lit(side - 1)))).drop("__q", "__c")
+    counts = rows.groupBy(*groups, F.col("__b").alias("__at")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*drop).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row a range
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(value, key))
+    return rows.join(counts, met & (F.col("__b") == F.col("__at"))).withColumn("place", F.col("__before") + inside).drop(*drop, "__b", "__at", "__before")
+
+
+def eligible_places(df: DataFrame, eligible: Column, value: str, key: str) -> DataFrame:
+    """``place`` among all eligible rows; NULL for the others, which stay."""
+    found = placed(df.filter(F.coalesce(eligible, F.lit(False))).select(key, value), [], value, key).select(key, "place")
+    return df.join(found, key, "left")
+
+
+def category_places(df: DataFrame, category: str, order: list[str], *then: Column | str) -> DataFrame:
+    """``place`` by the order of categories, then by further keys, the last of which tells all rows apart; for lists of candidates."""
+    at = reduce(lambda made, x: made.when(F.col(category) == x[1], x[0]), enumerate(order[1:], 1), F.when(F.col(category) == order[0], 0)).otherwise(len(order))
+    return df.withColumn("place", F.row_number().over(Window.orderBy(at, *then)).cast("long"))
+
+
+def top_contributions(rows: DataFrame, weights: DataFrame, column: str, target: str, k: int) -> DataFrame:
+    """The ``k`` columns of largest mean absolute contribution (value times weight) to each target, with the signed mean."""
+    part = F.col("value") * F.col("weight")
+    sums = rows.join(weights, column).groupBy(target, column).agg(F.avg(F.abs(part)).alias("size"), F.avg(part).alias("signed"))
+    place = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(F.round("size", 12)), column))
+    return sums.withColumn("place", place).filter(F.col("place") <= k)

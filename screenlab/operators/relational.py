@@ -92,3 +92,8 @@ def first_per_entity(df: DataFrame, entity: str, order: list[Column]) -> DataFra
 
     w = Window.partitionBy(entity)
     return df.withColumn("__n", F.row_number().over(w.orderBy(*order))).withColumn("n_excluded", F.count("*").over(w) - 1).filter("__n = 1").drop("__n")
+
+
+def transposed(cells: DataFrame, row: str = "row_id", column: str = "col_id", value: str = "value") -> DataFrame:
+    """A long matrix with rows and columns exchanged: names alone, no data moves."""
+    return cells.select(F.col(column).alias(row), F.col(row).alias(column), value)

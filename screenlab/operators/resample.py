@@ -75,3 +75,18 @@ def block_permutation(df: DataFrame, stratum: str, block: str, seed: str) -> Dat
     ranked = sizes.withColumn("__a", F.row_number().over(w.orderBy(block))).withColumn("__b", F.row_number().over(w.orderBy(hash_key(F.lit(seed), F.col(block)), block)))
     donors = ranked.select(stratum, "size", F.col("__b").alias("__a"), F.col(block).alias("donor"))
     return ranked.join(donors, [stratum, "size", "__a"]).select(stratum, block, "size", "donor", (F.col(block) != F.col("donor")).alias("moved"))
+
+
+def bootstrap_pooled(df: DataFrame, stratum: str, key: str, stat: Column, draws: int, seed: str) -> DataFrame:
+    """Interval of ``stat`` over all rows, resampled inside strata of fixed size."""
+    return interval(drawn(df, [stratum], key, draws, seed).groupBy("draw").agg(stat.alias("stat")), [])
+
+
+def shuffled_values(df: DataFrame, context: str, key: str, value: str, draws: int, seed: str) -> DataFrame:
+    """Null controls: in each draw every row has the value of the row that a hash puts in its place inside the context."""
+    w = Window.partitionBy(context)
+    rows = df.withColumn("__p", F.row_number().over(w.orderBy(key)))
+    lots = df.select(context, key, F.col(value).alias("__v")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    lot = hash_key(F.concat(F.lit(seed), F.col("draw").cast("string")), F.col(key))
+    lots = lots.withColumn("__p", F.row_number().over(Window.partitionBy("draw", context).orderBy(lot, key))).drop(key)
+    return rows.drop(value).join(lots, [context, "__p"]).withColumnRenamed("__v", value).drop("__p")

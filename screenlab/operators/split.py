@@ -62,3 +62,8 @@ def balanced_folds(groups: list[tuple[str, str, int]], folds: int) -> dict[str,
         fold[r] = min(range(folds), key=lambda k: (load[k], k))
         load[fold[r]] += size[r]
     return {group: fold[root(f"g{group}")] for group, _, _ in groups}
+
+
+def replayed(frozen: DataFrame, rows: DataFrame, entity: str) -> DataFrame:
+    """Rows under the split that was stored; entities of the split without a row stay, with NULLs."""
+    return frozen.join(rows, entity, "left")

@@ -1,6 +1,9 @@
 """Queries over the driver tables."""
 
-from . import evaluation, further, relations, screening
+from functools import reduce
 
-QUERIES = relations.QUERIES | screening.QUERIES | evaluation.QUERIES | further.QUERIES
-ORACLE_SQL = relations.ORACLE_SQL | screening.ORACLE_SQL | evaluation.ORACLE_SQL | further.ORACLE_SQL
+from . import evaluation, further, relations, screening, selection
+
+_PARTS = (relations, screening, evaluation, further, selection)
+QUERIES = reduce(dict.__or__, [p.QUERIES for p in _PARTS])
+ORACLE_SQL = reduce(dict.__or__, [p.ORACLE_SQL for p in _PARTS])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(make(path))
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the folder that all executors share (``spark.checkpoint.dir``) and read back: one result, however often it is read.
+
+    Only a local session without that folder gets a temporary one.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="screenlab-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def manifest(tables: dict[str, DataFrame]) -> dict[str, dict]:
     """Rows, columns and digest of each table."""
     out = {}
