@@ -47,7 +47,7 @@ WEAK = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
-    "person": r"(?<![A-Za-z.]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20)(?=[A-Z][a-z]{1,30}\x20[A-Z][a-z])(?:" + "|".join(GIVEN) + r")\x20[A-Z][a-z]{1,30}(?![A-Za-z])",
+    "person": r"(?=[A-Z][a-z]{1,30}\x20[A-Z][a-z])(?<![A-Za-z.]|(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.?\x20)(?:" + "|".join(GIVEN) + r")\x20[A-Z][a-z]{1,30}(?![A-Za-z])",
 }
 STRICT = {
     "local_phone": r"^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$|^([0-9]{3})([.-])[0-9]{3}\2[0-9]{4}$",
