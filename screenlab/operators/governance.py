@@ -39,3 +39,20 @@ def differences(stored: DataFrame, again: DataFrame, keys: list[str], value: str
 def missing_keys(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that a complete grid has and the table lacks."""
     return expected.select(*keys).distinct().join(observed, keys, "left_anti")
+
+
+def pins(stated: DataFrame, found: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Values stated beforehand beside those found, and whether they hold."""
+    rows = stated.join(found, keys)
+    return rows.select(*keys, "pinned", "found", (F.abs(F.col("found") - F.col("pinned")) <= tolerance).alias("holds"))
+
+
+def order_kept(frozen: DataFrame, now: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` places of a frozen list beside the present ones, and whether they are the same."""
+    rows = frozen.filter(F.col("frozen") <= n).join(now, key)
+    return rows.select(key, "frozen", "now", (F.col("frozen") == F.col("now")).alias("same"))
+
+
+def roll_up(df: DataFrame, keys: list[str], violation: str, tolerance: float) -> DataFrame:
+    """How many certificates there are, their largest violation, and whether it is within the tolerance."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(violation).alias("worst")).withColumn("passed", F.col("worst") <= tolerance)

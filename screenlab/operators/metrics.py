@@ -93,3 +93,16 @@ def stability(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def row_number_of(by: list[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+
+def gate(n: Column, median: Column, positive: Column, least: int, share: float) -> Column:
+    """go if there are enough repeats, their median is above zero, and enough of them are positive; stop otherwise."""
+    return F.when((n >= least) & (median > 0) & (positive >= share), "go").otherwise("stop")
+
+
+def selected_effects(df: DataFrame, by: list[str], key: str, truth: str, predicted: str, k: int, strong: float) -> DataFrame:
+    """Mean truth of the ``k`` lowest by prediction and by truth, and the share of the predicted ones below ``strong``; groups of fewer are left out."""
+    rows = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).withColumns({"__rp": ordinal_rank(by, predicted, key), "__rt": ordinal_rank(by, truth, key)})
+    t, chosen = F.col(truth), F.col("__rp") <= k
+    made = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.avg(F.when(chosen, t)).alias("selected"), F.avg(F.when(F.col("__rt") <= k, t)).alias("oracle"), (F.count_if(chosen & (t < strong)) / F.lit(float(k))).alias("precision"))
+    return made.filter(F.col("__n") >= k).drop("__n")

@@ -109,3 +109,8 @@ def top_contributions(rows: DataFrame, weights: DataFrame, column: str, target:
     sums = rows.join(weights, column).groupBy(target, column).agg(F.avg(F.abs(part)).alias("size"), F.avg(part).alias("signed"))
     place = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(F.round("size", 12)), column))
     return sums.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def places_missing_last(df: DataFrame, value: str, key: str) -> DataFrame:
+    """``place`` from the highest value down, missing ones last, ties by ``key``; for lists of candidates."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(value), key)).cast("long"))

@@ -2,8 +2,8 @@
 
 from functools import reduce
 
-from . import evaluation, further, relations, screening, selection
+from . import evaluation, further, patients, relations, screening, selection
 
-_PARTS = (relations, screening, evaluation, further, selection)
+_PARTS = (relations, screening, evaluation, further, selection, patients)
 QUERIES = reduce(dict.__or__, [p.QUERIES for p in _PARTS])
 ORACLE_SQL = reduce(dict.__or__, [p.ORACLE_SQL for p in _PARTS])
