@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ class LibraryEncoder:
             self.model.no_truncation()
             self.model.no_padding()
             self.whole = lambda texts: [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            self.tokenize = self.model.model.tokenize
             with open(path, encoding="utf-8") as f:
                 kind = json.load(f)
             pre = kind.get("pre_tokenizer") or {}
@@ -68,11 +70,13 @@ class LibraryEncoder:
             for code in (*range(0x800), 0x800, *range(0x1000, 0xD000, 0x1000), 0xD000, 0xE000, 0xF000, 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000):
                 self.table |= dict(zip(chr(code).encode(), shown.pre_tokenize_str(chr(code))[0][0]))
 
-    def _letters(self, word: str) -> tuple[int, ...]:
+    def _letters(self, word: str) -> bytes:
         """Ids of a pre-token of letters (a space may stand before it), straight from the library's model."""
-        return tuple([t.id for t in self.model.model.tokenize(word.encode().decode("latin-1").translate(self.table))])
+        # the characters of bytes that are ASCII letters are these letters
+        shown = word.replace(" ", self.table[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
-    def _learn(self, missing: set[str], special: list[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, missing: set[str], special: list[str]) -> dict[str, bytes]:
         """Ids of parts after a space: letters with or without closing marks by the model, others by the whole library."""
         found, odd, memo = {}, [], self.memo
         for part in missing:
@@ -88,18 +92,18 @@ class LibraryEncoder:
                 if ids is None:
                     ids = found[stem] = self._letters(" " + stem)
                 if tail not in self.marks:
-                    self.marks[tail] = tuple([t.id for t in self.model.model.tokenize(tail)])
+                    self.marks[tail] = array("I", [t.id for t in self.tokenize(tail)]).tobytes()
                 found[part] = ids + self.marks[tail]
             else:
                 odd.append(part)
         if odd:
-            found |= {part: tuple(ids) for part, ids in zip(odd, self.whole([" " + part for part in odd]))}
+            found |= {part: array("I", ids).tobytes() for part, ids in zip(odd, self.whole([" " + part for part in odd]))}
         return found
 
-    def encode(self, texts: list[str]) -> list[tuple[int, ...] | list[int]]:
-        """Ids of each text."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what is remembered of a part are the bytes of its ids, which are joined."""
         if not self.cuts:
-            return self.whole(texts)
+            return [np.array(ids, np.uint32) for ids in self.whole(texts)]
         special = [x for x in self.special if any(x in text for text in texts)]
         cut, memo, seen = [parts(text) for text in texts], self.memo, set()
         for words in cut:
@@ -109,14 +113,20 @@ class LibraryEncoder:
         if room > 0:
             memo.update(memo.rest if len(memo.rest) <= room else dict(islice(memo.rest.items(), room)))
         plain = {w[0] for w in cut if not w[0].isalpha() or any(x in w[0] for x in special)}
-        heads = dict(zip(plain, self.whole(list(plain))))
-        return [[*(heads[w[0]] if w[0] in plain else self._letters(w[0])), *chain.from_iterable(map(memo.__getitem__, w[1:]))] for w in cut]
+        heads = {part: array("I", ids).tobytes() for part, ids in zip(plain, self.whole(list(plain)))}
+        out = []
+        for words in cut:
+            head = words[0]
+            words[0] = heads[head] if head in plain else self._letters(head)
+            words[1:] = map(memo.__getitem__, words[1:])
+            out.append(np.frombuffer(b"".join(words), np.uint32))
+        return out
 
 
 class _Known(dict):
     """Remembered parts; those of the batch at hand that there is no room for stand in ``rest``."""
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         return self.rest[part]
 
 
@@ -135,10 +145,7 @@ def encode_rows(batch: pa.RecordBatch, codes: LibraryEncoder, most_bytes: int) -
     for rows in slices(batch, most_bytes):
         texts = [t or "" for t in rows.column(rows.num_columns - 1).to_pylist()]
         if len(texts) == 1 and codes.cuts and len(texts[0]) > most_bytes:
-            ids: list[int] = []
-            for piece in windows(texts[0], most_bytes):
-                ids += codes.encode([piece])[0]
-            yield rows, [ids]
+            yield rows, [np.concatenate([codes.encode([piece])[0] for piece in windows(texts[0], most_bytes)])]
         else:
             yield rows, codes.encode(texts)
 

@@ -143,9 +143,8 @@ def write_tokens(docs: DataFrame, vocabulary: Callable[[], str], files: int | No
                     sink = writer(system, f"{path}/{name}")
                     out = TokenFile(sink)
                 for key, x in zip(rows.column(0).to_pylist(), ids):
-                    x.append(end_id)
-                    out.add(key, np.array(x, np.uint32))
-                    total += len(x)
+                    out.add(key, np.append(x, np.uint32(end_id)))
+                    total += len(x) + 1
         if out is not None:
             out.finish()
             sink.close()
