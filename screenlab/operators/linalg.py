@@ -420,6 +420,20 @@ def one_hot(df: DataFrame, entity: str, category: str, train: Column) -> DataFra
     return df.join(names, F.col(category) == F.col("__c")).select(entity, F.concat(F.lit(f"{category}="), F.col("__c").cast("string")).alias("feature"), F.lit(1.0).alias("value"))
 
 
+def configurations(blocks: tuple[str, ...]) -> dict[str, list[str]]:
+    """Blocks of each kernel configuration: background (none), full, each block dropped, each block alone."""
+    return {"background": [], "full": list(blocks)} | {f"drop_{b}": [x for x in blocks if x != b] for b in blocks} | {f"only_{b}": [b] for b in blocks}
+
+
+def with_interactions(df: DataFrame, features: list[str], contexts: list[str], train: Column) -> DataFrame:
+    """Features less their mean over training rows, and the product of each with every context centred likewise."""
+    means = df.filter(train).agg(*[F.avg(c).alias(f"__{c}") for c in (*features, *contexts)])
+    rows = df.join(F.broadcast(means))  # one row
+    centred = {c: F.col(c) - F.col(f"__{c}") for c in (*features, *contexts)}
+    products = {f"{f}_{c}": centred[f] * centred[c] for f in features for c in contexts}
+    return rows.withColumns({f: centred[f] for f in features} | products).drop(*means.columns)
+
+
 def certificate(slopes: DataFrame, alpha: float) -> DataFrame:
     """Largest violation of the lasso conditions by target, from weights and correlations (weight, slope) of each column."""
     w, s = F.col("weight"), F.col("slope")

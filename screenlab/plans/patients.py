@@ -144,20 +144,29 @@ def paired_log_ratios(spark, sf):
     return c.groupBy("l_suppkey").agg(F.count_if((a == 0) & (b == 0)).alias("n_both_zero"), F.count(a).alias("n"), six(F.avg(counts.log_ratio(a, b))).alias("mean_ratio"))
 
 
+#: Rules of the evidence flags, in words that both SQL dialects know.
 _FLAGS = {
-    "labelled": ("quality IS NOT NULL", F.col("quality").isNotNull()), "good": ("quality = 1", F.col("quality") == 1), "toxic": ("toxic = 1", F.col("toxic") == 1), "long": ("n_chars > 2000", F.col("n_chars") > 2000),
-    "short": ("n_chars < 200", F.col("n_chars") < 200), "english": ("lang = 'en'", F.col("lang") == "en"), "no_lang": ("lang IS NULL", F.col("lang").isNull()), "first_source": ("source = 'src0'", F.col("source") == "src0"),
-    "clean_good": ("quality = 1 AND toxic = 0", (F.col("quality") == 1) & (F.col("toxic") == 0)), "conflict": ("quality = 1 AND toxic = 1", (F.col("quality") == 1) & (F.col("toxic") == 1)),
-    "common_source": ("n_source > 20", F.col("n_source") > 20), "even": ("doc_id % 2 = 0", F.col("doc_id") % 2 == 0),
+    "labelled": "quality IS NOT NULL",
+    "good": "quality = 1",
+    "toxic": "toxic = 1",
+    "long": "n_chars > 2000",
+    "short": "n_chars < 200",
+    "english": "lang = 'en'",
+    "no_lang": "lang IS NULL",
+    "first_source": "source = 'src0'",
+    "clean_good": "quality = 1 AND toxic = 0",
+    "conflict": "quality = 1 AND toxic = 1",
+    "common_source": "n_source > 20",
+    "even": "doc_id % 2 = 0",
 }
 
 
-@register("WITH s AS (SELECT source, count(*) AS n_source FROM documents GROUP BY source) SELECT d.doc_id, " + ", ".join(f"coalesce({sql}, false) AS is_{n}" for n, (sql, _) in _FLAGS.items()).replace("doc_id % 2", "d.doc_id % 2").replace("source = 'src0'", "d.source = 'src0'") + " FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN s ON d.source = s.source")
+@register("WITH s AS (SELECT source, count(*) AS n_source FROM documents GROUP BY source) SELECT d.doc_id, " + ", ".join(f"coalesce({sql}, false) AS is_{n}" for n, sql in _FLAGS.items()).replace("doc_id % 2", "d.doc_id % 2").replace("source = 'src0'", "d.source = 'src0'") + " FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN s ON d.source = s.source")
 def evidence_matrix(spark, sf):
     """The frozen list with all evidence joined and twelve flags; no score, no new order."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     rows = evidence.assembled(d, "doc_id", [table(spark, sf, "labels")]).join(d.groupBy("source").agg(F.count("*").alias("n_source")), "source", "left")
-    return rows.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(f"is_{n}") for n, (_, c) in _FLAGS.items()])
+    return rows.select("doc_id", *[F.coalesce(F.expr(rule), F.lit(False)).alias(f"is_{n}") for n, rule in _FLAGS.items()])
 
 
 @register("WITH f AS (SELECT doc_id FROM documents WHERE n_chars > 300), a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'against' WHEN quality = 1 THEN 'for' ELSE 'open' END AS class FROM labels), j AS (SELECT f.doc_id AS f, a.doc_id AS a, class FROM f FULL JOIN a ON f.doc_id = a.doc_id) SELECT count(*) FILTER (f IS NOT NULL AND a IS NULL) AS not_adjudicated, count(*) FILTER (a IS NOT NULL AND f IS NULL) AS not_frozen, " + ", ".join(f"count(*) FILTER (f IS NOT NULL AND a IS NOT NULL AND class = '{c}') AS n_{c}" for c in ("for", "against", "open")) + " FROM j")
