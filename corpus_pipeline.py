@@ -30,13 +30,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Groups are told apart by their root, so ids that repeat with other texts do not mix them. Texts without
     words, null ones included, are one group.
     """
-    marked_docs = docs.withColumn("__md5", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
-    marked = simhash.near_duplicates(marked_docs, ["doc_id", "__md5"], root=True)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__fp", "__md5")).alias("f")
-    chosen = marked.groupBy("__root").agg(first).select("__root", F.col("f.doc_id").alias("__id"), F.col("f.__md5").alias("__text"))
-    rows = marked_docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__text")))
+    digest = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    # one key that is never null, so the join and what follows it deal the texts out once
+    marked_docs = docs.withColumn("__key", F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), digest), "utf-8")))
+    marked = simhash.near_duplicates(marked_docs, ["doc_id", "__key"], root=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__fp", "__key")).alias("f")
+    chosen = marked.groupBy("__root").agg(first).select(F.col("f.__key").alias("__key"))
     # what is left of a group are rows of one id and text: one stays
-    return rows.dropDuplicates(["__root"]).select(*docs.columns)
+    return marked_docs.join(chosen, "__key").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
