@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import counted_values
+
 
 def collapsed(df: DataFrame, keys: list[str], value: str, how: str, order: str | None = None) -> DataFrame:
     """One value a key: mean, sum, max, or max_abs (the value of largest magnitude, the first by ``order`` on ties)."""
@@ -33,8 +37,10 @@ def smd(df: DataFrame, keys: list[str], value: str, arm: Column, least: int = 3)
 
 
 def centred(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """``value`` less its group mean."""
-    return df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+    """``value`` less its group mean; means are summed up by group first, so rows do not meet in the task of their group."""
+    means = df.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]).agg(F.avg(value).alias("__mean"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)], F.lit(True))
+    return df.join(means, same).withColumn(value, F.col(value) - F.col("__mean")).select(*df.columns)
 
 
 def leave_one_out_worst(df: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:
@@ -50,15 +56,15 @@ def cohort_summary(df: DataFrame, cohort: str, key: str, value: str, cut: float)
 
 
 def macro_average(df: DataFrame, lineage: str, cluster: str, values: list[str]) -> DataFrame:
-    """Means by three estimands: over rows, over clusters, and over lineages of their means over rows."""
-
-    def of(name: str, *levels: str) -> DataFrame:
-        rows = df
-        for level in levels:
-            rows = rows.groupBy(level).agg(*[F.avg(v).alias(v) for v in values])
-        return rows.agg(*[F.avg(v).alias(v) for v in values]).select(F.lit(name).alias("estimand"), *values)
+    """Means by three estimands: over rows, over clusters, and over lineages of their means over rows.
 
-    return of("row_weighted").unionByName(of("lineage_equal", lineage)).unionByName(of("cluster_equal", cluster))
+    Rows are read once, into sums by lineage and cluster, which the three estimands roll up.
+    """
+    sums = df.groupBy(lineage, cluster).agg(*[f(v).alias(f"__{n}{i}") for i, v in enumerate(values) for n, f in (("s", F.sum), ("n", F.count))])
+    means = [F.try_divide(F.sum(f"__s{i}"), F.sum(f"__n{i}")).alias(v) for i, v in enumerate(values)]
+    level = F.when((F.grouping(lineage) == 1) & (F.grouping(cluster) == 1), "row_weighted").when(F.grouping(cluster) == 1, "lineage_equal").otherwise("cluster_equal")
+    rolled = sums.groupingSets([[], [F.col(lineage)], [F.col(cluster)]], F.col(lineage), F.col(cluster)).agg(level.alias("estimand"), *means)
+    return rolled.groupBy("estimand").agg(*[F.avg(v).alias(v) for v in values])
 
 
 def nested_average(df: DataFrame, levels: list[list[str]], value: str) -> DataFrame:
@@ -69,12 +75,10 @@ def nested_average(df: DataFrame, levels: list[list[str]], value: str) -> DataFr
 
 
 def empirical_percentile(df: DataFrame, groups: list[str], key: str, value: str) -> DataFrame:
-    """Per cent of the group at or below the value, and add-one upper-tail p."""
-    by = Window.partitionBy(*groups)
-    up_to = by.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = by.orderBy(value).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    n = F.count(value).over(by)
-    return df.select(*groups, key, value, (100.0 * F.count(value).over(up_to) / n).alias("percentile"), ((1.0 + F.count(value).over(from_here)) / (1 + n)).alias("p_upper"))
+    """Per cent of the group at or below the value, and add-one upper-tail p; NULLs are not counted."""
+    rows = counted_values(df.select(*groups, key, value), groups, value, F.count(value))
+    below, same, n = F.col("n_below"), F.col("n_same"), F.col("n_all")
+    return rows.select(*groups, key, value, F.try_divide(100.0 * (below + same), n).alias("percentile"), ((1.0 + n - below) / (1 + n)).alias("p_upper"))
 
 
 def argmax(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import percentile_rank
+from .ranking import percentile_ranks
 
 
 def first_match(rules: list[tuple[str, Column]], otherwise: str) -> Column:
@@ -28,7 +28,7 @@ def exclusive(df: DataFrame, category: str, place: str) -> DataFrame:
 def exposure(df: DataFrame, key: str, place: str, value: str) -> DataFrame:
     """Highest and median value over places, where the highest is, its share of the sum, and its percentile rank among keys."""
     rows = df.groupBy(key).agg(F.max(value).alias("highest"), F.median(value).alias("median"), F.min_by(place, F.struct(-F.col(value), F.col(place))).alias("place"), F.try_divide(F.max(value), F.sum(value)).alias("share"), F.count_if(F.col(value) >= 1).alias("n_places"))
-    return rows.withColumn("all", F.lit(1)).withColumn("percentile", percentile_rank(["all"], "highest")).drop("all")
+    return percentile_ranks(rows, [], "highest", "percentile")
 
 
 def orientation(df: DataFrame, by: list[str], score: str, binary: str) -> DataFrame:

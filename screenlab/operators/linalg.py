@@ -33,14 +33,20 @@ def standardised(df: DataFrame, fitted: DataFrame, keys: list[str], value: str)
 
 
 def held_out_scalers(df: DataFrame, entity: str, group: str, column: str, value: str) -> DataFrame:
-    """The scaler of each hold-out group, fitted on all other groups, from one pass of (n, sum, sum of squares) by group."""
-    states = df.groupBy(group, column).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    all_ = Window.partitionBy(column)
+    """The scaler of each hold-out group, fitted on all other groups, from one pass of (n, mean, variance) by group.
+
+    Sums are taken about the column's mean over all groups, so a column far from zero loses no digits.
+    """
+    states = df.groupBy(group, column).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
+    all_ = Window.partitionBy(column)  # a row a group
+    states = states.withColumn("at", F.try_divide(F.sum(F.col("n") * F.col("m")).over(all_), F.sum("n").over(all_)))
+    off = F.col("m") - F.col("at")
+    states = states.withColumns({"s": F.col("n") * off, "q": F.col("n") * (F.col("v") + off * off)})
     less = {x: F.sum(x).over(all_) - F.col(x) for x in ("n", "s", "q")}
-    rows = states.select(F.col(group).alias("held"), column, *[e.alias(x) for x, e in less.items()])
-    mean = F.col("s") / F.col("n")
-    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
-    return rows.select("held", column, mean.alias("mean"), sd.alias("sd"), (sd > 1e-8).alias("kept"))
+    rows = states.select(F.col(group).alias("held"), column, "at", *[e.alias(x) for x, e in less.items()])
+    off = F.try_divide(F.col("s"), F.col("n"))
+    sd = F.sqrt(F.greatest(F.try_divide(F.col("q"), F.col("n")) - off * off, F.lit(0.0)))
+    return rows.select("held", column, (F.col("at") + off).alias("mean"), sd.alias("sd"), (sd > 1e-8).alias("kept"))
 
 
 def _blocks(df: DataFrame, block: int, *columns: Column) -> DataFrame:
@@ -126,9 +132,33 @@ def knn_mean(queries: DataFrame, rows: DataFrame, entity: str, vector: str, targ
 
 def ridge_line(df: DataFrame, by: list[str], x: str, y: str, alpha: float) -> DataFrame:
     """Slope and intercept of one-feature ridge, centred so that the intercept is not shrunk."""
-    n, sx, sy = F.count("*"), F.sum(x), F.sum(y)
-    sxy, sxx = F.sum(F.col(x) * F.col(y)) - sx * sy / n, F.sum(F.col(x) * F.col(x)) - sx * sx / n
-    return df.groupBy(*by).agg(n.alias("n"), (sxy / (sxx + alpha)).alias("slope"), (sy / n - sxy / (sxx + alpha) * sx / n).alias("intercept"))
+    return line_moments(df, by, x, y).select(*by, "n", *_line(F.lit(alpha)))
+
+
+def line_moments(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """n, the two means and the sums of squares and products about them, over rows where both are there."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    n = F.count(a)
+    return df.groupBy(*by).agg(n.alias("n"), F.avg(a).alias("mx"), F.avg(b).alias("my"), (n * F.var_pop(a)).alias("sxx"), (n * F.covar_pop(a, b)).alias("sxy"), (n * F.var_pop(b)).alias("syy"))
+
+
+def _line(alpha: Column) -> tuple[Column, Column]:
+    slope = F.col("sxy") / (F.col("sxx") + alpha)
+    return slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept")
+
+
+def line_errors(df: DataFrame, by: list[str], fold: str, x: str, y: str, alphas: list[float]) -> DataFrame:
+    """Squared error of each group and alpha, every fold's line over the rows of all other folds.
+
+    Rows are read once, into moments by group and fold; errors follow from those of the fold that is scored.
+    """
+    moments = line_moments(df, [*by, fold], x, y)
+    fits = moments.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas]))).select(*by, F.col(fold).alias("__fitted"), "alpha", *_line(F.col("alpha")))
+    met = moments.join(fits, by).filter(F.col(fold) != F.col("__fitted"))
+    off = F.col("my") - F.col("slope") * F.col("mx") - F.col("intercept")
+    sse = F.col("syy") - 2 * F.col("slope") * F.col("sxy") + F.col("slope") * F.col("slope") * F.col("sxx") + F.col("n") * off * off
+    return met.groupBy(*by, "alpha").agg(F.sum(sse).alias("sse"))
 
 
 def attribution(loadings: DataFrame, betas: DataFrame) -> DataFrame:

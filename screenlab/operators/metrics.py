@@ -14,10 +14,8 @@ def pearson(x: Column, y: Column, least: float = 1e-12) -> Column:
     n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    cov = F.sum(x * y) - F.sum(x) * F.sum(y) / n
-    vx, vy = F.sum(x * x) - F.sum(x) * F.sum(x) / n, F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    scale = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
-    return F.when(scale > least, cov / scale)
+    scale = n * F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(scale > least, n * F.covar_pop(x, y) / scale)
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -64,31 +64,74 @@ def top_n(df: DataFrame, frequency: str, key: str, n: int, positive: bool = Fals
     return rows.orderBy(F.desc(frequency), key).limit(n)
 
 
-def placed(df: DataFrame, by: list[str], value: str, key: str, buckets: int = 1024) -> DataFrame:
-    """``place`` (from 1, by ``value`` and ``key``) and ``size`` of each row in its group, for groups of any share of all rows.
+def _ranged(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
+    """``__b``, the range of each row's value inside its group, and ``size`` of the group.
 
-    Approximate quantiles cut a group into ranges of about equal size; rows are numbered inside their range,
-    after the exact counts of the ranges before it. Without ``by`` the whole table is one group. ``value``
-    is a number; missing ones come first. Equal values share a range.
+    Approximate quantiles cut a group into ranges of about equal size; equal values share a range.
     """
     side = 32
     n = side * max(1, buckets // side)
     q = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10 * n))
-    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
     groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
-    drop = [f"__g{i}" for i in range(len(by))]
-    met = reduce(Column.__and__, same, F.lit(True))
     cuts = df.groupBy(*groups).agg(F.coalesce(q, F.array().cast("array<double>")).alias("__q"), F.count("*").alias("size"))
     below = lambda x: F.size(F.filter(x, lambda c: c < F.col(value)))
     # every 32nd bound first, then the bounds between two of those
     coarse = below(F.transform(F.sequence(F.lit(1), F.lit(max(1, n // side - 1))), lambda i: F.get("__q", i * side - 1)))
-    rows = df.join(cuts, met).drop(*drop).withColumn("__c", coarse)
-    rows = rows.withColumn("__b", F.col("__c") * side + below(F.slice("__q", F.col("__c") * side + 1, F.lit(side - 1)))).drop("__q", "__c")
-    counts = rows.groupBy(*groups, F.col("__b").alias("__at")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*drop).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row a range
-    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(value, key))
-    return rows.join(counts, met & (F.col("__b") == F.col("__at"))).withColumn("place", F.col("__before") + inside).drop(*drop, "__b", "__at", "__before")
+    rows = df.join(cuts, _same(by)).drop(*[f"__g{i}" for i in range(len(by))]).withColumn("__c", coarse)
+    return rows.withColumn("__b", F.col("__c") * side + below(F.slice("__q", F.col("__c") * side + 1, F.lit(side - 1)))).drop("__q", "__c")
+
+
+def _same(by: list[str]) -> Column:
+    """Whether a row's group is that of the columns ``__g0``, ``__g1`` ...; NULL is a group."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)], F.lit(True))
+
+
+def _after_ranges(rows: DataFrame, by: list[str], counted: Column) -> DataFrame:
+    """``__before``: what ``counted`` gives for all ranges of the group below the row's own."""
+    names = [f"__g{i}" for i in range(len(by))]
+    counts = rows.groupBy(*[F.col(c).alias(g) for c, g in zip(by, names)], F.col("__b").alias("__at")).agg(counted.alias("__m"))
+    before = Window.partitionBy(*names).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(before), F.lit(0))).drop("__m")
+    return rows.join(counts, _same(by) & (F.col("__b") == F.col("__at"))).drop(*names, "__at")
+
+
+def placed(df: DataFrame, by: list[str], value: str, key: str | list[str], buckets: int = 1024) -> DataFrame:
+    """``place`` (from 1, by ``value`` and ``key``) and ``size`` of each row in its group, for groups of any share of all rows.
+
+    Rows are numbered inside a range of values, after the exact counts of the ranges before it. Without
+    ``by`` the whole table is one group. ``value`` is a number; missing ones come first.
+    """
+    rows = _after_ranges(_ranged(df, by, value, buckets), by, F.count("*"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(value, *([key] if isinstance(key, str) else key)))
+    return rows.withColumn("place", F.col("__before") + inside).drop("__b", "__before")
+
+
+def counted_values(df: DataFrame, by: list[str], value: str, counted: Column | None = None, buckets: int = 1024) -> DataFrame:
+    """``df`` with how many rows of its group have a smaller value, the same one, and any: ``n_below``, ``n_same``, ``n_all``.
+
+    Rows are counted by value first, so a value that many share costs no more than others, and sums run
+    inside ranges of values, so no group is one task's work. ``counted`` counts all rows unless given.
+    """
+    names = [f"__g{i}" for i in range(len(by))]
+    values = df.groupBy(*by, value).agg((F.count("*") if counted is None else counted).alias("n_same"))
+    rows = _after_ranges(_ranged(values, by, value, buckets).drop("size"), by, F.sum("n_same"))
+    earlier = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("n_below", F.col("__before") + F.coalesce(F.sum("n_same").over(earlier), F.lit(0)))
+    all_ = values.groupBy(*[F.col(c).alias(g) for c, g in zip(by, names)]).agg(F.sum("n_same").alias("n_all"))
+    rows = rows.join(all_, _same(by)).select(*[F.col(c).alias(g) for c, g in zip(by, names)], F.col(value).alias("__v"), "n_below", "n_same", "n_all")
+    return df.join(rows, _same(by) & F.col(value).eqNullSafe(F.col("__v"))).drop(*names, "__v")
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str, base: int = 0) -> DataFrame:
+    """``df`` with the mean rank of tied values from ``base``, as ``average_rank`` gives it, for groups of any share of all rows."""
+    rank = F.col("n_below") + (F.col("n_same") - 1) / 2.0 + base
+    return counted_values(df, by, value).withColumn(name, rank).drop("n_below", "n_same", "n_all")
+
+
+def percentile_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the mean rank from 1 over the group's size."""
+    rank = (F.col("n_below") + (F.col("n_same") - 1) / 2.0 + 1) / F.col("n_all")
+    return counted_values(df, by, value).withColumn(name, rank).drop("n_below", "n_same", "n_all")
 
 
 def eligible_places(df: DataFrame, eligible: Column, value: str, key: str) -> DataFrame:

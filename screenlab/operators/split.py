@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key
+from .ranking import placed
 
 
 def hash_split(df: DataFrame, entity: str, context: str, seed: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """train, validation and test inside each context, in the order of a hash; sizes are rounded half to even, at least 1 while rows last."""
-    w = Window.partitionBy(context)
-    n, place = F.count("*").over(w), F.row_number().over(w.orderBy(hash_key(F.lit(seed), F.col(entity)), entity))
+    n, place = F.col("size"), F.col("place")
     first = F.greatest(F.bround(n * train), F.lit(1))
     second = F.greatest(F.bround(n * validation), F.lit(1))
-    return df.withColumn("split", F.when(place <= first, "train").when(place <= first + second, "validation").otherwise("test"))
+    split = F.when(place <= first, "train").when(place <= first + second, "validation").otherwise("test")
+    return _dealt(df, entity, context, seed).withColumn("split", split).select(*df.columns, "split")
+
+
+def _dealt(df: DataFrame, entity: str, context: str, seed: str) -> DataFrame:
+    """``place`` and ``size`` of each row in hash order inside its context, of whatever size that is."""
+    lot = hash_key(F.lit(seed), F.col(entity))
+    rows = df.withColumn("__lot", lot).withColumn("__first", F.conv(F.substring("__lot", 1, 12), 16, 10).cast("double"))  # 48 bits are exact in a double
+    return placed(rows, [context], "__first", ["__lot", entity])
 
 
 def group_holdout(df: DataFrame, entity: str, group: str, cluster: str, least: int = 1) -> DataFrame:
@@ -34,9 +42,9 @@ def leaks(splits: DataFrame, entities: DataFrame, entity: str, cluster: str) ->
     return rows.groupBy("held", cluster).agg(F.count_distinct("role").alias("n")).filter("n > 1")
 
 
-def round_robin(df: DataFrame, entity: str, stratum: str, folds: int, seed: str) -> Column:
-    """Fold of each row: dealt out in hash order inside its stratum."""
-    return (F.row_number().over(Window.partitionBy(stratum).orderBy(hash_key(F.lit(seed), F.col(entity)), entity)) - 1) % folds
+def round_robin(df: DataFrame, entity: str, stratum: str, folds: int, seed: str) -> DataFrame:
+    """``fold`` of each row: dealt out in hash order inside its stratum."""
+    return _dealt(df, entity, stratum, seed).withColumn("fold", (F.col("place") - 1) % folds).select(*df.columns, "fold")
 
 
 def balanced_folds(groups: list[tuple[str, str, int]], folds: int) -> dict[str, int]:

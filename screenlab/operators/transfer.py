@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import floored
-from .metrics import spearman
-from .ranking import top_k
+from .metrics import pearson
+from .ranking import average_ranks, top_k
 
 
 def mean_shift(source: DataFrame, target: DataFrame, column: str, value: str) -> DataFrame:
@@ -61,8 +61,8 @@ def cohort_stability(frequencies: DataFrame, cohort: str, key: str, first: str,
     """Rank agreement of two cohorts' frequencies over keys that either selects."""
     a = frequencies.filter(F.col(cohort) == first).select(key, F.col("frequency").alias("a"))
     b = frequencies.filter(F.col(cohort) == second).select(key, F.col("frequency").alias("b"))
-    both = a.join(b, key).filter("a > 0 OR b > 0").withColumn("all", F.lit(1))
-    return spearman(both, ["all"], "a", "b").drop("all")
+    both = a.join(b, key).filter("a > 0 OR b > 0")
+    return average_ranks(average_ranks(both, [], "a", "ra"), [], "b", "rb").agg(F.count("*").alias("n"), pearson(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
 def paired_difference(df: DataFrame, pair: list[str], arm: Column, value: str) -> DataFrame:
@@ -79,7 +79,6 @@ def z_against(rows: DataFrame, normal: DataFrame, column: str, value: str, floor
 
 def mapping_errors(mapped: DataFrame, truth: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Root mean squared and mean absolute error and correlation of each row over shared columns."""
-    from .metrics import pearson
 
     both = mapped.select(row, column, F.col(value).alias("m")).join(truth.select(row, column, F.col(value).alias("t")), [row, column])
     d = F.col("m") - F.col("t")

@@ -89,11 +89,7 @@ def ridge_one_feature(spark, sf):
 
 @register(f"WITH f AS (SELECT brand, fold, alpha, sxy / (sxx + alpha) AS slope, my - sxy / (sxx + alpha) * mx AS intercept FROM (SELECT brand, fold, sum(x * y) - sum(x) * sum(y) / count(*) AS sxy, sum(x * x) - sum(x) * sum(x) / count(*) AS sxx, avg(x) AS mx, avg(y) AS my FROM {_LINE} GROUP BY ALL), (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in _ALPHAS)}]) AS alpha)), s AS (SELECT f.brand, alpha, round(sum((y - slope * x - intercept) ** 2), 4) AS sse FROM f JOIN {_LINE} l ON l.brand = f.brand AND l.fold <> f.fold GROUP BY ALL) SELECT brand, arg_min(alpha, (sse, alpha)) AS alpha, round(min(sse), 2) AS sse FROM s GROUP BY brand")
 def alpha_choice(spark, sf):
-    lines = _lines(spark, sf)
-    fits = [linalg.ridge_line(lines, ["brand", "fold"], "x", "y", a).select("brand", F.col("fold").alias("other"), "slope", "intercept", F.lit(a).alias("alpha")) for a in _ALPHAS]
-    fit = fits[0].unionByName(fits[1]).unionByName(fits[2]).unionByName(fits[3])
-    scored = lines.join(fit, "brand").filter("fold <> other")
-    sse = scored.groupBy("brand", "alpha").agg(six(F.sum(F.pow(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"), F.lit(2))), 4).alias("sse"))
+    sse = linalg.line_errors(_lines(spark, sf), ["brand"], "fold", "x", "y", list(_ALPHAS)).withColumn("sse", six("sse", 4))
     return metrics.choose_lowest(sse, ["brand"], "alpha", "sse").withColumn("sse", six("sse", 2))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import overlap
@@ -66,12 +65,13 @@ _AVG_RANK = "rank() OVER (PARTITION BY c_nationkey ORDER BY b) - 1 + (count(*) O
 @register(f"SELECT c_custkey, {_AVG_RANK} AS average_rank FROM (SELECT *, floor(c_acctbal / 500) AS b FROM customer)")
 def average_rank(spark, sf):
     rows = table(spark, sf, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 500))
-    return rows.select("c_custkey", ranking.average_rank(["c_nationkey"], "b").alias("average_rank"))
+    return ranking.average_ranks(rows.select("c_custkey", "c_nationkey", "b"), ["c_nationkey"], "b", "average_rank").select("c_custkey", "average_rank")
 
 
 @register(f"SELECT c_custkey, round(p, 6) AS percentile, CASE WHEN p <= 1 / 3::DOUBLE THEN 'low' WHEN p > 2 / 3::DOUBLE THEN 'high' ELSE 'middle' END AS tertile FROM (SELECT c_custkey, ({_AVG_RANK} + 1) / count(*) OVER (PARTITION BY c_nationkey) AS p FROM (SELECT *, floor(c_acctbal / 500) AS b FROM customer))")
 def percentile_tertile(spark, sf):
-    rows = table(spark, sf, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 500)).withColumn("p", ranking.percentile_rank(["c_nationkey"], "b"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 500).alias("b"))
+    rows = ranking.percentile_ranks(rows, ["c_nationkey"], "b", "p")
     return rows.select("c_custkey", six("p").alias("percentile"), ranking.tertile(F.col("p")).alias("tertile"))
 
 
@@ -133,7 +133,8 @@ def split_leaks(spark, sf):
 
 @register(f"SELECT c_custkey, ({_HASH.format('c_mktsegment', 'fold', 'c_custkey', 'c_custkey')} - 1) % 5 AS fold FROM customer")
 def round_robin_folds(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", split.round_robin(None, "c_custkey", "c_mktsegment", 5, "fold").cast("long").alias("fold"))
+    rows = split.round_robin(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 5, "fold")
+    return rows.select("c_custkey", F.col("fold").cast("long").alias("fold"))
 
 
 @register()
@@ -304,4 +305,4 @@ def plate_layout(spark, sf):
 
 @register("SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS centred FROM supplier")
 def group_centred(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", six(F.col("s_acctbal") - F.avg("s_acctbal").over(Window.partitionBy("s_nationkey")), 4).alias("centred"))
+    return aggregate.centred(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal").select("s_suppkey", six("s_acctbal", 4).alias("centred"))

@@ -18,18 +18,24 @@ def header(spark: SparkSession, path: str, separator: str = ",", skip: int = 0)
     return lines[skip]["value"].split(separator)
 
 
-def wide(spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None, skip: int = 0, row_name: str = "row_id", col_name: str = "col_id") -> DataFrame:
+def wide(spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None, skip: int = 0, row_name: str = "row_id", col_name: str = "col_id", keep: Column | str | None = None) -> DataFrame:
     """Long form of a wide table with ids in the first field: one row for each wanted column and line.
 
-    Repeated column names all come, with ``col_pos`` to tell them apart. Lines that repeat the header go.
+    Repeated column names all come, with ``col_pos`` to tell them apart. Lines that repeat the header go,
+    and those whose ``row_name`` does not meet ``keep``, before any cell is made of them.
     """
     names = header(spark, path, separator, skip)
     first = separator.join(names)
-    wanted = [(i, n) for i, n in enumerate(names) if i and (columns is None or n in set(columns))]
-    fields = F.split("value", separator if separator != "|" else r"\|", -1)
+    cut = separator if separator != "|" else r"\|"
+    fields, titles = F.split("value", cut, -1), F.split(F.lit(first), cut, -1)  # titles are folded to one literal, however many there are
     lines = spark.read.text(path).filter(F.col("value") != first).select(fields.alias("f")).filter(F.size("f") == len(names))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(n).alias(col_name), F.get("f", F.lit(i)).alias("text")) for i, n in wanted]))
-    return lines.select(F.get("f", F.lit(0)).alias(row_name), cells.alias("c")).select(row_name, f"c.{col_name}", "c.col_pos", number(F.col("c.text")).alias("value"))
+    lines = lines.select(F.get("f", F.lit(0)).alias(row_name), "f")
+    if keep is not None:
+        lines = lines.filter(keep)
+    wanted = F.lit(True) if columns is None else F.col(col_name).isin(list(columns))
+    cells = lines.select(row_name, F.posexplode(F.slice("f", 2, len(names))).alias("n", "text")).withColumn("col_pos", F.col("n") + 1)
+    cells = cells.withColumn(col_name, F.get(titles, F.col("col_pos"))).filter(wanted)
+    return cells.select(row_name, col_name, "col_pos", number(F.col("text")).alias("value"))
 
 
 def feature_major(spark: SparkSession, path: str, separator: str = "\t", columns: list[str] | None = None, skip: int = 0) -> DataFrame:
@@ -73,15 +79,15 @@ def gene_sets(spark: SparkSession, path: str, least: int = 1) -> DataFrame:
 def soft_samples(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a SOFT file: sample and a map of its attributes (values of repeated ones joined by ``;``).
 
-    Lines belong to the last sample line before them; metadata files are one task's work.
+    Lines belong to the last sample line before them in their file; a file is one task's work, as its order counts.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    starts = F.sum((F.col("line").startswith("^SAMPLE")).cast("int")).over(Window.orderBy("n"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    starts = F.sum((F.col("line").startswith("^SAMPLE")).cast("int")).over(Window.partitionBy("file").orderBy("n"))
     rows = raw.withColumn("s", starts).filter("s > 0 AND line LIKE '!Sample_%'")
     pair = F.split(F.substring("line", 9, 1 << 20), r"\s*=\s*", 2)
-    names = raw.withColumn("s", starts).filter(F.col("line").startswith("^SAMPLE")).select("s", F.trim(F.get(F.split("line", "=", 2), F.lit(1))).alias("sample"))
-    fields = rows.groupBy("s", F.get(pair, F.lit(0)).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.get(pair, F.lit(1)).alias("v")))), lambda x: x["v"]), ";").alias("v"))
-    return names.join(fields.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attributes")), "s", "left").drop("s")
+    names = raw.withColumn("s", starts).filter(F.col("line").startswith("^SAMPLE")).select("file", "s", F.trim(F.get(F.split("line", "=", 2), F.lit(1))).alias("sample"))
+    fields = rows.groupBy("file", "s", F.get(pair, F.lit(0)).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.get(pair, F.lit(1)).alias("v")))), lambda x: x["v"]), ";").alias("v"))
+    return names.join(fields.groupBy("file", "s").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attributes")), ["file", "s"], "left").drop("file", "s")
 
 
 def dense_counts(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:

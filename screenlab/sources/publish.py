@@ -51,27 +51,31 @@ def manifest(tables: dict[str, DataFrame]) -> dict[str, dict]:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], path: str, notes: dict | None = None, dry_run: bool = False) -> dict:
-    """Write all tables beside the target, then the manifest, then rename; an existing target is an error.
+    """Write all tables beside the target, then the manifest of what was written, then rename; an existing target is an error.
 
-    If anything fails, what was written goes. A dry run makes the manifest and writes nothing.
+    If anything fails, what was written goes. A dry run makes the manifest from the tables and writes nothing.
     """
     if exists(spark, path):
         raise FileExistsError(path)
-    about = {"tables": manifest(tables), "written": datetime.now(timezone.utc).isoformat(), **(notes or {})}
+
+    def about(found: dict[str, DataFrame]) -> dict:
+        return {"tables": manifest(found), "written": datetime.now(timezone.utc).isoformat(), **(notes or {})}
+
     if dry_run:
-        return about
+        return about(tables)
     system, make = _system(spark, path)
     part = f"{path}.part"
     try:
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{part}/{name}")
-        spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.text(f"{part}/manifest")
+        made = about({name: spark.read.parquet(f"{part}/{name}") for name in tables})
+        spark.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.text(f"{part}/manifest")
         if not system.rename(make(part), make(path)):
             raise OSError(f"{part} could not be renamed")
     except BaseException:
         system.delete(make(part), True)
         raise
-    return about
+    return made
 
 
 def read_published(spark: SparkSession, path: str) -> dict[str, DataFrame]:

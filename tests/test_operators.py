@@ -261,3 +261,69 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = streaming.windowed_counts(spark.read.parquet(src))
     assert {(r["start"], r["event_type"], r["n"]) for r in spark.table("w").collect()} == {(r["start"], r["event_type"], r["n"]) for r in batch.collect()}
+
+
+def test_counts_of_hot_groups_equal_windows(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 3 == 2).cast("int")).alias("g"), F.when(F.col("id") % 7 == 0, None).otherwise(F.pmod(F.hash("id"), F.lit(40)) / 4.0).alias("v"))
+    made = ranking.average_ranks(rows, ["g"], "v", "rank").select("id", "rank")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.select("id", ranking.average_rank(["g"], "v")).collect()))
+    whole = ranking.percentile_ranks(rows, [], "v", "p").select("id", "p")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, rows.select("id", ranking.percentile_rank([], "v")).collect()))
+    assert ranking.average_ranks(rows.limit(0), ["g"], "v", "rank").count() == 0
+    values = [(r["id"], r["v"]) for r in rows.filter("g IS NULL").collect()]
+    there = [v for _, v in values if v is not None]
+    for r in aggregate.empirical_percentile(rows.filter("g IS NULL"), ["g"], "id", "v").collect():
+        if r["v"] is not None:
+            assert abs(r["percentile"] - 100 * sum(v <= r["v"] for v in there) / len(there)) < 1e-9
+            assert abs(r["p_upper"] - (1 + sum(v >= r["v"] for v in there)) / (1 + len(there))) < 1e-12
+
+
+def test_dealing_follows_the_whole_hash(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 10 == 0).cast("int").alias("c"))
+    lot = scalars.hash_key(F.lit("s"), F.col("id"))
+    order = {}
+    for r in rows.select("id", "c", lot.alias("lot")).orderBy("c", "lot", "id").collect():
+        order.setdefault(r["c"], []).append(r["id"])
+    folds = {r["id"]: r["fold"] for r in split.round_robin(rows, "id", "c", 5, "s").collect()}
+    parts = {r["id"]: r["split"] for r in split.hash_split(rows, "id", "c", "s").collect()}
+    for ids in order.values():
+        assert [folds[i] for i in ids] == [k % 5 for k in range(len(ids))]
+        assert [parts[i] for i in ids] == ["train"] * round(0.6 * len(ids)) + ["validation"] * round(0.2 * len(ids)) + ["test"] * (len(ids) - round(0.6 * len(ids)) - round(0.2 * len(ids)))
+
+
+def test_moments_keep_their_digits(spark):
+    rng = np.random.default_rng(3)
+    x, g = rng.normal(size=200), np.arange(200) % 4
+    y = 2 * x + rng.normal(size=200)
+    rows = spark.createDataFrame([(int(i), int(g[i]), 0, float(1e8 + x[i]), float(1e8 + y[i])) for i in range(200)], "id int, g int, c int, x double, y double")
+    line = linalg.ridge_line(rows, ["c"], "x", "y", 1.0).first()
+    xc, yc = x - x.mean(), y - y.mean()
+    assert abs(line["slope"] - xc @ yc / (xc @ xc + 1)) < 1e-5
+    assert abs(rows.agg(metrics.pearson(F.col("x"), F.col("y")).alias("r")).first()["r"] - np.corrcoef(x, y)[0, 1]) < 1e-5
+    for r in linalg.held_out_scalers(rows, "id", "g", "c", "x").collect():
+        rest = x[g != r["held"]]
+        assert abs(r["mean"] - 1e8 - rest.mean()) < 1e-5 and abs(r["sd"] - rest.std()) < 1e-5
+    for r in linalg.line_errors(rows, ["c"], "g", "x", "y", [1.0, 10.0]).collect():
+        sse = 0.0
+        for f in range(4):
+            a, b = x[g == f], y[g == f]
+            slope = (a - a.mean()) @ (b - b.mean()) / ((a - a.mean()) @ (a - a.mean()) + r["alpha"])
+            sse += sum((y[g != f] - slope * x[g != f] - (b.mean() - slope * a.mean())) ** 2)
+        assert abs(r["sse"] - sse) < 1e-3 * sse
+
+
+def test_sources_by_file_and_position(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("id," + ",".join(f"c{i}" for i in range(5000)) + "\n" + "".join(f"{r}," + ",".join(str(i) for i in range(5000)) + "\n" for r in "ab"))
+    cells = matrices.wide(spark, str(tmp_path / "w.csv"), keep="row_id <> 'a'")
+    assert cells.count() == 5000 and cells.filter("row_id = 'a' OR col_id <> concat('c', CAST(value AS INT))").count() == 0
+    (tmp_path / "soft").mkdir()
+    for name in "ab":
+        (tmp_path / "soft" / f"{name}.txt").write_text(f"^SAMPLE = {name}1\n!Sample_t = {name}\n^SAMPLE = {name}2\n!Sample_t = {name}{name}\n")
+    found = {r["sample"]: r["attributes"] for r in matrices.soft_samples(spark, str(tmp_path / "soft")).collect()}
+    assert found == {"a1": {"t": "a"}, "a2": {"t": "aa"}, "b1": {"t": "b"}, "b2": {"t": "bb"}}
+
+
+def test_macro_average_rolls_up_sums(spark):
+    rows = spark.createDataFrame([("l", "x", 1.0), ("l", "x", 2.0), ("l", "y", None), ("m", "y", 6.0), (None, "z", None)], "lineage string, cluster string, v double")
+    made = {r["estimand"]: r["v"] for r in aggregate.macro_average(rows, "lineage", "cluster", ["v"]).collect()}
+    assert made == {"row_weighted": 3.0, "lineage_equal": 3.75, "cluster_equal": 3.75}
