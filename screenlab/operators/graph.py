@@ -133,3 +133,66 @@ def random_growth(edges: DataFrame, nodes: DataFrame, node: str, size: int, n: i
         chosen = reached.select("draw", "members", open_.alias("__to")).groupBy("draw", "members").agg(F.min_by("__to", F.when(F.col("__to").isNotNull(), lot(step, F.col("__to")))).alias("__to"))
         grown = chosen.select("draw", F.when(F.col("__to").isNull(), F.col("members")).otherwise(F.concat("members", F.array("__to"))).alias("members"))
     return grown.select("draw", F.sort_array("members").alias("members"))
+
+
+def extensions(states: DataFrame, edges: DataFrame, genes: DataFrame, gene: str, worth: str, budget: int) -> DataFrame:
+    """Every state by every gene that may join it: the state's columns and __gene, __bridge, __nodes, __gain.
+
+    A state has nodes (one at least) and chosen genes. A gene joins if it is a node already, has an edge to
+    one, or has a neighbour in common with one: then the first such neighbour by name comes along as bridge.
+    States of more than ``budget`` nodes are left out. A state that nothing joins has one row without a gene.
+    """
+    moves = _steps(edges)
+    ends = moves.select("__from").union(genes.select(gene)).distinct()
+    # each node also steps to itself, so paths of two steps hold those of one and of none
+    stepped = moves.withColumn("__real", F.lit(True)).unionByName(ends.select("__from", F.col("__from").alias("__to"), F.lit(False).alias("__real")))
+    one = stepped.select("__from", F.col("__to").alias("__mid"), F.col("__real").alias("__r1"))
+    two = stepped.select(F.col("__from").alias("__mid"), "__to", F.col("__real").alias("__r2"))
+    bridge = F.when(F.col("__r1") & F.col("__r2"), F.col("__mid"))
+    paths = states.withColumn("__from", F.explode("nodes")).join(one, "__from").join(two, "__mid")
+    found = paths.groupBy(*states.columns, F.col("__to").alias("__gene")).agg(F.when(F.bool_and(bridge.isNotNull()), F.min(bridge)).alias("__bridge"))
+    found = found.join(genes.select(F.col(gene).alias("__gene"), F.col(worth).cast("long").alias("__gain")), "__gene", "left")
+    added = F.array_compact(F.array("__gene", "__bridge"))
+    found = found.withColumn("__nodes", F.sort_array(F.array_union("nodes", added)))
+    fits = F.col("__gain").isNotNull() & ~F.array_contains("chosen", F.col("__gene")) & (F.size("__nodes") <= budget)
+    kept = {c: F.when(fits, F.col(c)) for c in ("__gene", "__bridge", "__gain", "__nodes")}
+    # NULL stands once for all that do not fit
+    rows = found.select(*states.columns, *[c.alias(n) for n, c in kept.items()]).distinct()
+    none = rows.groupBy(*states.columns).agg(F.collect_list(F.when(F.col("__gene").isNotNull(), F.struct(*kept))).alias("__made"))
+    return none.select(*states.columns, F.explode_outer("__made").alias("m")).select(*states.columns, "m.*")
+
+
+def transitions(states: DataFrame, edges: DataFrame, genes: DataFrame, gene: str, worth: str, budget: int, penalty: int) -> DataFrame:
+    """The state's columns, action, bridge, reached and reward of all moves that a state allows.
+
+    The reward is the gene's worth less ``penalty`` for each new node, so rewards along a way add up to the
+    worth of its end; STOP leaves the state and gives nothing.
+    """
+    made = extensions(states, edges, genes, gene, worth, budget).filter(F.col("__gene").isNotNull())
+    reward = F.col("__gain") - penalty * (F.size("__nodes") - F.size("nodes"))
+    moves = made.select(*states.columns, F.col("__gene").alias("action"), F.col("__bridge").alias("bridge"), F.col("__nodes").alias("reached"), reward.cast("long").alias("reward"))
+    stop = states.select("*", F.lit("STOP").alias("action"), F.lit(None).cast("string").alias("bridge"), F.col("nodes").alias("reached"), F.lit(0).cast("long").alias("reward"))
+    return moves.unionByName(stop)
+
+
+def ranked_prefix(edges: DataFrame, genes: DataFrame, gene: str, worth: str, place: str, budget: int, penalty: int, seed: str | None = None) -> DataFrame:
+    """chosen, nodes and worth of the best prefix of a search by fixed priority; no row if none is worth more than 0.
+
+    Each step adds the gene of the lowest ``place`` (all differ) that may join, whatever it is worth; of the
+    states on the way the first of the highest worth is the result. ``seed`` is a gene that comes first.
+    """
+    by = genes.select(F.col(gene).alias("__gene"), F.col(place).alias("__place"))
+    start = genes.filter(F.col(gene) == seed) if seed is not None else genes.orderBy(place).limit(1)
+    worthy = F.col(worth).cast("long") - penalty
+    states = start.select(F.array(gene).alias("chosen"), F.array(gene).alias("nodes"), worthy.alias("worth"))
+    best = lambda: F.struct("chosen", "nodes", "worth")
+    states = states.withColumn("best", best())
+    for _ in range(budget - 1):
+        made = extensions(states, edges, genes, gene, worth, budget).join(by, "__gene", "left")
+        # one row a state, and there is one state
+        made = made.groupBy(*states.columns).agg(F.min_by(F.struct("__gene", "__nodes", "__gain"), "__place").alias("m"))
+        grown = F.col("m").isNotNull()
+        worth_now = F.col("worth") + F.col("m.__gain") - penalty * (F.size("m.__nodes") - F.size("nodes"))
+        made = made.select(F.when(grown, F.array_append("chosen", F.col("m.__gene"))).otherwise(F.col("chosen")).alias("chosen"), F.when(grown, F.col("m.__nodes")).otherwise(F.col("nodes")).alias("nodes"), F.when(grown, worth_now).otherwise(F.col("worth")).alias("worth"), "best")
+        states = made.withColumn("best", F.when(F.col("worth") > F.col("best.worth"), best()).otherwise(F.col("best")))
+    return states.select("best.*").filter("worth > 0")

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import jaccard
 
 
 def average_rank(by: list[str], value: str, base: int = 0) -> Column:
@@ -52,10 +51,30 @@ def top_lists(df: DataFrame, by: list[str], value: str, key: str, k: int) -> Dat
 
 
 def mean_pairwise_jaccard(lists: DataFrame, group: str, entity: str, items: str = "top") -> DataFrame:
-    """Mean Jaccard index over all pairs of entities in a group; groups are small by nature (lists of one stratum)."""
-    a, b = lists.alias("a"), lists.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{entity}") < F.col(f"b.{entity}")))
-    return pairs.groupBy(F.col(f"a.{group}").alias(group)).agg(F.count("*").alias("n_pairs"), F.avg(jaccard(F.col(f"a.{items}"), F.col(f"b.{items}"))).alias("jaccard"))
+    """Mean Jaccard index over all pairs of entities in a group, without forming the pairs; for lists of the top few.
+
+    Lists of a and b items that share i of them have the index i / (a + b - i). That is the sum, over the sets
+    of m >= 1 items that both hold, of 1 / C(a + b - 1, m), so it is enough to count how many lists of each
+    length hold each set. Work grows with the lists, and doubles with each item of a list that others hold too.
+    Pairs of two empty lists count as pairs but have no index; a group of one list has no row.
+    """
+    rows = lists.filter(F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.col(entity).alias("__e"), F.array_distinct(items).alias("__items"))
+    groups = rows.groupBy("__g").agg(F.count("*").alias("__n"), F.count_if(F.size("__items") == 0).alias("__none"))
+    single = rows.select("__g", "__e", F.size("__items").alias("__size"), F.explode("__items").alias("__x"))
+    common = single.groupBy("__g", "__x").agg(F.count("*").alias("__k")).filter("__k > 1").select("__g", "__x")
+    held = single.join(common, ["__g", "__x"]).groupBy("__g", "__e", "__size").agg(F.array_sort(F.collect_list("__x")).alias("__held"))
+    masks = held.withColumn("__mask", F.explode(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("__held")).cast("long") - 1)))
+    sets = masks.withColumn("__set", F.filter("__held", lambda x, i: F.getbit("__mask", i) == 1))
+    counts = sets.groupBy("__g", "__set", "__size").agg(F.count("*").cast("double").alias("n"))
+    # as many entries as there are lengths
+    lengths = counts.groupBy("__g", "__set").agg(F.collect_list(F.struct("__size", "n")).alias("__l"))
+    chance = lambda x, y: F.aggregate(F.sequence(F.lit(1), F.size("__set")), F.lit(1.0), lambda made, i: made * i / (x["__size"] + y["__size"] - i))
+    twice = lambda x, y: x["n"] * (y["n"] - F.when(x["__size"] == y["__size"], 1.0).otherwise(0.0)) * chance(x, y)
+    total = F.aggregate(F.flatten(F.transform("__l", lambda x: F.transform("__l", lambda y: twice(x, y)))), F.lit(0.0), lambda a, b: a + b) / 2
+    sums = lengths.groupBy("__g").agg(F.sum(total).alias("__s"))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    mean = F.try_divide(F.coalesce("__s", F.lit(0.0)), pairs("__n") - pairs("__none"))
+    return groups.filter("__n > 1").join(sums, "__g", "left").select(F.col("__g").alias(group), pairs("__n").cast("long").alias("n_pairs"), mean.alias("jaccard"))
 
 
 def top_n(df: DataFrame, frequency: str, key: str, n: int, positive: bool = False) -> DataFrame:

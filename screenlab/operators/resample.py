@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import hash_key, hash_place
+from .ranking import placed
 
 #: Quantiles reported.
 BOUNDS = (0.025, 0.5, 0.975)
 
 
 def numbered(df: DataFrame, groups: list[str], key: str) -> DataFrame:
-    """``__pos`` from 0 and ``__size`` of each row inside its group."""
-    w = Window.partitionBy(*groups)
-    return df.withColumn("__pos", F.row_number().over(w.orderBy(key)) - 1).withColumn("__size", F.count("*").over(w))
+    """``__pos`` from 0 by ``key`` and ``__size`` of each row inside its group, for groups of any share of all rows.
+
+    ``key`` is a number or text; text is dealt into ranges by its first bytes.
+    """
+    own = {c: f"__own_{c}" for c in ("place", "size") if c in df.columns}
+    name = lambda c: own.get(c, c)
+    rows, value = df.withColumnsRenamed(own), name(key)
+    if isinstance(df.schema[key].dataType, T.StringType):
+        start = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0")
+        rows, value = rows.withColumn("__first", F.conv(start, 16, 10).cast("long")), "__first"
+    rows = placed(rows, [name(c) for c in groups], value, name(key)).drop("__first")
+    rows = rows.withColumns({"__pos": (F.col("place") - 1).cast("int"), "__size": F.col("size")}).drop("place", "size")
+    return rows.withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def drawn(df: DataFrame, groups: list[str], key: str, draws: int, seed: str) -> DataFrame:

@@ -152,6 +152,27 @@ def module_beam(spark, sf):
     return _module(spark, sf, 8)
 
 
+@register()
+def module_ranked(spark, sf):
+    """Nations by number of suppliers, the most first, as a fixed priority; the best prefix."""
+    own = table(spark, sf, "supplier").groupBy(_nation().alias("node")).agg(F.round(F.avg(F.col("s_acctbal").cast("decimal(12,2)")) * 100).cast("long").alias("cents"), F.count("*").alias("n"))
+    own = own.withColumn("place", F.struct(-F.col("n"), "node"))
+    best = graph.ranked_prefix(nation_edges(spark, sf), own, "node", "cents", "place", 6, 10_000)
+    return best.select(F.posexplode("chosen").alias("position", "node"), F.array_join("nodes", ",").alias("nodes"), "worth").withColumn("position", (F.col("position") + 1).cast("long"))
+
+
+@register(f"""WITH {_EDGE}, gene AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS g, s_suppkey AS k, CAST(CAST(s_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT) AS w FROM supplier)
+SELECT a.g AS state, b.g AS action, min(x.src) AS bridge, 3 AS n_reached, b.w - 20000 AS reward FROM gene a JOIN edge x ON x.dst = a.g JOIN edge y ON y.src = x.src JOIN gene b ON b.g = y.dst WHERE a.k % 20 = 0 AND a.k <> b.k GROUP BY ALL
+UNION ALL SELECT g, 'STOP', NULL, 1, 0 FROM gene WHERE k % 20 = 0""")
+def module_transitions(spark, sf):
+    """From every supplier whose key is divisible by 20, all moves to suppliers, which are joined through what both sell."""
+    gene = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    s = table(spark, sf, "supplier").select("s_suppkey", gene.alias("node"), (F.col("s_acctbal").cast("decimal(12,2)") * 100).cast("long").alias("cents"))
+    states = s.filter("s_suppkey % 20 = 0").select(F.col("node").alias("state"), F.array("node").alias("chosen"), F.array("node").alias("nodes"))
+    moves = graph.transitions(states, graph.canonical_edges(_pairs(spark, sf), "a", "b"), s, "node", "cents", 6, 10_000)
+    return moves.select("state", "action", "bridge", F.size("reached").alias("n_reached"), "reward")
+
+
 @register("SELECT word AS category, min(source) AS source, count(*) AS n_rows FROM (SELECT source, lang || CAST(n_chars % 97 AS VARCHAR) AS word FROM documents) GROUP BY word HAVING count(DISTINCT source) = 1")
 def exclusive_category(spark, sf):
     d = table(spark, sf, "documents").select("source", F.concat("lang", (F.col("n_chars") % 97).cast("string")).alias("category"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.governance import content_digest
@@ -85,3 +88,70 @@ def read_published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if {k: v["digest"] for k, v in manifest(tables).items()} != {k: v["digest"] for k, v in about["tables"].items()}:
         raise ValueError(f"{path}: the content is not what the manifest says")
     return tables
+
+
+def unlocked(spark: SparkSession, path: str, tables: dict[str, DataFrame], stated: dict[str, str], allow: bool = False) -> None:
+    """The gate before a run that may happen once: it must be allowed, nothing may stand at ``path``, inputs must be those stated.
+
+    ``stated`` has the content digest of every input; the errors are PermissionError, FileExistsError, ValueError.
+    """
+    if not allow:
+        raise PermissionError("the run is locked; allow it expressly")
+    if exists(spark, path):
+        raise FileExistsError(path)
+    found = {name: about["digest"] for name, about in manifest(tables).items()}
+    if found != stated:
+        raise ValueError(f"inputs are not those stated: {sorted(n for n in found.keys() | stated.keys() if found.get(n) != stated.get(n) or n not in found or n not in stated)}")
+
+
+def _written(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears at once or not at all; an existing one is an error."""
+    system, make = _system(spark, path)
+    part = f"{path}.{uuid.uuid4().hex}"
+    out = system.create(make(part), False)
+    out.write(text.encode())
+    out.close()
+    # Hadoop file systems differ on renaming onto a file, so look first
+    if system.exists(make(path)) or not system.rename(make(part), make(path)):
+        system.delete(make(part), False)
+        raise FileExistsError(path)
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str):
+    """Holds ``path`` as an advisory lock; who finds it taken gets FileExistsError at once.
+
+    The file is created exclusively. A run that was killed leaves it, and its owner removes it.
+    """
+    system, make = _system(spark, path)
+    try:
+        system.create(make(path), False).close()
+    except Py4JJavaError as e:
+        if not system.exists(make(path)):
+            raise
+        raise FileExistsError(path) from e
+    try:
+        yield
+    finally:
+        system.delete(make(path), False)
+
+
+def resumed(spark: SparkSession, path: str, parts: dict[str, Callable[[], DataFrame]], signature: dict) -> dict[str, DataFrame]:
+    """The parts of a long run, each computed once: what a run before has finished is read.
+
+    ``signature`` says what the results depend on (digests of inputs, versions, settings). A folder of another
+    signature is an error, so results never mix. One run at a time works in a folder. A part that was being
+    written when a run ended is written anew.
+    """
+    system, make = _system(spark, path)
+    system.mkdirs(make(path))
+    text = json.dumps(signature, sort_keys=True)
+    with locked(spark, f"{path}/run.lock"):
+        if not exists(spark, f"{path}/signature.json"):
+            _written(spark, f"{path}/signature.json", text)
+        if "".join(r["value"] for r in spark.read.text(f"{path}/signature.json").collect()) != text:
+            raise ValueError(f"{path} holds parts of another signature")
+        for name, compute in parts.items():
+            if not exists(spark, f"{path}/{name}/_SUCCESS"):
+                compute().write.mode("overwrite").parquet(f"{path}/{name}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in parts}

@@ -327,3 +327,96 @@ def test_macro_average_rolls_up_sums(spark):
     rows = spark.createDataFrame([("l", "x", 1.0), ("l", "x", 2.0), ("l", "y", None), ("m", "y", 6.0), (None, "z", None)], "lineage string, cluster string, v double")
     made = {r["estimand"]: r["v"] for r in aggregate.macro_average(rows, "lineage", "cluster", ["v"]).collect()}
     assert made == {"row_weighted": 3.0, "lineage_equal": 3.75, "cluster_equal": 3.75}
+
+
+def test_jaccard_without_pairs(spark):
+    """The mean over pairs from counts of shared sets, lists of several lengths and empty ones included."""
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    lists = [("a", i, rng.sample("pqrstuvw", rng.randint(0, 6))) for i in range(25)] + [("b", 1, ["x", "y"]), ("b", 2, ["y", "x"]), ("c", 1, ["x"]), ("d", 1, []), ("d", 2, [])]
+    got = {r["g"]: (r["n_pairs"], r["jaccard"]) for r in ranking.mean_pairwise_jaccard(spark.createDataFrame(lists, "g string, e int, top array<string>"), "g", "e").collect()}
+    assert set(got) == {"a", "b", "d"} and got["b"] == (1, 1.0) and got["d"] == (1, None)
+    each = [(set(x), set(y)) for (g, _, x), (h, _, y) in itertools.combinations(lists, 2) if g == h == "a"]
+    index = [len(x & y) / len(x | y) for x, y in each if x | y]
+    assert got["a"][0] == len(each) and got["a"][1] == pytest.approx(sum(index) / len(index), abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_numbered_rows(spark, kind):
+    """Row numbers of groups as a sort gives them; columns of like names stay."""
+    keys = [(k * 7919 % 503) - 100 for k in range(300)] + [None]
+    rows = [(("x", "y")[i % 3 == 0], k, i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "g string, k long, size int").withColumn("k", F.col("k").cast(kind))
+    got = {(r["g"], r["k"]): (r["__pos"], r["__size"], r["size"]) for r in resample.numbered(df, ["g"], "k").collect()}
+    assert len(got) == len(rows)
+    for g in ("x", "y"):
+        mine = [(None if k is None else k if kind == "long" else str(k), i) for h, k, i in rows if h == g]
+        mine.sort(key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0))
+        assert [got[g, k] for k, _ in mine] == [(p, len(mine), i) for p, (_, i) in enumerate(mine)]
+
+
+def _extended(adjacent, state, gene, budget):
+    chosen, nodes = state
+    if gene in chosen:
+        return None
+    added = {gene}
+    if gene not in nodes and not adjacent.get(gene, set()) & nodes:
+        between = {b for n in nodes for b in adjacent.get(n, set()) & adjacent.get(gene, set())}
+        if not between:
+            return None
+        added.add(min(between))
+    return (chosen + [gene], nodes | added) if len(nodes | added) <= budget else None
+
+
+def test_module_extensions(spark):
+    """Moves, rewards and the best prefix as plain loops over sets give them."""
+    pairs = [("a", "p"), ("p", "b"), ("a", "q"), ("q", "b"), ("b", "c"), ("d", "r"), ("r", "c"), ("e", "f"), ("q", "g")]
+    worth = {"a": 5, "b": -2, "c": 9, "d": 4, "e": 7, "f": 1, "g": 3, "lone": 8, "p": 2}
+    adjacent = graph.neighbours(pairs)
+    edges = graph.canonical_edges(spark.createDataFrame(pairs, "x string, y string"), "x", "y")
+    genes = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(sorted(worth.items(), key=lambda x: x[0] in "gp"))], "gene string, v long, place int")
+    states = [(0, ["a"], ["a"]), (1, ["a", "b"], ["a", "b", "p"]), (2, ["lone"], ["lone"]), (3, ["c", "d"], ["c", "d", "r"])]
+    moves = graph.transitions(spark.createDataFrame(states, "s int, chosen array<string>, nodes array<string>"), edges, genes, "gene", "v", 4, 1)
+    want = {(s, "STOP", tuple(n), 0) for s, _, n in states}
+    for s, chosen, nodes in states:
+        for gene in worth:
+            if made := _extended(adjacent, (chosen, set(nodes)), gene, 4):
+                want.add((s, gene, tuple(sorted(made[1])), worth[gene] - len(made[1]) + len(nodes)))
+    assert {(r["s"], r["action"], tuple(r["reached"]), r["reward"]) for r in moves.collect()} == want
+    order = [r["gene"] for r in genes.orderBy("place").collect()]
+    for seed, budget, penalty in ((None, 6, 1), ("d", 5, 2), ("lone", 4, 1), ("b", 3, 50)):
+        value = lambda s: sum(worth[g] for g in s[0]) - penalty * len(s[1])  # noqa: B023, E731
+        state = ([seed or order[0]], {seed or order[0]})
+        best = state
+        while made := next((m for g in order if (m := _extended(adjacent, state, g, budget))), None):
+            state = made
+            best = state if value(state) > value(best) else best
+        got = [(r["chosen"], set(r["nodes"]), r["worth"]) for r in graph.ranked_prefix(edges, genes, "gene", "v", "place", budget, penalty, seed).collect()]
+        assert got == ([(*best, value(best))] if value(best) > 0 else [])
+
+
+def test_gate_lock_and_resume(spark, tmp_path):
+    df, path = spark.createDataFrame([(1, "a")], "k int, v string"), str(tmp_path / "out")
+    stated = {n: x["digest"] for n, x in publish.manifest({"t": df}).items()}
+    publish.unlocked(spark, path, {"t": df}, stated, allow=True)
+    for error, tables, allow in ((PermissionError, {"t": df}, False), (ValueError, {"t": df.withColumn("v", F.lit("b"))}, True), (ValueError, {"t": df, "u": df}, True)):
+        with pytest.raises(error):
+            publish.unlocked(spark, path, tables, stated, allow)
+    ran = []
+
+    def part(n):
+        return lambda: ran.append(n) or spark.range(n)
+
+    with pytest.raises(ZeroDivisionError):
+        publish.resumed(spark, path, {"one": part(1), "bad": lambda: 1 // 0}, {"seed": 1})
+    tables = publish.resumed(spark, path, {"one": part(1), "two": part(2)}, {"seed": 1})
+    assert ran == [1, 2] and [tables[n].count() for n in ("one", "two")] == [1, 2]
+    with pytest.raises(ValueError):
+        publish.resumed(spark, path, {"one": part(1)}, {"seed": 2})
+    with pytest.raises(FileExistsError):
+        publish.unlocked(spark, path, {"t": df}, stated, allow=True)
+    with publish.locked(spark, f"{path}/own.lock"), pytest.raises(FileExistsError), publish.locked(spark, f"{path}/own.lock"):
+        pass
+    assert not publish.exists(spark, f"{path}/own.lock")
