@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, counts, language, personal, quality, secrets, simhash, tokenfile, warc
+from . import bpe, contamination, conversations, counts, language, lexical, personal, quality, secrets, simhash, tokenfile, toxicity, warc
 from .store import staged, table
 
 
@@ -77,7 +77,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash_dedup, op4_decontamination, op5_secret_scan, op6_personal_data, op7_bpe_roundtrip, op8_warc_archive, op9_token_files, op10_token_counts)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.is_held_out())
+    weights = toxicity.fit(docs.filter("NOT held_out"), table(spark, sf_dir, "labels").filter(~toxicity.is_held_out()))
+    return toxicity.score(docs, weights, ["doc_id", "held_out"])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damaged(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_simhash_dedup, op4_decontamination, op5_secret_scan, op6_personal_data, op7_bpe_roundtrip, op8_warc_archive, op9_token_files, op10_token_counts, op11_lexical_search, op12_toxicity, op13_conversation_repair)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -118,5 +133,72 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to
 FROM keeper
+""",
+    "op11_lexical_search": rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '{_WORDS}')) AS term FROM documents
+), posting AS (
+  SELECT d, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY d) AS n FROM doc GROUP BY d, doc_id, term
+), size AS (
+  SELECT count(DISTINCT d) AS rows, count(*) AS terms FROM doc
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * rows + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, size GROUP BY term, rows
+), item AS (
+  SELECT DISTINCT item_id, i, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '{_WORDS}')) AS term FROM (SELECT *, row_number() OVER () AS i FROM benchmark)
+), scored AS (
+  SELECT item_id, i, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + CAST(50 * n * rows AS BIGINT) // terms)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (term) JOIN posting USING (term), size GROUP BY item_id, i, d, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(key, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, v: xor(xor(a, v) >> 1, (xor(a, v) & 1) * 3988292384)), 4294967295) % 20 AS code FROM filled
+), damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded WHERE code <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged
+), marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), fault AS (
+  SELECT conv_id, turn, role, text, i, blank, again AND NOT blank AS duplicate, cut AND NOT again AND NOT blank AS truncated, blank OR again AS gone,
+    before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM marked
+), conv AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+    count_if(truncated) AS truncated, count_if(illegal) AS illegal,
+    list({'role': role, 'text': text, 'h': left(role, 1), 'gone': gone, 'x': CASE WHEN truncated THEN 3 ELSE 0 END} ORDER BY i) AS rows FROM fault GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n AS k, rows, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS s0, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']} AS s1,
+    {'c': 3, 'a': 'I', 't': ['assistant:']} AS s2, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS s3 FROM conv
+  UNION ALL
+  SELECT conv_id, k - 1, rows,
+    list_min([b0, {'c': b2.c + 3, 'a': 'I' || b2.a, 't': list_concat(['user:'], b2.t)}, {'c': b3.c + 6, 'a': 'II' || b3.a, 't': list_concat(['user:', 'assistant:'], b3.t)}]),
+    list_min([b1, {'c': b2.c + 3, 'a': 'I' || b2.a, 't': list_concat(['user:'], b2.t)}, {'c': b3.c + 6, 'a': 'II' || b3.a, 't': list_concat(['user:', 'assistant:'], b3.t)}]),
+    list_min([b2, {'c': b3.c + 3, 'a': 'I' || b3.a, 't': list_concat(['assistant:'], b3.t)}]),
+    list_min([b3, {'c': b2.c + 3, 'a': 'I' || b2.a, 't': list_concat(['user:'], b2.t)}])
+  FROM (
+    SELECT conv_id, k, rows,
+      list_min([{'c': s0.c + 4, 'a': 'D' || s0.a, 't': s0.t}, {'c': CASE WHEN r.gone OR r.h <> 's' THEN 1000000 ELSE s1.c + r.x END, 'a': 'K' || s1.a, 't': list_concat([r.role || ':' || r.text], s1.t)},
+        {'c': CASE WHEN r.gone OR r.h <> 'u' THEN 1000000 ELSE s2.c + r.x END, 'a': 'K' || s2.a, 't': list_concat([r.role || ':' || r.text], s2.t)},
+        {'c': CASE WHEN r.gone THEN 1000000 ELSE s2.c + r.x + 3 END, 'a': 'R' || s2.a, 't': list_concat(['user:' || r.text], s2.t)}]) AS b0,
+      list_min([{'c': s1.c + 4, 'a': 'D' || s1.a, 't': s1.t}, {'c': CASE WHEN r.gone OR r.h <> 'u' THEN 1000000 ELSE s2.c + r.x END, 'a': 'K' || s2.a, 't': list_concat([r.role || ':' || r.text], s2.t)},
+        {'c': CASE WHEN r.gone THEN 1000000 ELSE s2.c + r.x + 3 END, 'a': 'R' || s2.a, 't': list_concat(['user:' || r.text], s2.t)}]) AS b1,
+      list_min([{'c': s2.c + 4, 'a': 'D' || s2.a, 't': s2.t}, {'c': CASE WHEN r.gone OR r.h <> 'a' THEN 1000000 ELSE s3.c + r.x END, 'a': 'K' || s3.a, 't': list_concat([r.role || ':' || r.text], s3.t)},
+        {'c': CASE WHEN r.gone THEN 1000000 ELSE s3.c + r.x + 3 END, 'a': 'R' || s3.a, 't': list_concat(['assistant:' || r.text], s3.t)}]) AS b2,
+      list_min([{'c': s3.c + 4, 'a': 'D' || s3.a, 't': s3.t}, {'c': CASE WHEN r.gone OR r.h <> 'u' THEN 1000000 ELSE s2.c + r.x END, 'a': 'K' || s2.a, 't': list_concat([r.role || ':' || r.text], s2.t)},
+        {'c': CASE WHEN r.gone THEN 1000000 ELSE s2.c + r.x + 3 END, 'a': 'R' || s2.a, 't': list_concat(['user:' || r.text], s2.t)}]) AS b3
+    FROM (SELECT *, rows[k] AS r FROM walk WHERE k > 0)
+  )
+)
+SELECT e.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank, CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.s0.c, 0) AS BIGINT) AS cost, coalesce(w.s0.a, '') AS audit, sha256(coalesce(array_to_string(w.s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN conv c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN walk w ON w.k = 0 AND w.conv_id IS NOT DISTINCT FROM e.conv_id
 """,
 }
