@@ -124,7 +124,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bits: int, rows: int, shards: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """shard, place, label and features of about ``rows`` labelled rows (all, if fewer), taken by a hash of the id.
+    """shard, place, label and features of about ``rows`` labelled rows (all, if fewer), taken by a hash of the id; a shard's rows in order of place.
 
     Of rows with one id and label, the one whose text has the smallest digest is taken; null labels and ids are not.
     """
@@ -134,17 +134,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, bits: int, rows: int, shar
     sample = named.filter(hashed("toxicity", F.col("__id")) < rate * (1 << 30))  # about ``rows`` rows of two numbers are broadcast
     found = docs.select(docs[doc_id].alias("__id"), docs[text].alias("__text")).join(F.broadcast(sample), "__id")
     found = found.select("__id", "__label", F.md5(F.encode(F.coalesce("__text", F.lit("")), "utf-8")).alias("__digest"), "__text")
-    schema = T.StructType([*found.schema.fields[:3], T.StructField("__features", T.ArrayType(T.IntegerType()))])
+    one = found.groupBy("__id", "__label").agg(F.min_by("__text", "__digest").alias("text"))
+    dealt = one.select((hashed("shard", F.col("__id")) % shards).cast("int").alias("shard"), hashed("place", F.col("__id")).alias("place"), F.col("__label").alias("label"), "text")
+    # texts are shuffled, which are smaller than their features
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "place", "label")
 
     def made(batches):
         for batch in batches:
-            lists = [features(value.as_py(), bits) for value in batch.column(3)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=schema.names)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                lists = [features(value.as_py(), bits) for value in part.column(3)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))], names=["shard", "place", "label", "features"])
 
-    one = found.mapInArrow(made, schema).groupBy("__id", "__label").agg(F.min_by("__features", "__digest").alias("features"))
-    return one.select((hashed("shard", F.col("__id")) % shards).cast("int").alias("shard"), hashed("place", F.col("__id")).alias("place"), F.col("__label").alias("label"), "features")
+    return dealt.mapInArrow(made, "shard int, place long, label int, features array<int>")
 
 
 def trained(rows: DataFrame, bits: int, rounds: int, alpha: float, beta: float, l1: float, l2: float) -> Ftrl:
@@ -153,7 +156,7 @@ def trained(rows: DataFrame, bits: int, rounds: int, alpha: float, beta: float,
     Every task learns from the rows of a shard that it reads, starting from the state of the round before; states are averaged by rows.
     """
     spark, model = rows.sparkSession, Ftrl(bits, alpha, beta, l1, l2)
-    rows = staged(rows.repartition("shard").sortWithinPartitions("shard", "place", "label"), "toxicity-rows")
+    rows = staged(rows, "toxicity-rows")
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
