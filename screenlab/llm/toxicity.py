@@ -167,7 +167,7 @@ def trained(rows: DataFrame, bits: int, rounds: int, alpha: float, beta: float,
 
             def part():
                 at = np.flatnonzero(state.n)
-                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([count], pa.int64()), *(pa.array([x], t) for x, t in ((at, pa.list_(pa.int64())), (state.z[at], pa.list_(pa.float64())), (state.n[at], pa.list_(pa.float64()))))], names=names)
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([count], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), state.z[at], state.n[at]))], names=names)
 
             for batch in batches:
                 for shard, label, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
@@ -181,12 +181,12 @@ def trained(rows: DataFrame, bits: int, rounds: int, alpha: float, beta: float,
             if state is not None:
                 yield part()
 
-        parts = rows.mapInArrow(learn, "shard int, rows long, at array<long>, z array<double>, n array<double>")
+        parts = rows.mapInArrow(learn, "shard int, rows long, at binary, z binary, n binary")
         total, z, n = 0, np.zeros_like(model.z), np.zeros_like(model.n)
-        for part in sorted(parts.collect(), key=lambda r: (r["shard"], r["rows"])):  # one row a shard, or a few
-            at = np.array(part["at"], np.int64)
-            z[at] += part["rows"] * np.array(part["z"])
-            n[at] += part["rows"] * np.array(part["n"])
+        for part in sorted(parts.collect(), key=lambda r: (r["shard"], r["rows"])):  # a row a shard or a few, 20 bytes for each feature met
+            at = np.frombuffer(part["at"], np.int32)
+            z[at] += part["rows"] * np.frombuffer(part["z"])
+            n[at] += part["rows"] * np.frombuffer(part["n"])
             total += part["rows"]
         sent.destroy()
         if not total:
