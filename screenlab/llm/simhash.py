@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import kept, staged
+from .store import discard, kept, staged
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -186,7 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = staged(small, "links")
+        old, edges = edges, staged(small, "links")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
@@ -198,7 +199,8 @@ def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", te
 
     Null ids are ignored when the smallest is taken (null only if a whole component has none). Repeated
     rows give repeated results. Texts without words all have fingerprint 0. An empty table gives an
-    empty result. ``root``: __root too, the fingerprint that names the component, whatever its ids.
+    empty result. ``root``: __root too, the fingerprint that names the component, whatever its ids. Columns in ``keep`` must
+    not be named __fp, __component or __root; further columns of the table, whatever their names, are not read.
     """
     columns = list(dict.fromkeys([*keep, doc_id]))
     rows = staged(fingerprints(docs, columns, text, size), "fingerprints")

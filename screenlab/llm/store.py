@@ -40,7 +40,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table made by ``staged`` that nothing reads any more; other tables are left alone."""
+    path, spark = getattr(df, "staged_at", None), df.sparkSession
+    if path and path.startswith(shared_dir(spark)):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def kept(keep: list[str], made: list[str]) -> list[str]:
