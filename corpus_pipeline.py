@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from screenlab.llm import bpe, contamination, language, secrets, simhash
 from screenlab.llm.queries import pattern, vocabulary
-from screenlab.llm.store import numbered, staged, table
+from screenlab.llm.store import discard, numbered, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(marked_docs, ["doc_id", "__key"], root=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__fp", "__key")).alias("f")
     chosen = marked.groupBy("__root").agg(first).select(F.col("f.__key").alias("__key"))
-    # what is left of a group are rows of one id and text: one stays
-    return marked_docs.join(chosen, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    # rows of one id and text are cut to one where they are read, so however many there are, a task sends one on
+    return marked_docs.dropDuplicates(["__key"]).join(chosen, "__key", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again as the next stage's rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = staged(docs, name)
+            discard(before)
     return docs
