@@ -143,33 +143,43 @@ def _errors(fit: linalg._STATE, held: linalg._STATE, p: int, weights: np.ndarray
     return spread + n * shift**2
 
 
-def nested_errors(states: DataFrame, key: str, n_targets: int, methods: list[str]) -> DataFrame:
+def nested_errors(states: DataFrame, key: str, groups: list[list[int]], methods: list[str]) -> DataFrame:
     """outer, inner, method, option, target, n, sse: every option fitted without two groups and measured on one of them.
 
-    ``inner`` is NULL for fits on all groups but the outer one, measured on the outer one. A pair of groups is
-    one row of work: its fit takes the states of all others, merged along the pairs of an outer group.
+    ``inner`` is NULL for fits on all groups but the outer one, measured on the outer one. ``states`` are those of
+    ``moments`` with groups of targets (``target_masks``): features are scaled on all training rows, and a group of
+    targets is fitted and measured on the rows that have it, so a gap in a target changes its own errors alone.
+    A pair of groups is one row of work: its fit takes the states of all others, merged along the pairs of an outer group.
     """
-    schema = f"outer {dict(states.dtypes)[key]}, inner {dict(states.dtypes)[key]}, method string, option int, target int, n double, sse double"
-    packed = states.filter("part = -1").select(F.struct(F.col(key).alias("key"), "n", "mean", "cross").alias("s"))
-    every = packed.agg(F.array_sort(F.collect_list("s")).alias("all"))  # a state a group: groups times features squared
+    kind = dict(states.dtypes)[key]
+    schema = f"outer {kind}, inner {kind}, method string, option int, target int, n double, sse double"
+    packed = states.select(F.struct(F.col(key).alias("key"), "part", "n", "mean", "cross").alias("s"))
+    every = packed.agg(F.array_sort(F.collect_list("s")).alias("all"))  # a state a group and mask: features squared
     work = states.filter("part = -1").select(F.col(key).alias("outer")).join(F.broadcast(every))
 
     def fits(batches):
         for batch in batches:
             for outer, everyone in zip(batch.column(0).to_pylist(), batch.column(1)):
-                groups = {g["key"]: _unpacked(g) for g in everyone.as_py()}
+                parts: dict[int, dict] = {}
+                for g in everyone.as_py():
+                    parts.setdefault(g["part"], {})[g["key"]] = _unpacked(g)
                 rows: list[tuple] = []
-                for inner in [None, *[k for k in groups if k != outer]]:
-                    train = reduce(linalg._merged, [s for k, s in groups.items() if k not in (outer, inner)], None)
-                    if train is None or train[0] < 2:
+                for inner in [None, *[k for k in parts.get(-1, {}) if k != outer]]:
+                    rest = lambda part: reduce(linalg._merged, [s for k, s in parts.get(part, {}).items() if k not in (outer, inner)], None)  # noqa: B023, E731
+                    base = rest(-1)
+                    if base is None or base[0] < 2:
                         continue
-                    measured = groups[outer if inner is None else inner]
-                    p = len(train[1]) - n_targets
-                    on, sd, a, b = _scaled(train, p)
-                    for method in methods:
-                        for option, w in enumerate(solutions(method, a, b, train[0])):
-                            sse = _errors(train, measured, p, w, on, sd)
-                            rows += [(outer, inner, method, option, t, measured[0], float(sse[t])) for t in range(n_targets)]
+                    p = len(base[1])
+                    on, sd, _, _ = _scaled(base, p)
+                    for part, targets in enumerate(groups):
+                        train, measured = rest(part), parts.get(part, {}).get(outer if inner is None else inner)
+                        if train is None or train[0] < 2 or measured is None:
+                            continue
+                        a, b = train[2][np.ix_(on, on)] / np.outer(sd, sd), train[2][on, p:] / sd[:, None]
+                        for method in methods:
+                            for option, w in enumerate(solutions(method, a, b, train[0])):
+                                sse = _errors(train, measured, p, w, on, sd)
+                                rows += [(outer, inner, method, option, t, measured[0], float(sse[k])) for k, t in enumerate(targets)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((batch.column(0).type, batch.column(0).type, pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], names=["outer", "inner", "method", "option", "target", "n", "sse"])
 
     return work.repartition(F.col("outer")).mapInArrow(fits, schema)
@@ -275,6 +285,44 @@ def net_fits(states: DataFrame, key: str, n_targets: int, alphas: list[float], m
     return states.groupBy(key).applyInArrow(fit, schema)
 
 
+def net_recertified(states: DataFrame, fits: DataFrame, key: str, n_targets: int, mix: float, close: float = 1e-9, rounds: int = 5_000) -> DataFrame:
+    """key, target, alpha, violation, gap, refined, moved: certificates of stored weights worked out from the training data's products.
+
+    What the solver wrote about itself is not read: slopes are X'(y - Xw) of the states. ``refined`` is the
+    violation after coordinate steps from the stored weights, ``moved`` the largest change of a weight on the way; columns of the
+    data that the table lacks count as weight 0.
+    """
+    schema = f"{key} {dict(states.dtypes)[key]}, target int, alpha double, violation double, gap double, refined double, moved double"
+
+    def judge(own: pa.Table, stored: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if own.num_rows and stored.num_rows:
+            state = linalg._states(own.filter(pa.compute.equal(own.column("part"), -1)), [("part", "ascending")])[0]
+            on, _, a, b = _scaled(state, len(state[1]) - n_targets)
+            a, b, at = a / state[0], b / state[0], {int(c): k for k, c in enumerate(on)}
+            weights: dict[tuple, np.ndarray] = {}
+            for t, alpha, c, w in zip(*(stored.column(x).to_pylist() for x in ("target", "alpha", "column", "weight"))):
+                weights.setdefault((t, alpha), np.zeros(len(on)))[at[c]] = w
+            for (t, alpha), w in sorted(weights.items()):
+                off, gap = net_certificate(a, b[:, t], w, alpha, mix)
+                new, slope = w.copy(), b[:, t] - a @ w
+                for _ in range(rounds):
+                    for j in np.flatnonzero(np.diag(a) > 0):
+                        rho = slope[j] + a[j, j] * new[j]
+                        step = np.sign(rho) * max(abs(rho) - alpha * mix, 0.0) / (a[j, j] + alpha * (1 - mix))
+                        if step != new[j]:
+                            slope = slope + a[:, j] * (new[j] - step)
+                            new[j] = step
+                    if net_certificate(a, b[:, t], new, alpha, mix)[0] <= close:
+                        break
+                rows.append((t, alpha, off, gap, net_certificate(a, b[:, t], new, alpha, mix)[0], float(np.abs(new - w).max(initial=0.0))))
+        names = ("target", "alpha", "violation", "gap", "refined", "moved")
+        kinds = (pa.int32(), *[pa.float64()] * 5)
+        return pa.table({key: pa.array([own.column(key)[0].as_py()] * len(rows) if rows else [], own.schema.field(key).type), **{c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(zip(names, kinds))}})
+
+    return states.groupBy(key).cogroup(fits.groupBy(key)).applyInArrow(judge, schema)
+
+
 def certified(fits: DataFrame, key: str, mix: float, tolerance: float) -> DataFrame:
     """key, alpha, n_targets, n_active, violation, worst_gap, passed: certificates worked out from stored weights and slopes.
 

@@ -308,12 +308,30 @@ def _states(table: pa.Table, order: list[tuple[str, str]]) -> list[_STATE]:
     return [(n, m, c.reshape(len(m), len(m))) for n, m, c in zip(table.column("n").to_pylist(), *vectors)]
 
 
-def moments(rows: DataFrame, key: str, vector: str, targets: list[str], masked: bool = False, weight: str | None = None) -> DataFrame:
+def target_masks(rows: DataFrame, targets: list[str]) -> list[list[int]]:
+    """Numbers of the targets in groups that the same rows lack, told by how many these are and two sums of their hashes."""
+    if not targets:
+        return []
+    gone = lambda t: F.col(t).isNull() | F.isnan(F.col(t).cast("double"))
+    own = [F.xxhash64(F.lit(seed), *[c for c, kind in rows.dtypes if "map" not in kind]).cast("decimal(38,0)") for seed in (1, 2)]
+    sums = [F.concat_ws(":", F.count_if(gone(t)), *[F.coalesce(F.sum(F.when(gone(t), h)), F.lit(0)).cast("string") for h in own]).alias(f"m{i}") for i, t in enumerate(targets)]
+    found = rows.agg(*sums).first()
+    groups: dict[str, list[int]] = {}
+    for i, mask in enumerate(found):
+        groups.setdefault(mask, []).append(i)
+    return list(groups.values())
+
+
+def moments(rows: DataFrame, key: str, vector: str, targets: list[str], masked: bool | list[list[int]] = False, weight: str | None = None) -> DataFrame:
     """key, part, n, mean, cross: weight, means and centred products of vector and targets by key, summed over partitions.
 
-    Part -1 is of all rows: the vector followed by the targets. ``masked``: the vector alone there, and a
-    part t for the rows that have target t: the vector followed by that target.
+    Part -1 is of all rows that have all targets: the vector followed by the targets. ``masked``: the vector
+    alone there, of all rows, and a part t for the rows that have target t: the vector followed by that target; with
+    groups of targets (``target_masks``) a part for each group and the rows that have all of it, so a gap changes no
+    other group. A vector that is NULL, holds a NULL or has another length is an error.
     """
+    groups = masked if isinstance(masked, list) else [[t] for t in range(len(targets))] if masked else []
+    masked = bool(masked) or isinstance(masked, list)
     source = rows.select(F.col(key).alias("__k"), F.col(vector).cast("array<double>").alias("__v"), *[F.col(t).cast("double").alias(f"__t{i}") for i, t in enumerate(targets)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
     schema = f"{key} {dict(rows.dtypes)[key]}, part int, n double, mean array<double>, cross array<double>"
 
@@ -323,23 +341,30 @@ def moments(rows: DataFrame, key: str, vector: str, targets: list[str], masked:
 
     def summed(batches):
         states: dict = {}
-        kind = None
+        kind, width = None, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             kind = batch.column(0).type
             keys = batch.column(0).dictionary_encode("encode")
             place, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            if batch.column(1).null_count or len(set(sizes.tolist()) | width) > 1:
+                raise ValueError("a vector is NULL or has another length than the others")
+            width |= {int(sizes[0])}
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(targets))], axis=1)
+            if np.isnan(x).any():
+                raise ValueError("a vector holds a missing value")
+            y = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(targets))], axis=1) if targets else np.zeros((batch.num_rows, 0))
             w = batch.column(2 + len(targets)).to_numpy()
             for k, name in enumerate(names):
                 here = np.flatnonzero(place == k)
-                parts = {-1: (here, x[here] if masked else np.hstack([x[here], y[here]]))}
-                for t in range(len(targets) if masked else 0):
-                    seen = here[~np.isnan(y[here, t])]
+                whole = here if masked else here[~np.isnan(y[here]).any(axis=1)]
+                parts = {-1: (whole, x[whole] if masked else np.hstack([x[whole], y[whole]]))} if len(whole) else {}
+                for part, group in enumerate(groups):
+                    seen = here[~np.isnan(y[np.ix_(here, group)]).any(axis=1)]
                     if len(seen):
-                        parts[t] = (seen, np.hstack([x[seen], y[seen, t : t + 1]]))
+                        parts[part] = (seen, np.hstack([x[seen], y[np.ix_(seen, group)]]))
                 for part, (at, z) in parts.items():
                     states[name, part] = _merged(states.get((name, part)), _state(z, w[at]))
             if len(states) > 256:
@@ -376,7 +401,7 @@ def others(states: DataFrame, key: str) -> DataFrame:
     return states.groupBy("part").applyInArrow(rest, states.schema)
 
 
-def fitted(states: DataFrame, key: str, n_targets: int, method: str, scaled: bool = True) -> DataFrame:
+def fitted(states: DataFrame, key: str, n_targets: int, method: str, scaled: bool = True, **options: float) -> DataFrame:
     """key, mean, bias, weights (an array a target): a target's prediction is its bias plus the weights times what exceeds the mean.
 
     ``scaled``: features are standardised on the training rows first, and those without spread go. A target
@@ -396,7 +421,7 @@ def fitted(states: DataFrame, key: str, n_targets: int, method: str, scaled: boo
             if m < 1 or part >= 0 and m < 2 or masked and part < 0:
                 continue
             at = [part] if masked else list(range(n_targets))
-            w = solve(c[np.ix_(on, on)] / np.outer(sd, sd), c[on, p:] / sd[:, None], m)
+            w = solve(c[np.ix_(on, on)] / np.outer(sd, sd), c[on, p:] / sd[:, None], m, **options)
             weights[np.ix_(at, on)] = (w / sd[:, None]).T
             bias[at] = centre[p:] - (centre[on] - mean[on]) / sd @ w
         mean = np.where(np.isnan(mean), 0, mean)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 
 def average_rank(by: list[str], value: str, base: int = 0) -> Column:
@@ -50,28 +52,42 @@ def top_lists(df: DataFrame, by: list[str], value: str, key: str, k: int) -> Dat
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("top"))
 
 
-def mean_pairwise_jaccard(lists: DataFrame, group: str, entity: str, items: str = "top") -> DataFrame:
-    """Mean Jaccard index over all pairs of entities in a group, without forming the pairs; for lists of the top few.
+def mean_pairwise_jaccard(lists: DataFrame, group: str, entity: str, items: str = "top", block: int = 256) -> DataFrame:
+    """Mean Jaccard index over all pairs of entities in a group, for lists of any length; no pair leaves a task.
 
-    Lists of a and b items that share i of them have the index i / (a + b - i). That is the sum, over the sets
-    of m >= 1 items that both hold, of 1 / C(a + b - 1, m), so it is enough to count how many lists of each
-    length hold each set. Work grows with the lists, and doubles with each item of a list that others hold too.
-    Pairs of two empty lists count as pairs but have no index; a group of one list has no row.
+    Lists with the same items count once, with their number. Those that differ are dealt into blocks of about ``block``;
+    two blocks meet in one task, which adds up the indices of their pairs from the lists of each item that both
+    hold. Two empty lists are a pair without an index; a group of one list has no row.
     """
-    rows = lists.filter(F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.col(entity).alias("__e"), F.array_distinct(items).alias("__items"))
+    rows = lists.filter(F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("__items"))
     groups = rows.groupBy("__g").agg(F.count("*").alias("__n"), F.count_if(F.size("__items") == 0).alias("__none"))
-    single = rows.select("__g", "__e", F.size("__items").alias("__size"), F.explode("__items").alias("__x"))
-    common = single.groupBy("__g", "__x").agg(F.count("*").alias("__k")).filter("__k > 1").select("__g", "__x")
-    held = single.join(common, ["__g", "__x"]).groupBy("__g", "__e", "__size").agg(F.array_sort(F.collect_list("__x")).alias("__held"))
-    masks = held.withColumn("__mask", F.explode(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("__held")).cast("long") - 1)))
-    sets = masks.withColumn("__set", F.filter("__held", lambda x, i: F.getbit("__mask", i) == 1))
-    counts = sets.groupBy("__g", "__set", "__size").agg(F.count("*").cast("double").alias("n"))
-    # as many entries as there are lengths
-    lengths = counts.groupBy("__g", "__set").agg(F.collect_list(F.struct("__size", "n")).alias("__l"))
-    chance = lambda x, y: F.aggregate(F.sequence(F.lit(1), F.size("__set")), F.lit(1.0), lambda made, i: made * i / (x["__size"] + y["__size"] - i))
-    twice = lambda x, y: x["n"] * (y["n"] - F.when(x["__size"] == y["__size"], 1.0).otherwise(0.0)) * chance(x, y)
-    total = F.aggregate(F.flatten(F.transform("__l", lambda x: F.transform("__l", lambda y: twice(x, y)))), F.lit(0.0), lambda a, b: a + b) / 2
-    sums = lengths.groupBy("__g").agg(F.sum(total).alias("__s"))
+    unlike = rows.filter(F.size("__items") > 0).groupBy("__g", "__items").agg(F.count("*").alias("c"))
+    counts = unlike.groupBy("__g").agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
+    unlike = unlike.join(counts, "__g").withColumn("__own", F.pmod(F.xxhash64("__items"), F.col("__blocks")).cast("int"))
+    met = unlike.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    met = met.select("__g", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), "__own", "__items", "c")
+
+    def added(table: pa.Table) -> pa.Table:
+        own, i, j = table.column("__own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        n, lists = table.column("c").to_numpy().astype(float), table.column("__items").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        owner, item = np.repeat(np.arange(len(own)), sizes), lists.flatten().dictionary_encode().indices.to_numpy()
+        place = np.where(own == i, np.cumsum(own == i), np.cumsum(own == j)) - 1
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        shared = np.zeros((len(a), len(b)))
+        order = np.argsort(item, kind="stable")
+        for who in np.split(owner[order], np.flatnonzero(np.diff(item[order])) + 1):
+            x, y = who[own[who] == i], who[own[who] == j]
+            if len(x) and len(y):
+                shared[np.ix_(place[x], place[y])] += 1
+        index = shared / (sizes[a][:, None] + sizes[b][None, :] - shared)
+        total = n[a] @ index @ n[b]
+        if i == j:  # every pair stood twice, every list beside itself once: copies of one list have the index 1
+            total = (total - n[a].sum()) / 2
+        return pa.table({"__g": table.column("__g")[:1], "s": [float(total)]})
+
+    sums = met.groupBy("__g", "i", "j").applyInArrow(added, T.StructType([met.schema["__g"], T.StructField("s", T.DoubleType())]))
+    sums = sums.groupBy("__g").agg(F.sum("s").alias("__s"))
     pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
     mean = F.try_divide(F.coalesce("__s", F.lit(0.0)), pairs("__n") - pairs("__none"))
     return groups.filter("__n > 1").join(sums, "__g", "left").select(F.col("__g").alias(group), pairs("__n").cast("long").alias("n_pairs"), mean.alias("jaccard"))

@@ -2,8 +2,8 @@
 
 from functools import reduce
 
-from . import evaluation, further, models, patients, relations, screening, selection
+from . import duals, evaluation, further, models, patients, relations, screening, selection
 
-_PARTS = (relations, screening, evaluation, further, selection, patients, models)
+_PARTS = (relations, screening, evaluation, further, selection, patients, models, duals)
 QUERIES = reduce(dict.__or__, [p.QUERIES for p in _PARTS])
 ORACLE_SQL = reduce(dict.__or__, [p.ORACLE_SQL for p in _PARTS])

@@ -21,14 +21,6 @@ def scaler_variants(spark, sf):
     return made.select("col_id", six("mean", 9).alias("mean"), six("sd", 9).alias("sd"), (six("sd", 9) > 0.0015).alias("kept"), six(F.when(six("sd", 9) > 0.0015, F.col("sd")).otherwise(1.0), 9).alias("sd_or_one"))
 
 
-_BLOCKS = ("expression", "copies", "mutation")
-
-
-@register("SELECT * FROM (VALUES ('background', ''), ('full', 'expression|copies|mutation'), ('drop_expression', 'copies|mutation'), ('drop_copies', 'expression|mutation'), ('drop_mutation', 'expression|copies'), ('only_expression', 'expression'), ('only_copies', 'copies'), ('only_mutation', 'mutation')) t(name, blocks)")
-def kernel_configurations(spark, sf):
-    return spark.createDataFrame([(n, "|".join(b)) for n, b in linalg.configurations(_BLOCKS).items()], "name string, blocks string")
-
-
 _FLAG_SQL = ", ".join(f"CASE WHEN s_suppkey % {k} = 0 THEN 1.0::DOUBLE ELSE 0 END AS flag_{k}" for k in (2, 3, 5, 7, 11))
 
 
@@ -59,15 +51,16 @@ def own_features(spark, sf):
     return rows.select("row_id", F.col("col_id").alias("target"), six(F.col("value") * 1000).alias("own"), "context", six(F.col("value") * 1000 * F.col("context")).alias("both"))
 
 
-_TARGETS = ["t1", "t2", "t3"]
+_TARGETS = ["t1", "t3"]
 
 
 def _rows(spark, sf):
-    e = table(spark, sf, "embeddings")
-    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    """Whole vectors, and targets from other tables: the length of the document of that id, its quality (which most lack), and noise."""
+    d = table(spark, sf, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("n_chars").alias("n"))
+    q = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("quality").cast("double").alias("t2"))
+    e = table(spark, sf, "embeddings").join(d, "vec_id", "left").join(q, "vec_id", "left")
     noise = F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000.0
-    rest = F.transform(F.slice("embedding", 1, 24), lambda v: v.cast("double"))
-    return e.select("vec_id", "label", rest.alias("v"), (2 * at(0) - at(3) + noise).alias("t1"), (at(1) + F.sin("vec_id")).alias("t2"), noise.alias("t3"))
+    return e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.log1p(F.coalesce("n", F.lit(0))).alias("t1"), "t2", noise.alias("t3"))
 
 
 def _states(spark, sf):
@@ -76,7 +69,9 @@ def _states(spark, sf):
 
 
 def _nested(spark, sf):
-    return staged(estimators.nested_errors(_states(spark, sf), "label", 3, list(estimators.GRIDS)), "nested")
+    rows, targets = staged(_rows(spark, sf), "vectors"), ["t1", "t2", "t3"]
+    groups = linalg.target_masks(rows, targets)
+    return staged(estimators.nested_errors(staged(linalg.moments(rows, "label", "v", targets, groups), "moments"), "label", groups, list(estimators.GRIDS)), "nested")
 
 
 @register()
@@ -93,7 +88,7 @@ def option_scan(spark, sf):
 
 
 def _model(spark, sf, rank: int = 8, alpha: float = 1.0):
-    return staged(estimators.component_model(linalg.others(_states(spark, sf), "label"), "label", 3, rank, alpha), f"model-{rank}")
+    return staged(estimators.component_model(linalg.others(_states(spark, sf), "label"), "label", len(_TARGETS), rank, alpha), f"model-{rank}")
 
 
 @register()
@@ -129,8 +124,19 @@ def subspace_angles(spark, sf):
     return estimators.subspaces(_model(spark, sf, 24), "label", 0).withColumn("cosine", six("cosine", 5))
 
 
+def _net(spark, sf):
+    states = staged(linalg.others(_states(spark, sf), "label"), "others")
+    return states, staged(estimators.net_fits(states, "label", len(_TARGETS), [0.2, 0.05, 0.01]), "net")
+
+
 @register()
 def net_certificates(spark, sf):
     """Elastic-net paths of each held-out fit, with certificates worked out again from what was stored."""
-    fits = staged(estimators.net_fits(linalg.others(_states(spark, sf), "label"), "label", 3, [0.2, 0.05, 0.01]), "net")
-    return estimators.certified(fits, "label", 0.5, 1e-8).select("label", "alpha", "n_targets", "n_active", "passed")
+    return estimators.certified(_net(spark, sf)[1], "label", 0.5, 1e-8).select("label", "alpha", "n_targets", "n_active", "passed")
+
+
+@register()
+def net_audit(spark, sf):
+    """The stored weights against the training data's own products, and after one more refinement."""
+    made = estimators.net_recertified(*_net(spark, sf), "label", len(_TARGETS), 0.5)
+    return made.select("label", "target", "alpha", (F.col("violation") <= 1e-8).alias("holds"), (F.col("refined") <= 1e-8).alias("refined_holds"), six("moved", 6).alias("moved"))

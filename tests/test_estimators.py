@@ -40,8 +40,10 @@ def components(rank, alpha):
 
 
 def test_nested_tuning_equals_whole_matrices(spark):
-    x, y, g, _, states = made(spark)
-    errors = estimators.nested_errors(states, "label", 2, ["mean", "ridge", "components"]).cache()
+    x, y, g, frame, _ = made(spark)
+    groups = linalg.target_masks(frame, ["t1", "t2"])
+    assert groups == [[0, 1]]
+    errors = estimators.nested_errors(linalg.moments(frame, "label", "v", ["t1", "t2"], groups), "label", groups, ["mean", "ridge", "components"]).cache()
     got = {(r["outer"], r["inner"], r["method"], r["option"], r["target"]): r["sse"] for r in errors.collect()}
     options = {"ridge": [ridge(a) for _, a in estimators.GRIDS["ridge"]], "components": [components(int(r), a) for r, a in estimators.GRIDS["components"]], "mean": [lambda z, c: np.zeros((z.shape[1], 2))]}
     want = {}
