@@ -281,7 +281,7 @@ def elastic_moments(a: np.ndarray, b: np.ndarray, n: float, alpha: float = 0.01,
 
 
 #: The solvers above on summed products.
-MOMENT_SOLVERS = {"kernel_ridge": ridge_moments, "component_ridge": component_moments, "reduced_rank": reduced_moments, "elastic_net": elastic_moments}
+MOMENT_SOLVERS = {"kernel_ridge": ridge_moments, "ridge": ridge_moments, "component_ridge": component_moments, "reduced_rank": reduced_moments, "elastic_net": elastic_moments}
 _STATE = tuple[float, np.ndarray, np.ndarray]
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,14 +18,20 @@ BOUNDS = (0.025, 0.5, 0.975)
 def numbered(df: DataFrame, groups: list[str], key: str) -> DataFrame:
     """``__pos`` from 0 by ``key`` and ``__size`` of each row inside its group, for groups of any share of all rows.
 
-    ``key`` is a number or text; text is dealt into ranges by its first bytes.
+    ``key`` is a number or text; text is dealt into ranges by the first bytes after what all keys of its group begin with.
     """
     own = {c: f"__own_{c}" for c in ("place", "size") if c in df.columns}
     name = lambda c: own.get(c, c)
     rows, value = df.withColumnsRenamed(own), name(key)
     if isinstance(df.schema[key].dataType, T.StringType):
-        start = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0")
-        rows, value = rows.withColumn("__first", F.conv(start, 16, 10).cast("long")), "__first"
+        ends = rows.groupBy(*[F.col(name(c)).alias(f"__k{i}") for i, c in enumerate(groups)]).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+        both = F.least(F.char_length("__low"), F.char_length("__high"))
+        shared = F.when(F.col("__low") == F.col("__high"), both).otherwise(F.size(F.filter(F.sequence(F.lit(0), both), lambda i: (i > 0) & (F.substring("__low", F.lit(1), i) == F.substring("__high", F.lit(1), i)))))
+        ends = ends.select(*[f"__k{i}" for i in range(len(groups))], F.octet_length(F.substring("__low", F.lit(1), F.coalesce(shared, F.lit(0)))).alias("__past"))
+        same = reduce(Column.__and__, [F.col(name(c)).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(groups)], F.lit(True))
+        start = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), F.coalesce("__past", F.lit(0)) + 1, F.lit(6))), 12, "0")
+        rows = rows.join(ends, same) if groups else rows.join(F.broadcast(ends))  # one row
+        rows, value = rows.withColumn("__first", F.conv(start, 16, 10).cast("long")).drop("__past", *[f"__k{i}" for i in range(len(groups))]), "__first"
     rows = placed(rows, [name(c) for c in groups], value, name(key)).drop("__first")
     rows = rows.withColumns({"__pos": (F.col("place") - 1).cast("int"), "__size": F.col("size")}).drop("place", "size")
     return rows.withColumnsRenamed({v: k for k, v in own.items()})
@@ -80,13 +88,20 @@ def cluster_bootstrap(df: DataFrame, stratum: str, cluster: str, draws: int, see
     return clusters.join(df, [stratum, cluster])
 
 
+def _by_lot(df: DataFrame, by: list[str], lot: Column, key: str) -> DataFrame:
+    """``place`` in the order of a hash inside groups of any share of all rows; the hash has 48 bits in ranges, and ties go by ``key``."""
+    rows = df.withColumn("__lot", lot).withColumn("__first", F.conv(F.substring("__lot", 1, 12), 16, 10).cast("double"))
+    return placed(rows, by, "__first", ["__lot", key]).drop("__lot", "__first")
+
+
 def block_permutation(df: DataFrame, stratum: str, block: str, seed: str) -> DataFrame:
-    """A donor for each block among the blocks of its stratum and size: a bijection in hash order."""
-    sizes = df.groupBy(stratum, block).agg(F.count("*").alias("size"))
-    w = Window.partitionBy(stratum, "size")
-    ranked = sizes.withColumn("__a", F.row_number().over(w.orderBy(block))).withColumn("__b", F.row_number().over(w.orderBy(hash_key(F.lit(seed), F.col(block)), block)))
-    donors = ranked.select(stratum, "size", F.col("__b").alias("__a"), F.col(block).alias("donor"))
-    return ranked.join(donors, [stratum, "size", "__a"]).select(stratum, block, "size", "donor", (F.col(block) != F.col("donor")).alias("moved"))
+    """A donor for each block among the blocks of its stratum and size: a bijection in hash order, for strata of any share of all blocks."""
+    sizes = df.groupBy(stratum, block).agg(F.count("*").alias("__n"))
+    a = numbered(sizes, [stratum, "__n"], block).select(stratum, block, "__n", (F.col("__pos") + 1).alias("place"))
+    b = _by_lot(sizes, [stratum, "__n"], hash_key(F.lit(seed), F.col(block)), block)
+    donors = b.select(F.col(stratum).alias("__s"), F.col("__n").alias("__m"), F.col("place").alias("__p"), F.col(block).alias("donor"))
+    met = a.join(donors, a[stratum].eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("__m")) & (F.col("place") == F.col("__p")))
+    return met.select(stratum, block, F.col("__n").alias("size"), "donor", (F.col(block) != F.col("donor")).alias("moved"))
 
 
 def bootstrap_pooled(df: DataFrame, stratum: str, key: str, stat: Column, draws: int, seed: str) -> DataFrame:
@@ -95,10 +110,10 @@ def bootstrap_pooled(df: DataFrame, stratum: str, key: str, stat: Column, draws:
 
 
 def shuffled_values(df: DataFrame, context: str, key: str, value: str, draws: int, seed: str) -> DataFrame:
-    """Null controls: in each draw every row has the value of the row that a hash puts in its place inside the context."""
-    w = Window.partitionBy(context)
-    rows = df.withColumn("__p", F.row_number().over(w.orderBy(key)))
-    lots = df.select(context, key, F.col(value).alias("__v")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    lot = hash_key(F.concat(F.lit(seed), F.col("draw").cast("string")), F.col(key))
-    lots = lots.withColumn("__p", F.row_number().over(Window.partitionBy("draw", context).orderBy(lot, key))).drop(key)
-    return rows.drop(value).join(lots, [context, "__p"]).withColumnRenamed("__v", value).drop("__p")
+    """Null controls: in each draw every row has the value of the row that a hash puts in its place inside the context, of whatever size that is."""
+    rows = numbered(df, [context], key).withColumn("__p", F.col("__pos") + 1).drop("__pos", "__size")
+    lots = df.select(F.col(context).alias("__ctx"), F.col(key).alias("__k"), F.col(value).alias("__v")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    lot = hash_key(F.concat(F.lit(seed), F.col("draw").cast("string")), F.col("__k"))
+    lots = _by_lot(lots, ["draw", "__ctx"], lot, "__k").select("draw", "__ctx", "__v", "place")
+    met = rows.drop(value).join(lots, rows[context].eqNullSafe(F.col("__ctx")) & (F.col("__p") == F.col("place")))
+    return met.drop("__p", "__ctx", "place").withColumnRenamed("__v", value)

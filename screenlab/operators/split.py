@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key
+from ..sources.publish import staged
 from .ranking import placed
 
 
@@ -47,29 +48,48 @@ def round_robin(df: DataFrame, entity: str, stratum: str, folds: int, seed: str)
     return _dealt(df, entity, stratum, seed).withColumn("fold", (F.col("place") - 1) % folds).select(*df.columns, "fold")
 
 
-def balanced_folds(groups: list[tuple[str, str, int]], folds: int) -> dict[str, int]:
-    """Fold of each group from (group, cluster, size) rows: groups that share a cluster stay together, the largest go first to the lightest fold.
+def linked_groups(df: DataFrame, group: str, cluster: str) -> DataFrame:
+    """group, component: the smallest group that each group reaches through shared clusters, by joins until nothing changes.
 
-    For the table of groups, which is small whatever the number of rows.
+    Each round takes the smallest label of a group's clusters, then the label of that label, so chains halve. Rows without a
+    cluster link nothing; rows without a group are left out.
     """
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for group, cluster, _ in groups:
-        a, b = sorted((root(f"g{group}"), root(f"c{cluster}")))
-        parent[b] = a
-    size: dict[str, int] = {}
-    for group, _, n in groups:
-        size[root(f"g{group}")] = size.get(root(f"g{group}"), 0) + n
-    load, fold = [0] * folds, {}
-    for r in sorted(size, key=lambda r: (-size[r], r)):
-        fold[r] = min(range(folds), key=lambda k: (load[k], k))
-        load[fold[r]] += size[r]
-    return {group: fold[root(f"g{group}")] for group, _, _ in groups}
+    links = staged(df.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(cluster).alias("c")).distinct(), "links")
+    labels = staged(links.groupBy("g").agg(F.min("g").alias("l")), "labels")
+    while True:
+        by_cluster = links.filter("c IS NOT NULL").join(labels, "g").groupBy("c").agg(F.min("l").alias("m"))
+        near = links.join(by_cluster, "c").groupBy("g").agg(F.min("m").alias("m"))
+        low = labels.join(near, "g", "left").select("g", "l", F.least("l", "m").alias("m"))
+        up = low.select(F.col("g").alias("m"), F.col("m").alias("u"))
+        after = staged(low.join(up, "m").select("g", "l", F.least("m", "u").alias("n")), "labels")
+        if after.filter("n <> l").isEmpty():
+            return after.select(F.col("g").alias(group), F.col("n").alias("component"))
+        labels = after.select("g", F.col("n").alias("l"))
+
+
+def balanced_folds(df: DataFrame, group: str, cluster: str, folds: int, greedy: int = 4096) -> DataFrame:
+    """group, component, fold: groups that share a cluster stay together, components go to the lightest fold, the largest first.
+
+    Size is the number of rows; ties go to the smaller component and the lower fold. The ``greedy`` largest components are dealt like that, one
+    after the other; smaller ones, where there are more, by turns there and back in order of size, so no task holds them all.
+    """
+    named = staged(linked_groups(df, group, cluster), "components")
+    sizes = df.join(named, group).groupBy("component").agg(F.count("*").alias("n"))
+    ranked = placed(sizes.withColumn("__v", -F.col("n").cast("double")), [], "__v", "component").select("component", "n", "place")
+    head = ranked.filter(F.col("place") <= greedy).agg(F.array_sort(F.collect_list(F.struct("place", "component", "n"))).alias("c"))  # ``greedy`` at most
+    zeros = F.array_repeat(F.lit(0).cast("long"), folds)
+    kind = f"array<struct<component:{dict(sizes.dtypes)['component']},fold:int>>"
+    start = F.struct(zeros.alias("load"), F.array().cast(kind).alias("out"))
+
+    def deal(state, x):
+        at = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
+        load = F.transform(state["load"], lambda v, i: F.when(i == at, v + x["n"]).otherwise(v))
+        return F.struct(load.alias("load"), F.concat(state["out"], F.array(F.struct(x["component"].alias("component"), at.alias("fold")))).alias("out"))
+
+    dealt = head.select(F.explode(F.aggregate("c", start, deal, lambda s: s["out"])).alias("x")).select("x.component", "x.fold")
+    turn = F.pmod(F.col("place") - 1, F.lit(2 * folds))
+    rest = ranked.filter(F.col("place") > greedy).select("component", F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold"))
+    return named.join(dealt.unionByName(rest), "component").select(group, "component", "fold")
 
 
 def replayed(frozen: DataFrame, rows: DataFrame, entity: str) -> DataFrame:

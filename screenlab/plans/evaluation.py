@@ -115,14 +115,9 @@ def knn_residual(spark, sf):
     return linalg.knn_mean(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", "label", 5).withColumn("prediction", six("prediction"))
 
 
-@register("WITH " + PRED_SQL + " SELECT a.row_id AS id_a, b.row_id AS id_b, round(sum(a.value * b.value), 6) AS dot FROM cell a JOIN cell b ON a.col_id = b.col_id AND a.row_id <= b.row_id WHERE a.lineage = 'ASIA' AND b.lineage = 'ASIA' GROUP BY ALL")
-def feature_kernel(spark, sf):
-    return linalg.gram_by_features(labelled_cells(spark, sf).filter("lineage = 'ASIA'"), "row_id", "col_id", "value").withColumn("dot", six("dot"))
-
-
 @register("WITH " + PRED_SQL + " SELECT a.row_id AS id_a, b.row_id AS id_b, round(sum(a.value * b.value), 6) AS dot FROM cell a JOIN cell b ON a.col_id = b.col_id WHERE a.row_id % 20 = 0 GROUP BY ALL")
 def feature_kernel_all(spark, sf):
-    """As ``feature_kernel`` over every lineage: ids divisible by 20 against all rows."""
+    """The kernel of a long table over every lineage: ids divisible by 20 against all rows."""
     return linalg.gram_by_features(labelled_cells(spark, sf), "row_id", "col_id", "value", F.col("row_id") % 20 == 0).withColumn("dot", six("dot"))
 
 

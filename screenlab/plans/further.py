@@ -62,19 +62,12 @@ def block_sum(spark, sf):
     return linalg.block_sum({"first": part(0, 16), "second": part(16, 16), "rest": part(32, 32)}, ["first", "rest"]).withColumn("dot", six("dot", 5))
 
 
-_PERM = "z AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY sha256('kernel|' || CAST(vec_id AS VARCHAR)), vec_id) AS b FROM embeddings WHERE label < 2), p AS (SELECT x.vec_id AS row_id, y.vec_id AS donor FROM z x JOIN z y ON x.label = y.label AND x.a = y.b)"
+_PERM = "z AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY sha256('kernel|' || CAST(vec_id AS VARCHAR)), vec_id) AS b FROM embeddings), p AS (SELECT x.vec_id AS row_id, y.vec_id AS donor FROM z x JOIN z y ON x.label = y.label AND x.a = y.b)"
 
 
-@register(f"WITH {_PERM} SELECT p.row_id AS id_a, q.row_id AS id_b, round(" + _DOTS.format(a=0, b=64) + ", 5) AS dot FROM p JOIN embeddings x ON x.vec_id = p.donor, p q JOIN embeddings y ON y.vec_id = q.donor")
-def permuted_kernel(spark, sf):
-    e = table(spark, sf, "embeddings").filter("label < 2").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    donors = resample.block_permutation(e, "label", "vec_id", "kernel").select(F.col("vec_id").alias("row_id"), "donor")
-    return linalg.permuted_kernel(linalg.gram(e, e, "vec_id", "embedding"), donors).withColumn("dot", six("dot", 5))
-
-
-@register()
+@register(f"WITH {_PERM} SELECT p.row_id AS id_a, q.row_id AS id_b, round(" + _DOTS.format(a=0, b=64) + ", 5) AS dot FROM p JOIN embeddings x ON x.vec_id = p.donor, p q JOIN embeddings y ON y.vec_id = q.donor WHERE p.row_id % 20 = 0")
 def permuted_kernel_all(spark, sf):
-    """As ``permuted_kernel`` over every label: ids divisible by 20 against all rows."""
+    """The kernel as if each row had the vector of a donor of its label: ids divisible by 20 against all rows."""
     e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
     donors = resample.block_permutation(e, "label", "vec_id", "kernel").select(F.col("vec_id").alias("row_id"), "donor")
     return linalg.permuted_block(e.filter("vec_id % 20 = 0"), e, donors, "vec_id", "embedding").withColumn("dot", six("dot", 5))

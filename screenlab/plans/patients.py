@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, counts, design, evidence, metrics, ranking, relational, transfer
+from ..operators import cohorts, counts, evidence, metrics, ranking, relational, transfer
 from ..sources.tables import event_counts, held_out_predictions, labelled_cells, screen_cells, table
 from .evaluation import metric_rows
 from .register import EVENT_SQL, METRIC_SQL, PRED_SQL, Register, cell_sql, six
@@ -234,12 +234,6 @@ def stability_gate(spark, sf):
     return m.withColumn("gate", metrics.gate(F.col("n"), F.col("median"), F.col("positive"), 5, 0.75))
 
 
-@register("WITH r AS (SELECT (i // 10) + 1 AS r, i % 10 + 2 AS c FROM range(60) t(i)), p AS (SELECT plate, r, c, row_number() OVER (PARTITION BY plate ORDER BY sha256('plates|' || CAST(plate AS VARCHAR) || '|' || CAST(r AS VARCHAR) || '|' || CAST(c AS VARCHAR)), r, c) - 1 AS place FROM r, (SELECT unnest(range(1, 19)) AS plate)) SELECT plate, count(*) AS n_wells, count(DISTINCT condition) AS n_conditions, min(k) AS least, max(k) AS most, bool_and(inner_well) AS inner_only FROM (SELECT plate, place // 4 AS condition, count(*) OVER (PARTITION BY plate, place // 4) AS k, r BETWEEN 1 AND 6 AND c BETWEEN 2 AND 11 AS inner_well FROM p WHERE place < 52) GROUP BY plate")
-def layout_invariants(spark, sf):
-    """52 assay wells a plate, 13 conditions four times each, none on the rim."""
-    return design.invariants(design.plate_layout(spark, 18, 13, 4, "plates"))
-
-
 @register(_METRIC + ", s AS (SELECT lineage, avg(ndcg) AS ndcg FROM metric GROUP BY lineage), a AS (SELECT lineage, CASE WHEN lineage = 'ASIA' THEN ndcg + 0.01 ELSE ndcg END AS stored FROM s WHERE lineage <> 'AFRICA') SELECT coalesce(a.lineage, s.lineage) AS lineage, round(stored, 6) AS stored, round(ndcg, 6) AS again FROM a FULL JOIN s ON a.lineage = s.lineage WHERE a.lineage IS NULL OR abs(stored - ndcg) > 1e-9")
 def altered_summary_found(spark, sf):
     """A stored summary with one changed and one missing row against what the rows of the metric give."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import overlap
-from ..operators import aggregate, counts, design, ranking, resample, split, transfer
+from ..operators import aggregate, counts, ranking, resample, split, transfer
 from ..sources.tables import event_counts, labelled_cells, screen_cells, suppliers, table
 from .register import EVENT_SQL, Register, cell_sql, six
 
@@ -137,11 +137,21 @@ def round_robin_folds(spark, sf):
     return rows.select("c_custkey", F.col("fold").cast("long").alias("fold"))
 
 
-@register()
+_LINKED = """WITH RECURSIVE link AS (SELECT DISTINCT conv_id AS g, CASE WHEN role = 'assistant' THEN md5(text) END AS c FROM conversations
+), edge AS (SELECT DISTINCT a.g AS x, b.g AS y FROM link a JOIN link b ON a.c = b.c), reach AS (
+  SELECT DISTINCT g AS x, g AS y FROM link UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x
+), named AS (SELECT x AS conv_id, min(y) AS component FROM reach GROUP BY x
+), size AS (SELECT component, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, component) AS place FROM named JOIN conversations USING (conv_id) GROUP BY component
+), deal AS (SELECT 0::BIGINT AS place, CAST(NULL AS BIGINT) AS component, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load
+  UNION ALL SELECT s.place, s.component, list_position(d.load, list_min(d.load)) - 1, list_transform(d.load, lambda v, i: CASE WHEN i = list_position(d.load, list_min(d.load)) THEN v + s.n ELSE v END) FROM deal d JOIN size s ON s.place = d.place + 1
+) SELECT n.conv_id, n.component, CAST(d.fold AS INTEGER) AS fold FROM named n JOIN deal d USING (component)"""
+
+
+@register(_LINKED)
 def balanced_folds(spark, sf):
-    groups = suppliers(spark, sf).groupBy("cluster", "lineage").agg(F.count("*").alias("n")).orderBy("cluster").collect()  # nations: a fixed 25
-    fold = split.balanced_folds([(r["cluster"], r["lineage"], r["n"]) for r in groups], 3)
-    return spark.createDataFrame(sorted(fold.items()), "cluster string, fold long")
+    """Five folds of conversations of about equal rows; conversations that share an assistant's text stay together."""
+    c = table(spark, sf, "conversations").withColumn("c", F.when(F.col("role") == "assistant", F.md5(F.encode("text", "utf-8"))))
+    return split.balanced_folds(c, "conv_id", "c", 5)
 
 
 def _draws(groups: str, key: str, source: str, seed: str, name: str = "''", draws: int = 100) -> str:
@@ -298,11 +308,6 @@ def windowed_event_counts(spark, sf):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", six("total", 4).alias("total"))
 
 
-@register()
-def plate_layout(spark, sf):
-    return design.plate_layout(spark, 18, 13, 4, "plates")
-
-
 @register("SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS centred FROM supplier")
 def group_centred(spark, sf):
     return aggregate.centred(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal").select("s_suppkey", six("s_acctbal", 4).alias("centred"))

@@ -64,10 +64,57 @@ def test_splits(spark):
     assert split.leaks(parts, df, "e", "c").count() == 0
     sizes = split.hash_split(df, "e", "g", "s").groupBy("g", "split").count().collect()
     assert {(r["g"], r["split"]): r["count"] for r in sizes}[("g0", "train")] == 5
-    fold = split.balanced_folds([("a", "x", 5), ("b", "x", 1), ("c", "y", 4), ("d", "z", 1)], 2)
+    rows = [(g, c) for g, c, n in (("a", "x", 5), ("b", "x", 1), ("c", "y", 4), ("d", "z", 1)) for _ in range(n)]
+    fold = {r["g"]: r["fold"] for r in split.balanced_folds(spark.createDataFrame(rows, "g string, c string"), "g", "c", 2).collect()}
     assert fold["a"] == fold["b"] and fold["c"] == fold["d"] != fold["a"]
 
 
+def test_linked_folds_equal_a_loop(spark):
+    """Chains, groups without a cluster, and more components than are dealt one after the other."""
+    import random
+
+    draw = random.Random(4)
+    rows = [(i, f"c{i // 2}" if i < 40 else f"c{(i - 41) // 2}" if i < 80 else None) for i in range(90)] + [(draw.randrange(90, 300), draw.choice([None, f"d{draw.randrange(90)}"])) for _ in range(400)] + [(None, "c1")] * 3
+    got = {r["g"]: (r["component"], r["fold"]) for r in split.balanced_folds(spark.createDataFrame(rows, "g int, c string"), "g", "c", 4, 30).collect()}
+    label = {g: g for g, _ in rows if g is not None}
+    while True:
+        before = dict(label)
+        for c in {c for g, c in rows if c is not None and g is not None}:
+            low = min(label[g] for g, d in rows if d == c and g is not None)
+            label |= {g: low for g, d in rows if d == c and g is not None}
+        if label == before:
+            break
+    assert {g: c for g, (c, _) in got.items()} == label
+    size = {c: sum(label.get(g) == c for g, _ in rows if g is not None) for c in set(label.values())}
+    load, want = [0] * 4, {}
+    for k, c in enumerate(sorted(size, key=lambda c: (-size[c], c))):
+        turn = k % 8
+        want[c] = min(range(4), key=lambda f: (load[f], f)) if k < 30 else turn if turn < 4 else 7 - turn
+        load[want[c]] += size[c] if k < 30 else 0
+    assert {c: f for c, f in got.values()} == want and len(size) > 40
+
+
+def test_text_keys_and_hot_strata_are_spread(spark):
+    """Text keys with a long common beginning are dealt over many ranges, and places are those of a plain sort."""
+    from screenlab.operators import ranking
+
+    keys = [f"Customer#{i:09d}" for i in range(3000)] + ["Customer#", "Custömer", "日本"]
+    df = spark.createDataFrame([(k, "hot" if i % 10 else "b", i) for i, k in enumerate(keys)], "k string, g string, v int")
+    got = {(r["g"], r["k"]): r["__pos"] for r in resample.numbered(df, ["g"], "k").collect()}
+    for g in ("hot", "b"):
+        own = sorted((k for i, k in enumerate(keys) if ("hot" if i % 10 else "b") == g), key=lambda k: k.encode())
+        assert [got[g, k] for k in own] == list(range(len(own)))
+    plain = df.filter("v < 3000").withColumn("n", F.substring("k", 10, 9).cast("long"))
+    spread = ranking._ranged(resample.numbered(plain, ["g"], "k"), ["g"], "__pos", 64).groupBy("g", "__b").count().collect()
+    assert max(r["count"] for r in spread) < 3000 / 20
+    donors = resample.block_permutation(df, "g", "k", "s").collect()
+    assert len(donors) == len(keys) and {(r["g"], r["donor"]) for r in donors} == {(r["g"], r["k"]) for r in donors}
+    drawn = resample.shuffled_values(df, "g", "k", "v", 2, "n").collect()
+    assert len(drawn) == 2 * len(keys)
+    for d in (0, 1):
+        assert sorted(r["v"] for r in drawn if r["draw"] == d and r["g"] == "b") == sorted(i for i in range(len(keys)) if i % 10 == 0)
+
+
 def test_resampling_is_repeatable(spark):
     df = spark.createDataFrame([(i, float(i), f"s{i % 2}") for i in range(30)], "k int, v double, s string")
     a, b = (resample.bootstrap(df.repartition(n), ["s"], "k", F.avg("v"), 40, "x").orderBy("s").collect() for n in (1, 5))
