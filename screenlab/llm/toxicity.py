@@ -96,6 +96,19 @@ def features(text: str | None, bits: int) -> np.ndarray:
     return found
 
 
+def packed(found: np.ndarray, bits: int) -> bytes:
+    """Ascending features as the count of each value of their upper bits, then their lower 16 bits: two bytes each."""
+    counts = np.bincount(found >> 16, minlength=1 << max(0, bits - 16)).astype(np.uint32)
+    return counts.tobytes() + (found & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def unpacked(held: bytes, bits: int) -> np.ndarray:
+    """The features of ``packed``."""
+    size = 1 << max(0, bits - 16)
+    counts = np.frombuffer(held, np.uint32, size)
+    return (np.repeat(np.arange(size, dtype=np.int32), counts) << 16) | np.frombuffer(held, np.uint16, offset=4 * size)
+
+
 class Ftrl:
     """State of FTRL-proximal: z and n by feature, the bias last (it has no penalty)."""
 
@@ -124,7 +137,7 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bits: int, rows: int, shards: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """shard, place, label and features of about ``rows`` labelled rows (all, if fewer), taken by a hash of the id; a shard's rows in order of place.
+    """shard, place, label and packed features of about ``rows`` labelled rows (all, if fewer), taken by a hash of the id; a shard's rows in order of place.
 
     Of rows with one id and label, the one whose text has the smallest digest is taken; null labels and ids are not.
     """
@@ -143,11 +156,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, bits: int, rows: int, shar
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                lists = [features(value.as_py(), bits) for value in part.column(3)]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))], names=["shard", "place", "label", "features"])
+                held = [packed(features(value.as_py(), bits), bits) for value in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(held, pa.binary())], names=["shard", "place", "label", "features"])
 
-    return dealt.mapInArrow(made, "shard int, place long, label int, features array<int>")
+    return dealt.mapInArrow(made, "shard int, place long, label int, features binary")
 
 
 def trained(rows: DataFrame, bits: int, rounds: int, alpha: float, beta: float, l1: float, l2: float) -> Ftrl:
@@ -177,7 +189,7 @@ def trained(rows: DataFrame, bits: int, rounds: int, alpha: float, beta: float,
                             yield part()
                         now, state, count = shard, Ftrl(bits, alpha, beta, l1, l2), 0
                         state.z[:], state.n[:] = sent.value.z, sent.value.n
-                    state.learn(found.values.to_numpy(), label)
+                    state.learn(unpacked(found.as_py(), bits), label)
                     count += 1
             if state is not None:
                 yield part()

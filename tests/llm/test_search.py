@@ -140,6 +140,9 @@ def test_toxicity_features():
             parts = [p for p in toxicity.feature_blocks(text, 20, block)]
             if block > 40 or not text.strip():
                 assert sorted(set(np.concatenate(parts).tolist()) if parts else set()) == plain_features(text, 20)
+    for bits in (10, 16, 20):
+        for found in (np.zeros(0, np.int32), np.arange(0, 1 << bits, 97, dtype=np.int32), np.array([(1 << bits) - 1], np.int32)):
+            assert (toxicity.unpacked(toxicity.packed(found, bits), bits) == found).all()
     text = " ".join(f"word{i % 37}" for i in range(4000))
     assert set(np.concatenate(list(toxicity.feature_blocks(text, 20, 100))).tolist()) == set(plain_features(text, 20))
 
