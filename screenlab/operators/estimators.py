@@ -378,3 +378,75 @@ def cross_products(parts: DataFrame, by: list[str], names: list[str]) -> DataFra
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.col(a) * F.col(b)).alias("p")) for a in names for b in names if a <= b])).alias("x")
     miss = F.abs(reduce(Column.__add__, [F.col(n) for n in names]) - F.col("total"))
     return parts.select(*by, miss.alias("m"), pairs).groupBy(*by, "x.a", "x.b").agg(F.avg("x.p").alias("product"), F.max("m").alias("miss"))
+
+
+#: Refits of a draw: what is its own, and what stays as in the base fit.
+CONTROLS = ("full_local", "full_common", "reference_only", "fixed_geometry", "fixed_scaler", "scaler_only")
+
+
+def _components(state: linalg._STATE, p: int, rank: int, alpha: float, scaler: linalg._STATE | None = None, loadings: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Weights on raw features of component ridge on a state, and its kept features and loadings; scaler and loadings may be another fit's."""
+    n, _, cross = state
+    sd = np.sqrt(np.maximum(np.diag((scaler or state)[2])[:p], 0) / max((scaler or state)[0], 1))
+    on = np.flatnonzero(sd > 1e-8) if loadings is None else loadings[0][sd[loadings[0]] > 1e-8]
+    a, b = cross[np.ix_(on, on)] / np.outer(sd[on], sd[on]), cross[on, p:] / sd[on][:, None]
+    if loadings is None:
+        values, vectors = np.linalg.eigh(a)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        v = vectors[:, : int(min(rank, n - 1, (values > 1e-10 * max(values.max(initial=0.0), 1e-300)).sum()))]
+    else:
+        v = loadings[1][np.isin(loadings[0], on)]
+    w = np.zeros((p, b.shape[1]))
+    w[on] = v @ np.linalg.solve(v.T @ a @ v + alpha * np.eye(v.shape[1]), v.T @ b) / sd[on][:, None]
+    return w, (on, v)
+
+
+def refit_controls(base: linalg._STATE, draw: linalg._STATE, p: int, rank: int, alpha: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Weights on raw features and intercepts of the base fit and of six refits on a draw, as differences from the targets' base means.
+
+    ``full_local`` is measured from the draw's own target means, ``full_common`` is the same fit from the base means;
+    ``reference_only`` is the base fit from the draw's means; the others take scaler and loadings, the scaler, or the loadings from the base.
+    """
+    w0, loadings = _components(base, p, rank, alpha)
+    shift = draw[1][p:] - base[1][p:]
+    at = lambda w, mean, more=0.0: (w, more - mean[:p] @ w)
+    full = _components(draw, p, rank, alpha)[0]
+    return {
+        "base": at(w0, base[1]),
+        "full_local": at(full, draw[1]),
+        "full_common": at(full, draw[1], shift),
+        "reference_only": at(w0, base[1], -shift),
+        "fixed_geometry": at(_components(draw, p, rank, alpha, base, loadings)[0], draw[1], shift),
+        "fixed_scaler": at(_components(draw, p, rank, alpha, base)[0], draw[1], shift),
+        "scaler_only": at(_components(draw, p, rank, alpha, None, loadings)[0], draw[1], shift),
+    }
+
+
+def paired_refits(base: DataFrame, draws: DataFrame, key: str, n_targets: int, rank: int, alpha: float) -> DataFrame:
+    """key, control, target, bias, weights: the base fit (one state) and all refits of each draw's state."""
+    own = _unpacked(base.filter("part = -1").first().asDict())  # features squared
+    schema = f"{key} {dict(draws.dtypes)[key]}, control string, target int, bias double, weights array<double>"
+
+    def fit(group: pa.Table) -> pa.Table:
+        state = linalg._states(group, [("part", "ascending")])[0]
+        made = refit_controls(own, state, len(own[1]) - n_targets, rank, alpha)
+        rows = [(c, t, float(b[t]), w[:, t]) for c, (w, b) in made.items() for t in range(n_targets)]
+        return pa.table({key: pa.array([group.column(key)[0].as_py()] * len(rows), group.column(key).type), "control": [r[0] for r in rows], "target": pa.array([r[1] for r in rows], pa.int32()), "bias": [r[2] for r in rows], "weights": pa.array([r[3] for r in rows], pa.list_(pa.float64()))})
+
+    return draws.filter("part = -1").groupBy(key).applyInArrow(fit, schema)
+
+
+def refit_decomposition(refits: DataFrame, rows: DataFrame, key: str, entity: str, vector: str, tolerance: float = 1e-10) -> DataFrame:
+    """key, entity, target, coefficients, components, scaling, reference, total: a draw's change of a prediction in four ordered parts.
+
+    From the base fit to a refit of coefficients on fixed geometry, of components on the fixed scaler, of all, and to the draw's own
+    reference. The parts add up to the whole change within ``tolerance``, or it is an error. Weights are draws by controls by features: they are broadcast.
+    """
+    made = rows.select(entity, F.col(vector).cast("array<double>").alias("__v")).join(F.broadcast(refits))
+    wide = made.groupBy(key, entity, "target").pivot("control", ["base", *CONTROLS]).agg(F.first(F.col("bias") + linalg.dot(F.col("__v"), F.col("weights"))))
+    steps = ["base", "fixed_geometry", "fixed_scaler", "full_common", "full_local"]
+    parts = {n: F.col(b) - F.col(a) for n, a, b in zip(("coefficients", "components", "scaling", "reference"), steps, steps[1:])}
+    found = wide.withColumns(parts | {"total": F.col("full_local") - F.col("base")})
+    miss = F.abs(reduce(Column.__add__, [F.col(n) for n in parts]) - F.col("total"))
+    sure = F.when(miss <= tolerance * F.greatest(F.lit(1.0), F.abs("total")), F.col("total")).otherwise(F.raise_error(F.lit("the parts of a refit do not add up")).cast("double"))
+    return found.select(key, entity, "target", *parts, sure.alias("total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import estimators, linalg
+from ..operators import estimators, linalg, resample
 from ..sources.publish import staged
 from ..sources.tables import labelled_cells, table
 from .register import Register, cell_sql, six
@@ -140,3 +140,17 @@ def net_audit(spark, sf):
     """The stored weights against the training data's own products, and after one more refinement."""
     made = estimators.net_recertified(*_net(spark, sf), "label", len(_TARGETS), 0.5)
     return made.select("label", "target", "alpha", (F.col("violation") <= 1e-8).alias("holds"), (F.col("refined") <= 1e-8).alias("refined_holds"), six("moved", 6).alias("moved"))
+
+
+@register()
+def paired_refit_parts(spark, sf):
+    """What moves the predictions of label 0 in 20 cluster bootstraps of the others: mean products of the four ordered parts."""
+    rows = staged(_rows(spark, sf).withColumn("cluster", F.col("vec_id") % 50), "vectors")
+    train = rows.filter("label <> 0")
+    times = resample.drawn(train.select("label", "cluster").distinct(), ["label"], "cluster", 20, "paired").groupBy("label", "cluster", "draw").agg(F.count("*").alias("w"))
+    base = linalg.moments(train.withColumn("draw", F.lit(-1)), "draw", "v", _TARGETS)
+    draws = linalg.moments(train.join(times, ["label", "cluster"]), "draw", "v", _TARGETS, weight="w")
+    refits = staged(estimators.paired_refits(base, draws, "draw", len(_TARGETS), 8, 10.0), "refits")
+    parts = estimators.refit_decomposition(refits, rows.filter("label = 0"), "draw", "vec_id", "v")
+    made = estimators.cross_products(parts, ["target"], ["coefficients", "components", "scaling", "reference"])
+    return made.select("target", "a", "b", six("product", 7).alias("product"), (F.col("miss") < 1e-10).alias("adds_up"))

@@ -5,6 +5,8 @@ Wide files are read as lines and split against their header, so thousands of col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,54 @@ def feature_major(spark: SparkSession, path: str, separator: str = "\t", columns
     return wide(spark, path, separator, columns, skip, "col_id", "row_id")
 
 
+def mapped_features(spark: SparkSession, path: str, names: DataFrame, source: str, feature: str, unit: Callable[[Column], Column] | None = None, binary: bool = False, separator: str = "\t", columns: list[str] | None = None) -> DataFrame:
+    """row_id, col_id, value of a table with features in lines: lines are looked up in ``names`` while they are read, and their unit is changed.
+
+    Lines that ``names`` lacks are left out before any cell is made of them; samples are those of ``columns``, or all. These are
+    errors, raised where the cells are read, and name what is wrong: two lines of one feature, a line of another width than the header,
+    a value that is neither a number nor missing, and with ``binary`` a value other than 0 and 1. However many samples there are, the plan has one expression for them.
+    """
+    titles_ = header(spark, path, separator)
+    first = separator.join(titles_)
+    repeated = sorted({c for c in titles_ if titles_.count(c) > 1}) if len(set(titles_)) < len(titles_) else []
+    if repeated:
+        raise ValueError(f"columns stand twice: {', '.join(repeated[:5])}")
+    cut = separator if separator != "|" else r"\|"
+    lines = spark.read.text(path).filter(F.col("value") != first).select(F.split("value", cut, -1).alias("f")).withColumn("__s", F.get("f", F.lit(0)))
+    known = names.filter(F.col(source).isNotNull() & F.col(feature).isNotNull()).select(F.col(source).alias("__s"), F.col(feature).alias("col_id")).distinct()
+    counts = lines.select("__s").join(known, "__s").groupBy("col_id").agg(F.count("*").alias("__n"))  # a row a feature, without its cells
+    met = lines.join(known, "__s").join(counts, "col_id")
+    text = lambda *parts: F.raise_error(F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]))
+    sound = F.when(F.col("__n") > 1, text("feature ", F.col("col_id"), " stands in ", F.col("__n"), " lines").cast("array<string>")).when(F.size("f") != len(titles_), text("line ", F.col("__s"), " has ", F.size("f"), " fields").cast("array<string>")).otherwise(F.slice("f", 2, len(titles_)))
+    cells = met.select("col_id", F.posexplode(sound).alias("__at", "__t"))
+    cells = cells.withColumn("row_id", F.get(F.split(F.lit(first), cut, -1), F.col("__at") + 1))
+    if columns is not None:
+        cells = cells.filter(F.col("row_id").isin(list(columns)))
+    value, missing = number(F.col("__t")), F.trim("__t").isin("", "NA", "NaN", "nan")
+    value = F.when(missing | value.isNotNull(), value).otherwise(text("value ", F.col("__t"), " of ", F.col("col_id"), " and ", F.col("row_id")).cast("double"))
+    if binary:
+        value = F.when(value.isNull() | value.isin(0.0, 1.0), value).otherwise(text("value ", F.col("__t"), " of ", F.col("col_id"), " and ", F.col("row_id"), " is neither 0 nor 1").cast("double"))
+    return cells.select("row_id", "col_id", (unit(value) if unit else value).alias("value"))
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, and file, block and line: three keys that sort lines as they stand in their files, however the files are cut into partitions."""
+    m = F.col("_metadata")
+    return spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("block"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("line"))
+
+
+def ordered_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with file and line, which sort rows as they stand in their files."""
+    m = F.col("_metadata")
+    return spark.read.parquet(path).select("*", m["file_path"].alias("file"), m["row_index"].alias("line"))
+
+
+def stable_places(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """``place`` (from 1) by ``order``, ties in the order of the input: of a table from ``ordered_lines`` or ``ordered_rows``."""
+    ties = [c for c in ("file", "block", "line") if c in df.columns]
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order, *ties)))
+
+
 def gct(spark: SparkSession, path: str) -> DataFrame:
     """A GCT file: two lines before the header, a description in the second column, which is left out."""
     names = header(spark, path, "\t", 2)

@@ -118,35 +118,49 @@ def _written(spark: SparkSession, path: str, text: str) -> None:
 
 
 @contextmanager
-def locked(spark: SparkSession, path: str):
-    """Holds ``path`` as an advisory lock; who finds it taken gets FileExistsError at once.
+def locked(spark: SparkSession, path: str, owner: str = "", take_over: str | None = None):
+    """Holds ``path`` as an advisory lock; who finds it taken gets FileExistsError at once, which names owner and time.
 
-    The file is created exclusively. A run that was killed leaves it, and its owner removes it.
+    The file is created exclusively and holds them. A run that was killed leaves it: a run that states that owner as
+    ``take_over`` removes it and takes its place; of two that do so at once one gets it.
     """
     system, make = _system(spark, path)
+
+    def take() -> None:
+        out = system.create(make(path), False)
+        out.write(bytearray(json.dumps({"owner": owner, "since": datetime.now(timezone.utc).isoformat(timespec="seconds")}).encode()))
+        out.close()
+
     try:
-        system.create(make(path), False).close()
+        take()
     except Py4JJavaError as e:
         if not system.exists(make(path)):
             raise
-        raise FileExistsError(path) from e
+        held = "".join(r["value"] for r in spark.read.text(path).collect())
+        if take_over is None or (json.loads(held) if held else {"owner": ""})["owner"] != take_over:
+            raise FileExistsError(f"{path}: {held}") from e
+        system.delete(make(path), False)
+        try:
+            take()
+        except Py4JJavaError as again:
+            raise FileExistsError(path) from again
     try:
         yield
     finally:
         system.delete(make(path), False)
 
 
-def resumed(spark: SparkSession, path: str, parts: dict[str, Callable[[], DataFrame]], signature: dict) -> dict[str, DataFrame]:
+def resumed(spark: SparkSession, path: str, parts: dict[str, Callable[[], DataFrame]], signature: dict, owner: str = "", take_over: str | None = None) -> dict[str, DataFrame]:
     """The parts of a long run, each computed once: what a run before has finished is read.
 
     ``signature`` says what the results depend on (digests of inputs, versions, settings). A folder of another
-    signature is an error, so results never mix. One run at a time works in a folder. A part that was being
-    written when a run ended is written anew.
+    signature is an error, so results never mix. One run at a time works in a folder; the lock of a run that was
+    killed is taken over by stating its owner. A part that was being written when a run ended is written anew.
     """
     system, make = _system(spark, path)
     system.mkdirs(make(path))
     text = json.dumps(signature, sort_keys=True)
-    with locked(spark, f"{path}/run.lock"):
+    with locked(spark, f"{path}/run.lock", owner, take_over):
         if not exists(spark, f"{path}/signature.json"):
             _written(spark, f"{path}/signature.json", text)
         if "".join(r["value"] for r in spark.read.text(f"{path}/signature.json").collect()) != text:

@@ -102,3 +102,59 @@ def test_places_of_hot_groups(spark):
         own = sorted((r for r in rows if r[1] == name), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
         assert [got[r[0]] for r in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
     assert {r["place"] for r in ranking.placed(frame, [], "v", "id", 64).select(F.col("place")).collect()} == set(range(1, len(rows) + 1))
+
+
+def test_paired_refits_equal_whole_matrices(spark):
+    """Six refits on repeated rows, and parts that add up."""
+    x, y, g, frame, _ = made(spark)
+    rng = np.random.default_rng(5)
+    train = np.flatnonzero(g != 0)
+    times = {d: np.bincount(rng.choice(len(train), len(train)), minlength=len(train)) for d in range(3)}
+    rows = [(int(train[i]), d, int(k)) for d, n in times.items() for i, k in enumerate(n) if k]
+    own = frame.filter("label <> 0")
+    base = linalg.moments(own.withColumn("draw", F.lit(-1)), "draw", "v", ["t1", "t2"])
+    draws = linalg.moments(own.join(spark.createDataFrame(rows, "id long, draw int, w int"), "id"), "draw", "v", ["t1", "t2"], weight="w")
+    refits = estimators.paired_refits(base, draws, "draw", 2, 3, 2.0).cache()
+    got = {(r["draw"], r["control"], r["target"]): (np.array(r["weights"]), r["bias"]) for r in refits.collect()}
+
+    def scores(xs, scale, vectors=None):
+        on = scale.std(axis=0) > 1e-8
+        z = lambda m: (m[:, on] - xs.mean(axis=0)[on]) / scale.std(axis=0)[on]
+        v = np.linalg.svd(z(xs), full_matrices=False)[2][:3].T if vectors is None else vectors
+        return z, v
+
+    def fit(xs, ys, scale, vectors, new):
+        z, v = scores(xs, scale, vectors)
+        d = z(xs) @ v
+        beta = np.linalg.solve(d.T @ d + 2.0 * np.eye(3), d.T @ (ys - ys.mean(axis=0)))
+        return z(new) @ v @ beta + ys.mean(axis=0)
+
+    bx, by, new = x[train], y[train], x[g == 0]
+    v0 = scores(bx, bx)[1]
+    for d, n in times.items():
+        xs, ys = np.repeat(bx, n, axis=0), np.repeat(by, n, axis=0)
+        m0, m1 = by.mean(axis=0), ys.mean(axis=0)
+        full, base_fit = fit(xs, ys, xs, None, new), fit(bx, by, bx, None, new)
+        want = {"base": base_fit - m0, "full_local": full - m1, "full_common": full - m0, "reference_only": base_fit - m1, "fixed_geometry": fit(xs, ys, bx, v0, new) - m0, "fixed_scaler": fit(xs, ys, bx, None, new) - m0, "scaler_only": fit(xs, ys, xs, v0, new) - m0}
+        for control, values in want.items():
+            for t in range(2):
+                w, b = got[d, control, t]
+                assert np.allclose(new @ w + b, values[:, t], atol=1e-8), control
+    parts = estimators.refit_decomposition(refits, frame.filter("label = 0"), "draw", "id", "v")
+    found = parts.collect()
+    assert len(found) == 3 * 60 * 2 and all(abs(r["coefficients"] + r["components"] + r["scaling"] + r["reference"] - r["total"]) < 1e-9 for r in found)
+    table = estimators.cross_products(parts, ["target"], ["coefficients", "components", "scaling", "reference"]).collect()
+    assert len(table) == 20 and all(r["miss"] < 1e-9 for r in table)
+
+
+def test_tampered_weights_are_caught(spark):
+    """Certificates come from the data's products, so what the solver wrote about itself cannot hide a wrong weight."""
+    _, _, _, _, states = made(spark)
+    train = linalg.others(states, "label").cache()
+    fits = estimators.net_fits(train, "label", 2, [0.2, 0.02]).cache()
+    honest = estimators.net_recertified(train, fits, "label", 2, 0.5).collect()
+    assert len(honest) == 16 and all(r["violation"] < 1e-8 and r["moved"] < 1e-7 for r in honest)
+    wrong = fits.withColumn("weight", F.when((F.col("label") == 1) & (F.col("target") == 0) & (F.col("column") == 0), F.col("weight") + 0.1).otherwise(F.col("weight")))
+    for r in estimators.net_recertified(train, wrong, "label", 2, 0.5).collect():
+        caught = r["label"] == 1 and r["target"] == 0
+        assert (r["violation"] > 0.01) == caught and r["refined"] < 1e-8 and (abs(r["moved"] - 0.1) < 1e-6) == caught
