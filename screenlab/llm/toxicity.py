@@ -221,7 +221,7 @@ class Weights:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 20, rows: int = 24_000, shards: int = 4, rounds: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1, **columns: str) -> Weights:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, rows: int = 24_000, shards: int = 4, rounds: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1, **columns: str) -> Weights:
     """Weights learned from at most about ``rows`` labelled rows (a bound on the sample, not on what is scored)."""
     model = trained(training_rows(docs, labels, bits, rows, shards, **columns), bits, rounds, alpha, beta, l1, l2)
     w = model.weights()
