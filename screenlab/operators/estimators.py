@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import linalg
@@ -450,3 +450,24 @@ def refit_decomposition(refits: DataFrame, rows: DataFrame, key: str, entity: st
     miss = F.abs(reduce(Column.__add__, [F.col(n) for n in parts]) - F.col("total"))
     sure = F.when(miss <= tolerance * F.greatest(F.lit(1.0), F.abs("total")), F.col("total")).otherwise(F.raise_error(F.lit("the parts of a refit do not add up")).cast("double"))
     return found.select(key, entity, "target", *parts, sure.alias("total"))
+
+
+def domain_bounds(cells: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """key, column, low, high, n: the range of each column over the rows of all other keys, from one pass of ranges by key.
+
+    Missing values are no part of a range. A column that no other key has is at NULL.
+    """
+    own = cells.groupBy(key, column).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__k"))
+    every = Window.partitionBy(column)  # a row a key
+    before, after = every.orderBy(key).rowsBetween(Window.unboundedPreceding, -1), every.orderBy(key).rowsBetween(1, Window.unboundedFollowing)
+    low = F.least(F.min("__lo").over(before), F.min("__lo").over(after))
+    high = F.greatest(F.max("__hi").over(before), F.max("__hi").over(after))
+    return own.select(key, column, low.alias("low"), high.alias("high"), (F.sum("__k").over(every) - F.col("__k")).alias("n"))
+
+
+def outside_bounds(cells: DataFrame, bounds: DataFrame, key: str, entity: str, column: str, value: str) -> DataFrame:
+    """key, entity, n, missing, outside, excess: the share of columns without a value, of those beyond their range, and the largest distance beyond it in ranges."""
+    rows = cells.join(bounds, [key, column])
+    v, low, high = F.col(value), F.col("low"), F.col("high")
+    off = F.greatest(low - v, v - high, F.lit(0.0)) / F.when(high > low, high - low)
+    return rows.groupBy(key, entity).agg(F.count("*").alias("n"), F.avg(v.isNull().cast("double")).alias("missing"), F.coalesce(F.avg(((v < low) | (v > high)).cast("double")), F.lit(0.0)).alias("outside"), F.coalesce(F.max(off), F.lit(0.0)).alias("excess"))

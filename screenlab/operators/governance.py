@@ -56,3 +56,13 @@ def order_kept(frozen: DataFrame, now: DataFrame, key: str, n: int) -> DataFrame
 def roll_up(df: DataFrame, keys: list[str], violation: str, tolerance: float) -> DataFrame:
     """How many certificates there are, their largest violation, and whether it is within the tolerance."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(violation).alias("worst")).withColumn("passed", F.col("worst") <= tolerance)
+
+
+#: Fixed value: an absolute path of a machine - a drive, a home, or a folder under one of the usual roots.
+ABSOLUTE_PATH = r"(?:^|[\s\"'=(:,\[])((?:[A-Za-z]:[\\/]|/(?:home|root|Users|mnt|data|tmp|var|opt|usr|etc|srv)/|file://|~/)[^\s\"',;)\]<>]*)"
+
+
+def absolute_paths(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The row, column and path of every absolute path in text columns: what a publication must not hold."""
+    found = [F.transform(F.regexp_extract_all(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(ABSOLUTE_PATH), F.lit(1)), lambda p, c=c: F.struct(F.lit(c).alias("column"), p.alias("path"))) for c in columns]
+    return df.select("*", F.explode(F.concat(*found)).alias("__p")).select(*df.columns, "__p.column", "__p.path")

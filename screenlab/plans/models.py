@@ -154,3 +154,13 @@ def paired_refit_parts(spark, sf):
     parts = estimators.refit_decomposition(refits, rows.filter("label = 0"), "draw", "vec_id", "v")
     made = estimators.cross_products(parts, ["target"], ["coefficients", "components", "scaling", "reference"])
     return made.select("target", "a", "b", six("product", 7).alias("product"), (F.col("miss") < 1e-10).alias("adds_up"))
+
+
+@register("""WITH c AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), o AS (SELECT label, i, min(x) AS lo, max(x) AS hi FROM c GROUP BY ALL
+), b AS (SELECT a.label, a.i, min(o.lo) AS low, max(o.hi) AS high FROM o a JOIN o ON o.i = a.i AND o.label <> a.label GROUP BY ALL)
+SELECT c.label, vec_id, count(*) AS n, 0.0::DOUBLE AS missing, round(avg(CASE WHEN x < low OR x > high THEN 1.0::DOUBLE ELSE 0 END), 6) AS outside, round(max(greatest(low - x, x - high, 0) / (high - low)), 6) AS excess FROM c JOIN b ON b.label = c.label AND b.i = c.i GROUP BY c.label, vec_id""")
+def domain_outside(spark, sf):
+    """How far each row is beyond the ranges of the rows that its held-out model is fitted on."""
+    cells = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    made = estimators.outside_bounds(cells, estimators.domain_bounds(cells, "label", "i", "x"), "label", "vec_id", "i", "x")
+    return made.withColumns({c: six(c) for c in ("missing", "outside", "excess")})

@@ -90,6 +90,18 @@ def read_published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
+def snapshot(spark: SparkSession, path: str, target: str, names: list[str], notes: dict | None = None, dry_run: bool = False) -> dict:
+    """A compact copy of some tables of a publication, published in turn: source, digests of what is included and names of what is left out.
+
+    The source is verified first; a name that it lacks is a KeyError, an existing target an error, and nothing is left of a copy that fails.
+    """
+    tables = read_published(spark, path)
+    if missing := sorted(set(names) - set(tables)):
+        raise KeyError(f"{path} has no {', '.join(missing)}")
+    about = {"source": path, "left_out": sorted(set(tables) - set(names)), **(notes or {})}
+    return publish(spark, {n: tables[n] for n in names}, target, about, dry_run)
+
+
 def unlocked(spark: SparkSession, path: str, tables: dict[str, DataFrame], stated: dict[str, str], allow: bool = False) -> None:
     """The gate before a run that may happen once: it must be allowed, nothing may stand at ``path``, inputs must be those stated.
 

@@ -70,3 +70,38 @@ def test_lock_of_a_killed_run_is_taken_over(spark, tmp_path):
             publish.resumed(spark, path, {"two": part}, {"seed": 1}, owner="second", take_over=take_over)
     assert publish.resumed(spark, path, {"one": part, "two": part}, {"seed": 1}, owner="second", take_over="first")["two"].count() == 3
     assert not (tmp_path / "run" / "run.lock").exists()
+
+
+def test_snapshot_is_a_verified_part(spark, tmp_path):
+    full, small = str(tmp_path / "full"), str(tmp_path / "small")
+    made = publish.publish(spark, {"a": spark.range(5), "b": spark.range(3), "c": spark.range(2)}, full)
+    assert not publish.exists(spark, small) and publish.snapshot(spark, full, small, ["a"], dry_run=True)["tables"].keys() == {"a"}
+    about = publish.snapshot(spark, full, small, ["a", "c"], {"why": "review"})
+    assert about["left_out"] == ["b"] and about["source"] == full and about["why"] == "review"
+    assert {n: x["digest"] for n, x in about["tables"].items()} == {n: made["tables"][n]["digest"] for n in ("a", "c")}
+    assert publish.read_published(spark, small)["a"].count() == 5
+    for error, names, where in ((KeyError, ["z"], "x"), (FileExistsError, ["a"], "small")):
+        with pytest.raises(error):
+            publish.snapshot(spark, full, str(tmp_path / where), names)
+    spark.range(9).write.mode("overwrite").parquet(f"{full}/a")
+    with pytest.raises(ValueError, match="manifest"):
+        publish.snapshot(spark, full, str(tmp_path / "y"), ["a"])
+
+
+def test_absolute_paths_are_found(spark):
+    from screenlab.operators import governance
+
+    rows = [(1, "see /home/me/x.csv, and C:\\data\\y"), (2, "http://a.b/home/x and a/root/b"), (3, None), (4, '{"p": "/root/z"}'), (5, "~/notes /homework/x file:///etc/hosts")]
+    found = governance.absolute_paths(spark.createDataFrame(rows, "id int, t string"), ["t"]).collect()
+    assert sorted((r["id"], r["path"]) for r in found) == [(1, "/home/me/x.csv"), (1, "C:\\data\\y"), (4, "/root/z"), (5, "file:///etc/hosts"), (5, "~/notes")]
+
+
+def test_bounds_of_other_groups(spark):
+    from screenlab.operators import estimators
+
+    rows = [(0, "a", 0, 1.0), (0, "a", 1, None), (1, "b", 0, 3.0), (1, "b", 1, 5.0), (2, "c", 0, 10.0), (2, "c", 1, 6.0)]
+    cells = spark.createDataFrame(rows, "e int, k string, i int, x double")
+    bounds = estimators.domain_bounds(cells, "k", "i", "x")
+    assert {(r["k"], r["i"]): (r["low"], r["high"], r["n"]) for r in bounds.collect()} == {("a", 0): (3, 10, 2), ("b", 0): (1, 10, 2), ("c", 0): (1, 3, 2), ("a", 1): (5, 6, 2), ("b", 1): (6, 6, 1), ("c", 1): (5, 5, 1)}
+    got = {r["e"]: (r["n"], r["missing"], r["outside"], round(r["excess"], 6)) for r in estimators.outside_bounds(cells, bounds, "k", "e", "i", "x").collect()}
+    assert got == {0: (2, 0.5, 1.0, round(2 / 7, 6)), 1: (2, 0.0, 0.5, 0.0), 2: (2, 0.0, 1.0, 3.5)}
