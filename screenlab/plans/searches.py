@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import graph, linalg, modules
@@ -12,7 +13,7 @@ from .register import Register, cell_sql, six
 register = Register()
 QUERIES, ORACLE_SQL = register.queries, register.sql
 
-_ALPHA, _BUDGET, _PENALTY, _BEAM = 10.0, 5, 0.005, 6
+_ALPHA, _BUDGET, _PENALTY, _BEAM = 10.0, 4, 0.005, 6
 
 
 def _brands(spark, sf) -> list[str]:
@@ -35,12 +36,14 @@ def _vectors(spark, sf, brands: list[str]):
 
 def _edges(rows, brands: list[str]):
     """Each brand and the two that are bought with it most (by correlation over customers)."""
-    wide = rows.select(*[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(len(brands))])
-    pairs = [(a, b) for a in range(len(brands)) for b in range(len(brands)) if a < b]
-    row = wide.agg(F.array(*[F.struct(F.lit(brands[a]).alias("a"), F.lit(brands[b]).alias("b"), F.round(F.corr(f"x{a}", f"x{b}"), 9).alias("r")) for a, b in pairs]).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    both = row.unionByName(row.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
-    near = both.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(-F.col("r"), "b"))), 1, 2).alias("near"))  # brands
-    return staged(graph.canonical_edges(near.select("a", F.explode("near").alias("n")).select("a", F.col("n.b").alias("b")), "a", "b"), "edges")
+    state = linalg.moments(rows.select(F.lit(0).alias("k"), "x"), "k", "x", []).first()  # brands squared
+    near = []
+    if state is not None:
+        cross = np.array(state["cross"]).reshape(len(brands), len(brands))
+        size = np.sqrt(np.maximum(np.diag(cross), 1e-300))
+        r = np.round(cross / np.outer(size, size), 9)
+        near = [(a, b) for i, a in enumerate(brands) for _, b in sorted((-r[i, j], b) for j, b in enumerate(brands) if j != i)[:2]]
+    return staged(graph.canonical_edges(rows.sparkSession.createDataFrame(near, "a string, b string"), "a", "b"), "edges")
 
 
 def _genes(spark, brands: list[str]):

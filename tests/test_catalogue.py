@@ -33,7 +33,16 @@ def test_equals_sql(spark, duck, name):
     assert rows(ours.columns, [tuple(r) for r in ours.collect()]) == rows(columns, theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
+#: Long searches and tunings, held to plain loops in test_modules and test_kernels: one run here.
+LONG = {"module_search", "module_null_controls", "module_random_controls", "ndcg_tuning", "ndcg_tuned_metrics"}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_long_ones_run(spark, name):
+    assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL) - LONG))
 def test_runs(spark, name):
     first, second = (plans.QUERIES[name](spark, SF) for _ in range(2))
     assert sorted(map(repr, first.collect())) == sorted(map(repr, second.collect()))
