@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_below
+from ..sources.publish import staged
 from .ranking import ordinal_rank, top_k, top_lists
-from .resample import drawn, interval
+from .resample import bootstrap, drawn, interval
 
 
 def recovery_classes(wanted: DataFrame, measured: DataFrame, aliases: DataFrame, approved: DataFrame, key: str) -> DataFrame:
@@ -143,3 +144,32 @@ def held_mapping_errors(a: DataFrame, b: DataFrame, row: str, column: str, value
 def top_frequency(df: DataFrame, by: list[str], entity: str, key: str, value: str, k: int) -> DataFrame:
     """How many entities of a group have each key among their ``k`` lowest."""
     return top_k(df, [*by, entity], value, key, k).groupBy(*by, key).agg(F.count("*").alias("n"))
+
+
+def split_evidence(cells: DataFrame, splits: DataFrame, entity: str, column: str, value: str, case: str, draws: int, seed: str, fit: str = "train", used: tuple[str, ...] = ("train", "validation")) -> DataFrame:
+    """Evidence of cases over normals for each split and column, without a look at what is locked.
+
+    ``case`` tells an entity's case rows from its normal ones; ``splits`` has entity and split. Rows of splits that are not
+    ``used``, and of entities without a split, go before anything is worked out. The reference of a column is the
+    mean of the normals of split ``fit`` alone, for every split. ``median`` and ``above`` are of all cases less the
+    reference, the paired columns of entities with both. A column without a reference, or a split without a case
+    of it, has no row; two cases, or two normals, of one entity and column are an error; NULL values are absent.
+    """
+    rows = cells.filter(F.col(value).isNotNull()).join(splits.filter(F.col("split").isin(*used)).select(entity, "split"), entity)
+    is_case = F.coalesce(F.col(case), F.lit(False))
+    one = lambda arm: F.when(F.count_if(arm) > 1, F.raise_error(F.lit("an entity has two values of one arm and column")).cast("double")).otherwise(F.max(F.when(arm, F.col(value))))
+    wide = staged(rows.groupBy("split", entity, column).agg(one(is_case).alias("__x"), one(~is_case).alias("__y")), "evidence")
+    reference = wide.filter(F.col("split") == fit).groupBy(column).agg(F.round(F.avg("__y"), 9).alias("__r")).filter("__r IS NOT NULL")
+    over = F.col("__x") - F.col("__r")
+    points = wide.filter("__x IS NOT NULL").join(reference, column).groupBy("split", column).agg(F.count("*").alias("n"), F.median(over).alias("median"), F.avg((over > 0).cast("double")).alias("above"))
+    pairs = wide.filter("__x IS NOT NULL AND __y IS NOT NULL").select("split", column, entity, (F.col("__x") - F.col("__y")).alias("__d"))
+    paired = bootstrap(pairs, ["split", column], entity, F.median("__d"), draws, seed).withColumnsRenamed({"n": "n_pairs", "estimate": "paired_median"})
+    return points.join(paired, ["split", column], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
+
+
+def split_audit(cells: DataFrame, splits: DataFrame, entity: str, case: str, used: tuple[str, ...] = ("train", "validation")) -> DataFrame:
+    """Entities with cases and with normals in each split, those without a split under ``none``, and whether the split is used."""
+    is_case = F.coalesce(F.col(case), F.lit(False))
+    have = cells.groupBy(entity).agg(F.bool_or(is_case).alias("__x"), F.bool_or(~is_case).alias("__y"))
+    rows = have.join(splits.select(entity, "split"), entity, "left").withColumn("split", F.coalesce("split", F.lit("none")))
+    return rows.groupBy("split").agg(F.count_if("__x").alias("n_case"), F.count_if("__y").alias("n_normal"), F.count_if(F.col("__x") & F.col("__y")).alias("n_pairs")).withColumn("used", F.col("split").isin(*used))

@@ -375,3 +375,46 @@ def kernel_pairs(kernels: DataFrame, folds: Folds) -> DataFrame:
     names = spark.createDataFrame(list(enumerate(folds.ids)), "k int, id string")  # at most MOST rows
     both = placed.join(F.broadcast(names.toDF("a", "id_a")), "a").join(F.broadcast(names.toDF("b", "id_b")), "b")
     return both.select("fold", "id_a", "id_b", "dot")
+
+
+def annotation_cells(rows: DataFrame, entity: str, category: str, train: str, flags: list[str], neutral: float = 0.0) -> DataFrame:
+    """entity, block, column, value: indicators of the training rows' categories, and flags.
+
+    A row whose category is NULL or not among the training ones has 0 in all indicators, and a flag that is
+    NULL is ``neutral``, so rows from elsewhere need neither. A task holds a row and its categories, ``MOST`` at most.
+    """
+    names = sorted(r[0] for r in rows.filter(F.col(train) & F.col(category).isNotNull()).select(category).distinct().limit(MOST + 1).collect())
+    if len(names) > MOST:
+        raise ValueError(f"more than {MOST} categories among training rows")
+    cell = lambda block, name, value: F.struct(F.lit(block).alias("block"), F.lit(str(name)).alias("column"), value.cast("double").alias("value"))
+    hot = [cell("category", x, F.coalesce(F.col(category) == F.lit(x), F.lit(False)).cast("int")) for x in names]
+    own = [cell("flag", f, F.coalesce(F.col(f).cast("double"), F.lit(neutral))) for f in flags]
+    return rows.select(entity, F.explode(F.array(*hot, *own)).alias("__c")).select(entity, "__c.*")
+
+
+def row_mean_cells(cells: DataFrame, entity: str, value: str, block: str) -> DataFrame:
+    """A block of one column: the mean of what is observed of each entity."""
+    return cells.groupBy(entity).agg(F.avg(value).alias("value")).select(entity, F.lit(block).alias("block"), F.lit("mean").alias("column"), "value")
+
+
+def external_kernels(cells: DataFrame, rows: DataFrame, entity: str, train: str, bucket_cells: int = 1 << 20) -> DataFrame:
+    """block, id_a, id_b, dot, used: kernels between entities from elsewhere (or training ones) and training entities, by block.
+
+    ``cells`` has entity, block, column and value, ``rows`` the entities and whether they train. Columns are scaled on training
+    rows alone, and those without spread there go; a missing cell is at the training mean. Training pairs stand
+    once, with ``id_a`` not after ``id_b``; pairs of an entity with itself are its squared norm, also from elsewhere.
+    """
+    known = members(rows, entity, train)
+    own = np.array([[bool(r[1]) for r in known]], bool).reshape(1, len(known))
+    folds = Folds([r[0] for r in known], [("all", None)], own, ~own)
+    trains = rows.sparkSession.createDataFrame([(r[0], bool(r[1])) for r in known], f"id {dict(rows.dtypes)[entity]}, t boolean")  # at most MOST rows
+    made = None
+    for block in sorted(r[0] for r in cells.select("block").distinct().collect()):  # a few modalities
+        tiles = staged(fold_kernels(cells.filter(F.col("block") == block), folds, entity, "column", "value", bucket_cells), "external")
+        pairs = kernel_pairs(tiles, folds).join(F.broadcast(trains.toDF("id_a", "__ta")), "id_a").join(F.broadcast(trains.toDF("id_b", "__tb")), "id_b")
+        pairs = pairs.filter(F.col("__ta") | F.col("__tb") | (F.col("id_a") == F.col("id_b")))
+        turned = F.col("__ta") & ~F.col("__tb")  # the one from elsewhere first
+        pairs = pairs.select(F.lit(block).alias("block"), F.when(turned, F.col("id_b")).otherwise(F.col("id_a")).alias("id_a"), F.when(turned, F.col("id_a")).otherwise(F.col("id_b")).alias("id_b"), "dot")
+        pairs = pairs.join(F.broadcast(tiles.agg(F.max("used").alias("used"))))  # one row
+        made = pairs if made is None else made.unionByName(pairs)
+    return made

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import discount
 from .ranking import average_rank, ordinal_rank
+from .resample import bootstrap
 
 
 def pearson(x: Column, y: Column, least: float = 1e-12) -> Column:
@@ -89,6 +90,16 @@ def stability(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.select(*by, F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("q05"), F.get("q", F.lit(2)).alias("q95"), "positive")
 
 
+def group_summary(df: DataFrame, by: list[str], group: str, value: str, draws: int, seed: str) -> DataFrame:
+    """Mean, median and positive share of a value over groups, each counting once, with bootstrap bounds of the mean over groups.
+
+    Rows of one group are averaged first; groups without a value are left out.
+    """
+    per = df.groupBy(*by, group).agg(F.avg(value).alias("__v")).filter("__v IS NOT NULL")
+    made = per.groupBy(*by).agg(F.median("__v").alias("median"), F.avg((F.col("__v") > 0).cast("double")).alias("positive"))
+    return made.join(bootstrap(per, by, group, F.avg("__v"), draws, seed).withColumnRenamed("estimate", "mean"), by)
+
+
 def row_number_of(by: list[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 

@@ -101,3 +101,28 @@ def imputed(df: DataFrame, means: DataFrame, column: str, value: str) -> DataFra
 def event_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """1 where either table has a 1; pairs that neither has are absent."""
     return a.select(*keys, "hit").unionByName(b.select(*keys, "hit")).groupBy(*keys).agg(F.max("hit").alias("hit"))
+
+
+def aligned(rows: DataFrame, scenario: str, column: str, value: str, means: DataFrame, low: float = 0.0) -> DataFrame:
+    """Values of each scenario moved so that its column means are the model's, entities counting alike, and not below ``low``.
+
+    ``means`` has column and mean. Missing values stay missing; a column that the model lacks goes.
+    """
+    own = rows.groupBy(scenario, column).agg(F.avg(value).alias("__own"))
+    moved = rows.join(own, [scenario, column]).join(means.select(column, F.col("mean").alias("__to")), column)
+    return moved.withColumn(value, floored(F.col(value) + F.col("__to") - F.col("__own"), low)).drop("__own", "__to")
+
+
+def frozen_scores(rows: DataFrame, model: DataFrame, by: list[str], column: str, value: str) -> DataFrame:
+    """by, target, score, n_used, missing, outside: a stored linear model on long rows, which it is not fitted to.
+
+    ``model`` has column, target, mean, low, high, weight and the target's bias. A column that a row lacks, by
+    NULL or by no row, stands at the model's mean; a target none of whose columns a row has gets no score.
+    ``missing`` is the share of the target's columns without a value, ``outside`` that of the values beyond low and high.
+    """
+    size = model.groupBy("target").agg(F.count("*").alias("__n"))
+    x = F.col(value)
+    found = rows.filter(x.isNotNull()).select(*by, column, value).join(model, column)
+    beyond = ((x < F.col("low")) | (x > F.col("high"))).cast("double")
+    sums = found.groupBy(*by, "target").agg((F.max("bias") + F.sum((x - F.col("mean")) * F.col("weight"))).alias("score"), F.count("*").alias("n_used"), F.avg(beyond).alias("outside"))
+    return sums.join(size, "target").select(*by, "target", "score", "n_used", (1 - F.col("n_used") / F.col("__n")).alias("missing"), "outside")

@@ -2,8 +2,8 @@
 
 from functools import reduce
 
-from . import duals, evaluation, further, models, patients, relations, screening, searches, selection
+from . import duals, evaluation, external, further, models, patients, relations, screening, searches, selection
 
-_PARTS = (relations, screening, evaluation, further, selection, patients, models, duals, searches)
+_PARTS = (relations, screening, evaluation, external, further, selection, patients, models, duals, searches, external)
 QUERIES = reduce(dict.__or__, [p.QUERIES for p in _PARTS])
 ORACLE_SQL = reduce(dict.__or__, [p.ORACLE_SQL for p in _PARTS])
