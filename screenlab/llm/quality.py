@@ -6,6 +6,9 @@ candidate cut-off, the rejected among the labelled good holdout documents are co
 the stratum (Bonferroni). The candidates of a rule are tested in a fixed order, from the highest down, up
 to the first that fails, which needs no further division, so the chosen cut-offs hold together. A rule takes
 the last cut-off whose bound is within the rule's share of the allowed rate, and none if the first fails.
+
+Dividing both the level and the rate leaves small strata without cut-offs, so ``joint_cutoffs`` tests all rules
+of a stratum together instead, along one chain of cut-off vectors that a part of the labels fixes.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import kept
+from .store import kept, staged
 
 #: Fixed value: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -151,6 +154,65 @@ def fit_cutoffs(counts: DataFrame, good: Column, stratum: Column, **options) ->
     return {(r["stratum"], r["rule"]): r["cutoff"] for r in cutoff_table(counts, good, stratum, **options).collect()}
 
 
+#: Steps of a joint chain: first so many candidates above all good documents of the fitting part, then at so large a share of them.
+MARGINS = (8, 4, 0)
+SHARES = (1 / 400, 1 / 200, 1 / 100, 1 / 50, 1 / 25)
+
+
+def joint_cutoffs(counts: DataFrame, good: Column, fit: Column, stratum: Column, rate: float = 0.05, level: float = 0.05, steps: int = 64) -> DataFrame:
+    """stratum, rule, cutoff: all rules of a stratum tested together, so that few labels suffice.
+
+    ``good`` is NULL for rows without a label, ``fit`` tells which labelled rows fix the order of tests; the others are
+    tested on. From the fitting part's good rows comes a chain of cut-off vectors, each rule no looser than a step
+    before: ``MARGINS`` candidates above all of them, then above all but each of ``SHARES``. The chain is tested on the
+    other part in that order, each step for what all rules together reject of its good rows (Clopper-Pearson at
+    ``level`` against ``rate``), up to the first that fails: a fixed sequence, which needs no division. Of the steps
+    that hold, the one is taken that rejects most bad less good rows of the fitting part, the loosest on ties; the
+    guarantee holds for all of them at once. A chain is some fifty numbers a stratum, and one small task's work.
+
+    A null stratum is the empty one; repeated rows count as often as they stand; a stratum without good rows in
+    both parts, and an empty table, give no cut-offs.
+    """
+    values, grid = rule_values(), candidates(steps)
+    rules = list(values)
+    below = lambda v: F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g < v))
+    over = F.array(*[below(v) for v in values.values()])
+    named = F.coalesce(stratum.cast("string"), F.lit("")).alias("stratum")
+    rows = staged(counts.filter(~base_failed() & good.isNotNull()).select(named, good.alias("good"), F.coalesce(fit, F.lit(False)).alias("fit"), over.alias("over")), "labelled")
+    histogram = rows.filter("good AND fit").select("stratum", F.posexplode("over").alias("rule", "over")).groupBy("stratum", "rule", "over").agg(F.count("*").alias("n"))
+
+    def chain(group: pa.Table) -> pa.Table:
+        n = [[0] * (steps + 1) for _ in rules]
+        for rule, at, k in zip(*(group.column(c).to_pylist() for c in ("rule", "over", "n"))):
+            n[rule][at] += k
+        above = [[sum(x[k + 1 :]) for k in range(steps + 1)] for x in n]
+        least = lambda share: [next(k for k in range(steps + 1) if a[k] <= share * sum(x)) for a, x in zip(above, n)]
+        made = [[min(steps, k + m) for k in least(0)] for m in MARGINS] + [least(share) for share in SHARES]
+        return pa.table({"stratum": group.column("stratum")[:1], "chain": pa.array([made], pa.list_(pa.list_(pa.int32())))})
+
+    chains = staged(histogram.groupBy("stratum").applyInArrow(chain, "stratum string, chain array<array<int>>"), "chains")
+    rejects = lambda c: F.exists(F.zip_with("over", c, lambda o, k: o > k), lambda x: x)
+    passed = F.size(F.filter("chain", lambda c: ~rejects(c)))  # the first so many steps, as each is no looser than the one before
+    found = rows.join(chains, "stratum").groupBy("stratum", "good", "fit", passed.alias("passed")).agg(F.count("*").alias("n"))
+
+    def pick(group: pa.Table) -> pa.Table:
+        counted = list(zip(*(group.column(c).to_pylist() for c in ("good", "fit", "passed", "n"))))
+        lost = lambda g, f, step: sum(n for good, fit, passed, n in counted if good == g and fit == f and passed <= step)
+        length = len(MARGINS) + len(SHARES)
+        best = None
+        for step in range(length):
+            if upper_bound(lost(True, False, step), lost(True, False, length), level) > rate:
+                break
+            gain = lost(False, True, step) - lost(True, True, step)
+            if best is None or gain > best[0]:
+                best = (gain, step)
+        return pa.table({"stratum": group.column("stratum").slice(0, 0 if best is None else 1), "step": pa.array([] if best is None else [best[1]], pa.int32())})
+
+    picked = found.groupBy("stratum").applyInArrow(pick, "stratum string, step int").join(chains, "stratum")
+    cut = picked.select("stratum", F.posexplode(F.get("chain", F.col("step"))).alias("at", "k")).filter(F.col("k") < steps)
+    return cut.select("stratum", F.array(*[F.lit(r) for r in rules])[F.col("at")].alias("rule"), F.array(*[F.lit(g) for g in grid])[F.col("k")].alias("cutoff"))
+
+
 def candidates(steps: int) -> list[float]:
     """Cut-offs tried, from 0.005 to 4."""
     return [0.005 * 800 ** (k / (steps - 1)) for k in range(steps)]

@@ -37,8 +37,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     measured = staged(quality.measured(docs, ["doc_id", "lang"]), "measures")  # texts are read once and never shuffled
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    cutoffs = staged(quality.cutoff_table(measured.join(good, "doc_id", "left_semi"), F.lit(True), F.col("lang")), "cutoffs")
+    judgement = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    fit = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    cutoffs = staged(quality.joint_cutoffs(measured.join(judgement, "doc_id"), F.col("good"), fit, F.col("lang")), "cutoffs")
     return quality.judged(measured, cutoffs, F.col("lang"), ["doc_id"])
 
 

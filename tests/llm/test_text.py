@@ -143,6 +143,65 @@ def test_kept_equals_brute_force(spark):
     assert quality.judged(many, quality.cutoff_table(many, F.lit(True), F.col("lang")), F.col("lang"), ["doc_id"]).count() == len(rows)
 
 
+def plain_joint(rows, rate=0.05, level=0.05, steps=64):
+    """Cut-offs by (stratum, rule) of the joint chain, from (stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, good, fit)."""
+    from math import comb
+
+    grid, out = [0.005 * 800 ** (k / (steps - 1)) for k in range(steps)] + [float("inf")], {}
+    values = lambda r: {"symbols": r[3] / r[1], "repeats": r[5] / r[1], "lines": r[4] / r[1], "long_words": r[2] / r[1] / 100}
+    for stratum in {r[0] for r in rows}:
+        part = {(g, f): [values(r) for r in rows if r[0] == stratum and r[6] is g and r[7] is f and r[1] >= 50 and 100 * r[5] <= 50 * r[1]] for g in (True, False) for f in (True, False)}
+        fitting, testing = part[True, True], part[True, False]
+        if not fitting:
+            continue
+        least = lambda share: {rule: next(k for k, g in enumerate(grid) if sum(v[rule] > g for v in fitting) <= share * len(fitting)) for rule in values([0, 1, 0, 0, 0, 0])}
+        chain = [{rule: min(steps, k + m) for rule, k in least(0).items()} for m in (8, 4, 0)] + [least(x) for x in (1 / 400, 1 / 200, 1 / 100, 1 / 50, 1 / 25)]
+        lost = lambda docs, cut: sum(any(v[rule] > grid[k] for rule, k in cut.items()) for v in docs)
+        best = None
+        for cut in chain:
+            n, k = len(testing), lost(testing, cut)
+            if n == 0 or k >= n or sum(comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1)) > level:
+                break
+            gain = lost(part[False, True], cut) - lost(fitting, cut)
+            if best is None or gain > best[0]:
+                best = (gain, cut)
+        if best:
+            out |= {(stratum or "", rule): grid[k] for rule, k in best[1].items() if k < steps}
+    return out
+
+
+def test_joint_cutoffs_equal_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for i in range(3000):
+        lang, n, good = rng.choice(["en", "en", "en", None, "de", "sv" if i % 40 == 0 else "de"]), rng.randrange(30, 300), rng.choice([True, True, False, None])
+        bad = good is False and rng.random() < 0.8
+        noisy = rng.random() < (0.012 if lang == "en" else 0.0)
+        rows.append((i, lang, n, n * rng.randrange(3, 9), rng.choice([n // 3, n // 2]) if bad or noisy else rng.choice([0, 0, n // 30]), rng.choice([0, 0, 0, n // 20]), rng.choice([0, 0, n // 9, n]), good, rng.random() < 0.5))
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, good boolean, fit boolean"
+    frame, want = spark.createDataFrame(rows, schema), plain_joint([r[1:] for r in rows])
+    run = lambda frame: {(r["stratum"], r["rule"]): r["cutoff"] for r in quality.joint_cutoffs(frame, F.col("good"), F.col("fit"), F.col("lang")).collect()}
+    assert len({s for s, _ in want}) == 3 and run(frame) == want  # too few rows of "sv": none
+    out = quality.judged(frame, quality.joint_cutoffs(frame, F.col("good"), F.col("fit"), F.col("lang")), F.col("lang"), ["lang", "good"]).filter("NOT base_failed").groupBy("good").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    kept = {r["good"]: r["kept"] for r in out}
+    assert kept[True] > 0.95 and kept[False] < 0.35
+    # repeated rows count again; without labels, or in one part alone, there is nothing to cut
+    assert run(frame.unionByName(frame)) == plain_joint([r[1:] for r in rows + rows])
+    assert run(frame.withColumn("good", F.lit(None).cast("boolean"))) == run(frame.withColumn("fit", F.lit(True))) == run(frame.withColumn("fit", F.lit(None).cast("boolean"))) == run(frame.limit(0)) == {}
+    assert quality.joint_cutoffs(frame.withColumn("lang", (F.col("doc_id") % 300).cast("string")), F.col("good"), F.col("fit"), F.col("lang")).count() == 0
+
+
+def test_rejection_rate_is_kept(spark):
+    """Strata of one distribution, whose good rows are noisy at a rate above the allowed one: hardly any stratum gets a cut-off that rejects them."""
+    rng, rows = random.Random(3), []
+    for s in range(60):
+        for i in range(300):
+            noisy = i % 3 and rng.random() < 0.07
+            rows.append((f"s{s}", 100, 500, 40 if noisy or not i % 3 else 0, 0, 0, bool(i % 3), rng.random() < 0.5))
+    frame = spark.createDataFrame(rows, "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, good boolean, fit boolean")
+    cut = quality.joint_cutoffs(frame, F.col("good"), F.col("fit"), F.col("lang")).filter("rule = 'symbols' AND cutoff < 0.4").count()
+    assert cut <= 8  # 3 of 60 at the bound
+
+
 def test_quality_query(spark, edge):
     out = {r["doc_id"]: r for r in QUERIES["op2_quality_rules"](spark, SF).collect()}
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
