@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import discount
+from ..sources.publish import staged
 from .ranking import average_rank, ordinal_rank
-from .resample import bootstrap
+from .resample import bootstrap, drawn, interval
 
 
 def pearson(x: Column, y: Column, least: float = 1e-12) -> Column:
@@ -100,6 +101,38 @@ def group_summary(df: DataFrame, by: list[str], group: str, value: str, draws: i
     return made.join(bootstrap(per, by, group, F.avg("__v"), draws, seed).withColumnRenamed("estimate", "mean"), by)
 
 
+def scope_gains(predictions: DataFrame, scopes: DataFrame, entity: str, option: str, method: str, reference: str, stratum: str, draws: int, seed: str) -> DataFrame:
+    """scope, option, method, n, r2, delta_r2, ci_low, boot_median, ci_high: every method and option over every scope of held-out rows.
+
+    ``predictions`` has truth and predicted on the training rows' scale, so R2 is against their mean; ``scopes`` has
+    scope, entity and stratum, and an entity may be in several. ``delta_r2`` is over the reference method under the same
+    option; its bounds come from entities drawn inside strata. Errors are summed by entity first, so draws meet a row
+    an entity, method and option, whatever the number of targets. Rows without truth or prediction go; an entity
+    without rows is in no ``n``; where the truth does not vary from 0 R2 is NULL.
+    """
+    t, p = F.col("truth"), F.col("predicted")
+    known = predictions.filter(t.isNotNull() & p.isNotNull())
+    each = known.groupBy(entity, option, method).agg(F.sum((t - p) * (t - p)).alias("__sse"), F.sum(t * t).alias("__sst"))
+    own = each.filter(F.col(method) == reference).select(entity, option, F.col("__sse").alias("__rse"), F.col("__sst").alias("__rst"))
+    each = staged(each.join(own, [entity, option]), "scopes")
+    r2 = 1 - F.try_divide(F.sum("__sse"), F.sum("__sst"))
+    delta = r2 - (1 - F.try_divide(F.sum("__rse"), F.sum("__rst")))
+    by = ["scope", option, method]
+    points = scopes.select("scope", entity).distinct().join(each, entity).groupBy(*by).agg(F.count("*").alias("n"), r2.alias("r2"), delta.alias("delta_r2"))
+    times = drawn(scopes.select("scope", stratum, entity).distinct(), ["scope", stratum], entity, draws, seed)
+    bounds = interval(times.join(each, entity).groupBy(*by, "draw").agg(delta.alias("stat")), by)
+    return points.join(bounds, by, "left")
+
+
+def target_gains(predictions: DataFrame, scopes: DataFrame, entity: str, option: str, method: str, reference: str, target: str) -> DataFrame:
+    """scope, option, method, target, r2 and delta_r2 over the reference under the same option, by target."""
+    t, p = F.col("truth"), F.col("predicted")
+    rows = predictions.filter(t.isNotNull() & p.isNotNull()).join(scopes.select("scope", entity).distinct(), entity)
+    made = rows.groupBy("scope", option, target, method).agg((1 - F.try_divide(F.sum((t - p) * (t - p)), F.sum(t * t))).alias("r2"))
+    base = F.max(F.when(F.col(method) == reference, F.col("r2"))).over(Window.partitionBy("scope", option, target))  # a row a method
+    return made.withColumn("delta_r2", F.col("r2") - base)
+
+
 def row_number_of(by: list[str], *order: Column | str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 

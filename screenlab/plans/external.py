@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cohorts, kernels, metrics, split, transfer
 from ..sources.publish import staged
-from ..sources.tables import exact_sum, suppliers, table
+from ..sources.tables import exact_sum, labelled_cells, suppliers, table
 from .duals import _SQL as _BOUGHT
 from .duals import _tables as _bought
 from .evaluation import metric_rows
-from .register import METRIC_SQL, Register, six
+from .register import METRIC_SQL, Register, cell_sql, six
 from .screening import _HASH, _draws, _q
 
 register = Register()
@@ -130,3 +130,52 @@ def cross_group_summary(spark, sf):
     rows = metric_rows(spark, sf).withColumn("gain", F.round(F.col("ndcg") - F.col("overlap"), 9))
     made = metrics.group_summary(rows, ["lineage"], "cluster", "gain", 100, "groups")
     return made.withColumns({c: six(c) for c in ("mean", "median", "positive", "ci_low", "boot_median", "ci_high")})
+
+
+_HOLDOUT_SQL = cell_sql() + ", " + cell_sql("l_tax", "tax") + """, rws AS (SELECT cell.row_id, cell.lineage, cell.cluster, cell.col_id, cell.value * 100 AS a, CASE WHEN s_acctbal > 5000 THEN 1.0::DOUBLE ELSE 0 END AS b, tax.value * 100 AS y
+  FROM cell JOIN supplier ON s_suppkey = cell.row_id JOIN tax ON tax.row_id = cell.row_id AND tax.col_id = cell.col_id
+), m AS (SELECT col_id, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(y) AS sy, count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS yb
+  FROM rws WHERE lineage <> 'EUROPE' GROUP BY col_id HAVING count(*) >= 3 AND stddev_pop(y) > 1e-6
+), mo AS (SELECT *, CASE method WHEN 'background' THEN 0 WHEN 'own' THEN ay / (aa + alpha) ELSE (ay * (bb + alpha) - yb * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) END AS wa, CASE method WHEN 'background' THEN yb / (bb + alpha) WHEN 'own' THEN 0 ELSE (yb * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) END AS wb
+  FROM m, (SELECT unnest([1, 10, 100]) AS alpha), (SELECT unnest(['background', 'own', 'both']) AS method)
+), pr AS (SELECT method, alpha, row_id, cluster, col_id, (y - my) / sy AS truth, (wa * (a - ma) + wb * (b - mb)) / sy AS predicted FROM rws JOIN mo USING (col_id) WHERE lineage = 'EUROPE'
+), ent AS (SELECT DISTINCT row_id, cluster, b FROM rws WHERE lineage = 'EUROPE'
+), scp AS (SELECT 'region' AS scope, row_id, cluster FROM ent UNION ALL SELECT 'rich', row_id, cluster FROM ent WHERE b = 1 UNION ALL SELECT 'nation', row_id, cluster FROM ent WHERE cluster = 'GERMANY')"""
+
+
+def _holdout(spark, sf):
+    """Predictions of three ridges by target and penalty for a region held out, and the scopes of its suppliers."""
+    rich = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), (F.col("s_acctbal") > 5000).cast("double").alias("b"))
+    tax = labelled_cells(spark, sf, "l_tax").select("row_id", "col_id", (F.col("value") * 100).alias("y"))
+    rows = staged(labelled_cells(spark, sf).withColumn("a", F.col("value") * 100).drop("value").join(rich, "row_id").join(tax, ["row_id", "col_id"]), "holdout")
+    a, b, y, n = F.col("a"), F.col("b"), F.col("y"), F.count("*")
+    sums = {"aa": n * F.var_pop(a), "bb": n * F.var_pop(b), "ab": n * F.covar_pop(a, b), "ay": n * F.covar_pop(a, y), "yb": n * F.covar_pop(b, y)}
+    state = rows.filter("lineage <> 'EUROPE'").groupBy("col_id").agg(n.alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), *[c.alias(k) for k, c in sums.items()]).filter("n >= 3 AND sy > 1e-6")
+    state = state.withColumn("alpha", F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))))
+    aa, bb, ab, ay, yb = F.col("aa") + F.col("alpha"), F.col("bb") + F.col("alpha"), F.col("ab"), F.col("ay"), F.col("yb")
+    det, zero = aa * bb - ab * ab, F.lit(0.0)
+    fits = {"background": (zero, yb / bb), "own": (ay / aa, zero), "both": ((ay * bb - yb * ab) / det, (yb * aa - ay * ab) / det)}
+    model = state.withColumn("f", F.explode(F.array(*[F.struct(F.lit(k).alias("method"), u.alias("wa"), v.alias("wb")) for k, (u, v) in fits.items()]))).select("col_id", "ma", "mb", "my", "sy", "alpha", "f.*")
+    held = rows.filter("lineage = 'EUROPE'")
+    predicted = (F.col("wa") * (a - F.col("ma")) + F.col("wb") * (b - F.col("mb"))) / F.col("sy")
+    made = held.join(model, "col_id").select("row_id", "col_id", "method", "alpha", ((y - F.col("my")) / F.col("sy")).alias("truth"), predicted.alias("predicted"))
+    scope = F.filter(F.array(F.lit("region"), F.when(b == 1, "rich"), F.when(F.col("cluster") == "GERMANY", "nation")), lambda x: x.isNotNull())
+    return staged(made, "predictions"), held.select("row_id", "cluster", F.explode(scope).alias("scope")).distinct()
+
+
+@register("WITH " + _HOLDOUT_SQL + ", e AS (SELECT method, alpha, row_id, sum((truth - predicted) * (truth - predicted)) AS sse, sum(truth * truth) AS sst FROM pr GROUP BY ALL), sg AS (SELECT scope, scope || '/' || cluster AS grp, row_id FROM scp), " + _draws("grp", "row_id", "sg", "scopes", "grp") + f""", s AS (SELECT d.scope, d.draw, e.method, e.alpha, (1 - sum(e.sse) / sum(e.sst)) - (1 - sum(r.sse) / sum(r.sst)) AS stat FROM d JOIN e USING (row_id) JOIN e r ON r.row_id = e.row_id AND r.alpha = e.alpha AND r.method = 'background' GROUP BY ALL
+), q AS (SELECT scope, method, alpha, {_q('stat', 6)} FROM s GROUP BY ALL
+), p AS (SELECT scope, e.method, e.alpha, count(*) AS n, round(1 - sum(e.sse) / sum(e.sst), 6) AS r2, round((1 - sum(e.sse) / sum(e.sst)) - (1 - sum(r.sse) / sum(r.sst)), 6) + 0.0::DOUBLE AS delta_r2 FROM scp JOIN e USING (row_id) JOIN e r ON r.row_id = e.row_id AND r.alpha = e.alpha AND r.method = 'background' GROUP BY ALL)
+SELECT p.scope, p.method, p.alpha, n, r2, delta_r2, ci_low + 0.0::DOUBLE AS ci_low, boot_median + 0.0::DOUBLE AS boot_median, ci_high + 0.0::DOUBLE AS ci_high FROM p JOIN q ON q.scope = p.scope AND q.method = p.method AND q.alpha = p.alpha""")
+def holdout_scopes(spark, sf):
+    """Three methods under three penalties on three scopes of a region that is held out: R2, its gain over the background, and bounds."""
+    made = metrics.scope_gains(*_holdout(spark, sf), "row_id", "alpha", "method", "background", "cluster", 100, "scopes")
+    return made.withColumns({"r2": six("r2"), **{c: six(c) + 0.0 for c in ("delta_r2", "ci_low", "boot_median", "ci_high")}})
+
+
+@register("WITH " + _HOLDOUT_SQL + """, g AS (SELECT scope, method, alpha, col_id, CASE WHEN sum(truth * truth) <> 0 THEN 1 - sum((truth - predicted) * (truth - predicted)) / sum(truth * truth) END AS r2 FROM pr JOIN scp USING (row_id) GROUP BY ALL)
+SELECT g.scope, g.method, g.alpha, count(*) AS n_targets, count(*) FILTER (round(g.r2 - r.r2, 6) > 0) AS n_better, round(median(g.r2 - r.r2), 5) + 0.0::DOUBLE AS median_gain FROM g JOIN g r ON g.scope = r.scope AND g.alpha = r.alpha AND g.col_id = r.col_id AND r.method = 'background' WHERE g.method <> 'background' GROUP BY ALL""")
+def holdout_target_gains(spark, sf):
+    """How many targets a method predicts better than the background, and its median gain, by scope and penalty."""
+    each = metrics.target_gains(*_holdout(spark, sf), "row_id", "alpha", "method", "background", "col_id").filter("method <> 'background'")
+    return each.groupBy("scope", "method", "alpha").agg(F.count("*").alias("n_targets"), F.count_if(F.round("delta_r2", 6) > 0).alias("n_better"), (six(F.median("delta_r2"), 5) + 0.0).alias("median_gain"))

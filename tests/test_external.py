@@ -119,3 +119,29 @@ def test_group_summary(spark):
     assert out["a"]["n"] == 9 and np.allclose([out["a"]["mean"], out["a"]["median"], out["a"]["positive"]], [mean(each), median(each), mean(v > 0 for v in each)])
     assert out["a"]["ci_low"] <= out["a"]["mean"] <= out["a"]["ci_high"]
     assert (out["b"]["n"], out["b"]["mean"], out["b"]["ci_low"], out["b"]["ci_high"]) == (1, 2.0, 2.0, 2.0)
+
+
+def test_gains_by_scope_equal_loops(spark):
+    rng = random.Random(6)
+    rows = [(f"e{i:02d}", f"t{j}", m, a, rng.gauss(0, 1), rng.gauss(0, 0.3)) for i in range(24) for j in range(5) for m in ("base", "full") for a in (1, 10)]
+    truth = {(e, t): y for e, t, _, _, y, _ in rows}  # one truth an entity and target
+    rows = [(e, t, m, a, truth[e, t], p) for e, t, m, a, _, p in rows]
+    scopes = [("all", f"e{i:02d}", f"s{i % 3}") for i in range(24)] + [("some", f"e{i:02d}", f"s{i % 3}") for i in range(0, 24, 2)] + [("all", "e99", "s0")]
+    frame = spark.createDataFrame([*rows, ("e00", "t9", "base", 1, None, 0.0), ("e00", "t9", "full", 1, 1.0, None)], "e string, t string, m string, a int, truth double, predicted double")
+    within = spark.createDataFrame([*scopes, scopes[0]], "scope string, e string, s string")  # an entity that stands twice counts once
+    out = {(r["scope"], r["m"], r["a"]): r for r in metrics.scope_gains(frame, within, "e", "a", "m", "base", "s", 40, "x").collect()}
+    each = {(r["scope"], r["m"], r["a"], r["t"]): r for r in metrics.target_gains(frame, within, "e", "a", "m", "base", "t").collect()}
+
+    def r2(scope, m, a, target=None):
+        own = {e for s, e, _ in scopes if s == scope}
+        use = [(y, p) for e, t, mm, aa, y, p in rows if e in own and mm == m and aa == a and target in (None, t)]
+        return 1 - sum((y - p) ** 2 for y, p in use) / sum(y * y for y, _ in use)
+
+    assert len(out) == 8 and len(each) == 40
+    for (scope, m, a), r in out.items():
+        assert r["n"] == (24 if scope == "all" else 12)
+        assert np.allclose([r["r2"], r["delta_r2"]], [r2(scope, m, a), r2(scope, m, a) - r2(scope, "base", a)])
+        assert r["ci_low"] <= r["boot_median"] <= r["ci_high"] and (m == "full" or r["ci_low"] == r["ci_high"] == 0)
+    for (scope, m, a, t), r in each.items():
+        assert np.allclose([r["r2"], r["delta_r2"]], [r2(scope, m, a, t), r2(scope, m, a, t) - r2(scope, "base", a, t)])
+    assert metrics.scope_gains(frame.limit(0), within, "e", "a", "m", "base", "s", 5, "x").count() == 0
