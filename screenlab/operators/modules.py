@@ -22,6 +22,7 @@ from ..sources.publish import staged
 from . import linalg
 from .graph import extensions
 from .ranking import placed
+from .resample import repeated
 
 
 def partialled(train: linalg._STATE, held: linalg._STATE, q: int, alpha: float, scaled: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
@@ -63,7 +64,7 @@ def shuffled(rows: DataFrame, entity: str, context: str, values: list[str], draw
     A context may hold any share of the rows: places are counted inside ranges of hashes, not by sorting a context in one task.
     """
     lot = lambda *parts: F.conv(F.substring(hash_key(*parts), 1, 12), 16, 10).cast("double")
-    keys = rows.select(entity, context).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))) if draws else None
+    keys = repeated(rows.select(entity, context), entity, F.col("id").cast("int"), 1, draws + 1) if draws else None
     plain = rows.withColumn("draw", F.lit(0))
     if keys is None:
         return plain
