@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,29 +69,63 @@ def linked_groups(df: DataFrame, group: str, cluster: str) -> DataFrame:
         labels = after.select("g", F.col("n").alias("l"))
 
 
-def balanced_folds(df: DataFrame, group: str, cluster: str, folds: int, greedy: int = 4096) -> DataFrame:
+def _turns(load: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where ``m`` components of one size ``n`` leave off that go to the lightest fold one after the other, from ``load``; all by row.
+
+    Fold i takes its j-th one at weight load_i + j * n, so they go in the order of (weight, fold): whole turns by weight div n, then
+    some folds of the next one by the rest. Gives the whole turns of each fold, the order of the rest, who of it is in the next turn, and how many of these are through.
+    """
+    whole, rest = load // n[:, None], load % n[:, None]
+    sums = np.cumsum(np.sort(whole, axis=1), axis=1)
+    level = ((m[:, None] + sums) // np.arange(1, load.shape[1] + 1)).min(axis=1)[:, None]
+    turns = np.maximum(level - whole, 0)
+    order = np.argsort(rest, axis=1, kind="stable")
+    return turns, order, np.take_along_axis(whole <= level, order, axis=1), m - turns.sum(axis=1)
+
+
+def balanced_folds(df: DataFrame, group: str, cluster: str, folds: int, greedy: int | None = None) -> DataFrame:
     """group, component, fold: groups that share a cluster stay together, components go to the lightest fold, the largest first.
 
-    Size is the number of rows; ties go to the smaller component and the lower fold. The ``greedy`` largest components are dealt like that, one
-    after the other; smaller ones, where there are more, by turns there and back in order of size, so no task holds them all.
+    Size is the number of rows; ties go to the smaller component and the lower fold. What equal components do is known from their number
+    (``_turns``), so one task follows the loads over the different sizes alone, and each component finds its fold by its place among those of its
+    size. Only if ``greedy`` is given are components after the first ``greedy`` dealt by turns there and back in order of size.
     """
     named = staged(linked_groups(df, group, cluster), "components")
     sizes = df.join(named, group).groupBy("component").agg(F.count("*").alias("n"))
     ranked = placed(sizes.withColumn("__v", -F.col("n").cast("double")), [], "__v", "component").select("component", "n", "place")
-    head = ranked.filter(F.col("place") <= greedy).agg(F.array_sort(F.collect_list(F.struct("place", "component", "n"))).alias("c"))  # ``greedy`` at most
-    zeros = F.array_repeat(F.lit(0).cast("long"), folds)
-    kind = f"array<struct<component:{dict(sizes.dtypes)['component']},fold:int>>"
-    start = F.struct(zeros.alias("load"), F.array().cast(kind).alias("out"))
-
-    def deal(state, x):
-        at = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        load = F.transform(state["load"], lambda v, i: F.when(i == at, v + x["n"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(state["out"], F.array(F.struct(x["component"].alias("component"), at.alias("fold")))).alias("out"))
-
-    dealt = head.select(F.explode(F.aggregate("c", start, deal, lambda s: s["out"])).alias("x")).select("x.component", "x.fold")
-    turn = F.pmod(F.col("place") - 1, F.lit(2 * folds))
-    rest = ranked.filter(F.col("place") > greedy).select("component", F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold"))
-    return named.join(dealt.unionByName(rest), "component").select(group, "component", "fold")
+    head = ranked if greedy is None else ranked.filter(F.col("place") <= greedy)
+    runs = head.groupBy("n").agg(F.count("*").alias("k"), F.min("place").alias("first"))
+
+    def follow(batches):
+        load = np.zeros((1, folds), np.int64)
+        for batch in batches:
+            n, k, out = batch.column("n").to_numpy(), batch.column("k").to_numpy(), []
+            for i in range(len(n)):
+                out.append(load[0])
+                turns, order, next_, left = _turns(load, n[i : i + 1], k[i : i + 1])
+                more = np.zeros_like(load)
+                np.put_along_axis(more, order, (next_ & (np.cumsum(next_, axis=1) <= left[:, None])).astype(np.int64), axis=1)
+                load = load + n[i] * (turns + more)
+            yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("first"), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], names=["__n", "__first", "__load"])
+
+    def deal(batches):
+        for batch in batches:
+            if batch.num_rows:
+                load = batch.column("__load").flatten().to_numpy().reshape(batch.num_rows, -1)
+                _, order, next_, left = _turns(load, batch.column("n").to_numpy(), batch.column("m").to_numpy())
+                at = np.argmax(next_ & (np.cumsum(next_, axis=1) == left[:, None] + 1), axis=1)
+                fold = np.take_along_axis(order, at[:, None], axis=1)[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column("component"), pa.array(fold, pa.int32())], names=["component", "fold"])
+
+    # a row for each size that components have
+    loads = runs.repartition(1).sortWithinPartitions(F.desc("n")).mapInArrow(follow, "__n long, __first long, __load array<long>")
+    own = head.join(loads, head["n"] == loads["__n"]).select("component", "n", (F.col("place") - F.col("__first")).cast("long").alias("m"), "__load")
+    dealt = own.mapInArrow(deal, f"component {dict(sizes.dtypes)['component']}, fold int")
+    if greedy is not None:
+        turn = F.pmod(F.col("place") - 1, F.lit(2 * folds))
+        rest = ranked.filter(F.col("place") > greedy).select("component", F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold"))
+        dealt = dealt.unionByName(rest)
+    return named.join(dealt, "component").select(group, "component", "fold")
 
 
 def replayed(frozen: DataFrame, rows: DataFrame, entity: str) -> DataFrame:
