@@ -10,7 +10,7 @@ from ..sources.tables import exact_sum, labelled_cells, suppliers, table
 from .duals import _SQL as _BOUGHT
 from .duals import _tables as _bought
 from .evaluation import metric_rows
-from .register import METRIC_SQL, Register, cell_sql, six
+from .register import METRIC_SQL, Register, as_sql, cell_sql, six
 from .screening import _HASH, _draws, _q
 
 register = Register()
@@ -42,7 +42,7 @@ SELECT split, brand, points.n, median, above, coalesce(n_pairs, 0) AS n_pairs, p
 def split_evidence(spark, sf):
     """What customers return against what those of the training split keep, for each brand, in the two splits that are not locked."""
     made = cohorts.split_evidence(*_arms(spark, sf), "customer", "brand", "v", "is_case", 100, "paired")
-    return made.withColumns({c: six(c) for c in ("median", "above", "paired_median", "ci_low", "boot_median", "ci_high")})
+    return made.withColumns({c: as_sql(c) for c in ("median", "above", "paired_median", "ci_low", "boot_median", "ci_high")})
 
 
 @register(f"""WITH {_ARMS_SQL}, h AS (SELECT customer, bool_or(is_case) AS x, bool_or(NOT is_case) AS y FROM arms GROUP BY customer)

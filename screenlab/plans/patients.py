@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cohorts, counts, evidence, metrics, ranking, relational, transfer
 from ..sources.tables import event_counts, held_out_predictions, labelled_cells, screen_cells, table
 from .evaluation import metric_rows
-from .register import EVENT_SQL, METRIC_SQL, PRED_SQL, Register, cell_sql, six
+from .register import EVENT_SQL, METRIC_SQL, PRED_SQL, Register, as_sql, cell_sql, six
 from .screening import _draws
 
 register = Register()
@@ -60,7 +60,8 @@ def paired_direction(spark, sf):
     pairs = transfer.paired_difference(_lines(spark, sf), ["p_brand", "l_suppkey"], F.col("l_returnflag") == "R", "l_quantity").withColumn("difference", six("difference", 9))
     expected = F.when(F.char_length("p_brand") % 2 == 0, 1).otherwise(-1)
     made = cohorts.direction_test(pairs, ["p_brand"], "l_suppkey", "difference", expected, 50, "direction")
-    return made.select("p_brand", "n", *[six(c, 4).alias(c) for c in ("median", "ci_low", "ci_high")], "verdict")
+    # the SQL's bounds have nine digits before they have four
+    return made.select("p_brand", "n", as_sql("median", 4).alias("median"), *[as_sql(as_sql(c, 9), 4).alias(c) for c in ("ci_low", "ci_high")], "verdict")
 
 
 @register(_CELL + ", r AS (SELECT *, row_number() OVER (PARTITION BY lineage, row_id ORDER BY value, col_id) AS r FROM cell) SELECT lineage, col_id, count(*) AS n, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.1), 9) AS q10, round(avg(r), 6) AS mean_place, round(count(*) FILTER (r <= 10) / count(*)::DOUBLE, 6) AS frequency FROM r GROUP BY ALL")
