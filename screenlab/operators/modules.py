@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import hash_key
 from ..sources.publish import staged
 from . import linalg
-from .graph import extensions
+from .graph import moves
 from .ranking import placed
 from .resample import repeated
 
@@ -175,7 +175,7 @@ def search(edges: DataFrame, genes: DataFrame, products: DataFrame, names: list[
         best = best.join(top, ["draw", "method"], "left").select("draw", "method", F.when(F.col("top.objective") > F.col("best.objective"), F.col("top")).otherwise(F.col("best")).alias("best"))
         if step + 1 == budget or live.isEmpty():
             break
-        grown = extensions(live.select("draw", "method", "chosen", "nodes", "objective"), edges, worths, "gene", "worth", budget).filter(F.col("__gene").isNotNull())
+        grown = moves(live.select("draw", "method", "chosen", "nodes", "objective"), edges, worths, "gene", "worth", budget)
         made = grown.select("draw", "method", state.alias("before"), "__gene", F.sort_array(F.array_append("chosen", F.col("__gene"))).alias("chosen"), F.col("__nodes").alias("nodes"))
     found = best.select("draw", "method", "best.*").filter(F.size("chosen") > 0)
     return found.join(memo.withColumnRenamed("members", "chosen"), ["draw", "chosen"]).select("draw", "method", "chosen", "nodes", "objective", "reward"), memo
