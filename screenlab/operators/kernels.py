@@ -121,9 +121,11 @@ def _scaled(x: np.ndarray, train: np.ndarray, least: float) -> np.ndarray:
     return z[:, keep] / sd[keep]
 
 
-def fold_kernels(cells: DataFrame, folds: Folds, entity: str, column: str, value: str, bucket_cells: int = 1 << 20, least: float = 1e-8) -> DataFrame:
+def fold_kernels(cells: DataFrame, folds: Folds, entity: str, column: str, value: str, bucket_cells: int = 1 << 20, least: float = 1e-8, dense_cells: int = 1 << 20) -> DataFrame:
     """fold, i, j, used, values: tiles (rows i, columns j, i <= j) of each fold's kernel over all entities, and the columns used.
 
+    A bucket's columns are spread over all entities ``dense_cells`` at a time, so columns with few cells take no more memory.
+
     Cells that are missing or NULL are at the column's training mean; a cell that stands twice is an error, a cell
     of an unknown entity or without a column is left out.
     """
@@ -135,25 +137,54 @@ def fold_kernels(cells: DataFrame, folds: Folds, entity: str, column: str, value
     rows = rows.withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int")).select("__b", "__e", "__c", "__v")
     train = folds.train
 
-    def products(bucket: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def products(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
         table = pa.Table.from_batches(parts)
         names = table.column("__c").combine_chunks().dictionary_encode()
         names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
         e, c = table.column("__e").to_numpy(), names.indices.to_numpy()
         if len(np.unique(e.astype(np.int64) * len(names.dictionary) + c)) < len(e):
             raise ValueError("a cell of an entity and a column stands twice")
-        x = np.full((n, len(names.dictionary)), np.nan)
-        x[e, c] = table.column("__v").to_numpy(zero_copy_only=False)
+        v = table.column("__v").to_numpy(zero_copy_only=False)
+        order = np.argsort(c, kind="stable")
+        e, c, v = e[order], c[order], v[order]
+        cuts = [*range(0, len(names.dictionary), max(1, dense_cells // max(n, 1))), len(names.dictionary)]
+
+        def scaled(fold: int, low: int, high: int) -> np.ndarray:
+            """Columns from ``low`` up to ``high``: all entities are there, so few columns at a time, however few cells these have."""
+            start, end = np.searchsorted(c, (low, high))
+            x = np.full((n, high - low), np.nan)
+            x[e[start:end], c[start:end] - low] = v[start:end]
+            return _scaled(x, train[fold], least)
+
         for fold in range(len(train)):
-            z = _scaled(x, train[fold], least)
+            whole = scaled(fold, 0, cuts[-1]) if len(cuts) <= 2 else None
             for i in range(0, n, _TILE):
+                sums, used = np.zeros((min(_TILE, n - i), n - i)), 0
+                for low, high in zip(cuts, cuts[1:]):
+                    z = scaled(fold, low, high) if whole is None else whole
+                    sums += z[i : i + _TILE] @ z[i:].T
+                    used += z.shape[1]
                 for j in range(i, n, _TILE):
-                    part = z[i : i + _TILE] @ z[j : j + _TILE].T
-                    yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([i // _TILE], pa.int32()), pa.array([j // _TILE], pa.int32()), pa.array([bucket], pa.int32()), pa.array([z.shape[1]], pa.int64()), pa.array([part.ravel()], pa.list_(pa.float64()))], names=["fold", "i", "j", "bucket", "used", "values"])
+                    yield (fold, i // _TILE, j // _TILE), used, sums[:, j - i : j - i + _TILE].ravel()
+
+    def tiles(made: Iterator[tuple], bucket: int) -> Iterator[pa.RecordBatch]:
+        for (fold, i, j), used, values in made:
+            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([bucket], pa.int32()), pa.array([used], pa.int64()), pa.array([values], pa.list_(pa.float64()))], names=["fold", "i", "j", "bucket", "used", "values"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        now = None
+        now = first = None
+        added: dict[tuple, list] = {}  # a task's sums over all its buckets, where kernels are small
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if len(train) * n * n > dense_cells * 4:
+                yield from tiles(products(held), now)
+                return
+            for at, used, values in products(held):
+                own = added.setdefault(at, [0, np.zeros(len(values))])
+                own[0] += used
+                own[1] += values
+
         for batch in batches:
             b = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
@@ -161,12 +192,14 @@ def fold_kernels(cells: DataFrame, folds: Folds, entity: str, column: str, value
                 if start == end:
                     continue
                 if now is not None and b[start] != now:
-                    yield from products(now, held)
+                    yield from made()
                     held = []
                 now = int(b[start])
+                first = now if first is None else first
                 held.append(batch.slice(start, end - start))
         if held:
-            yield from products(now, held)
+            yield from made()
+        yield from tiles(((at, *own) for at, own in added.items()), first)
 
     def total(group: pa.Table) -> pa.Table:
         group = group.sort_by("bucket")
@@ -288,8 +321,10 @@ def dual_predictions(kernels: DataFrame, targets: DataFrame, folds: Folds, entit
         k, tr, he = _assembled(tiles, n), np.flatnonzero(train[fold]), np.flatnonzero(held[fold])
         own = own.sort_by("target")
         y = np.full((n, own.num_rows), np.nan)
-        for t, values in enumerate(own.column("y").to_pylist()):
-            y[[v["__e"] for v in values], t] = [v["v"] for v in values]
+        lists = own.column("y").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        cells = lists.flatten()
+        y[np.asarray(cells.field("__e")), np.repeat(np.arange(own.num_rows), np.asarray(lists.value_lengths()))] = np.asarray(cells.field("v"))
         seen = ~np.isnan(y[tr])
         _, groups = np.unique(np.packbits(seen.T, axis=1), axis=0, return_inverse=True)
         names, made = own.column("target").combine_chunks(), []
@@ -299,12 +334,12 @@ def dual_predictions(kernels: DataFrame, targets: DataFrame, folds: Folds, entit
                 continue
             mean = np.nanmean(y[np.ix_(tr, at)], axis=0)
             truth = y[np.ix_(he, at)] - mean
-            who = pa.array([ids[i] for i in he for _ in at], arrow.field("entity").type)
+            who = pa.array([ids[i] for i in he], arrow.field("entity").type).take(pa.array(np.repeat(np.arange(len(he)), len(at))))
             what = names.take(pa.array(np.tile(at, len(he))))
             for method, choices in options.items():
                 for option, raw in enumerate(METHODS[method](k, tr, he, y[:, at], choices)):
                     size = raw.size
-                    columns = [pa.array(np.full(size, fold), pa.int32()), pa.array([method] * size), pa.array(np.full(size, option), pa.int32()), who, what, pa.array(truth.ravel(), from_pandas=True), pa.array(np.round((raw - mean).ravel(), 9), from_pandas=True)]
+                    columns = [pa.array(np.full(size, fold), pa.int32()), pa.repeat(method, size), pa.array(np.full(size, option), pa.int32()), who, what, pa.array(truth.ravel(), from_pandas=True), pa.array(np.round((raw - mean).ravel(), 9), from_pandas=True)]
                     made.append(pa.table(columns, schema=arrow))
         return pa.concat_tables(made) if made else arrow.empty_table()
 

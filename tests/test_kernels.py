@@ -224,3 +224,17 @@ def test_vectors_and_gaps_in_moments(spark):
     for bad in ("CAST(NULL AS array<double>)", "array(1.0D)", "array(1.0D, CAST(NULL AS double))"):
         with pytest.raises(Exception, match="vector"):
             linalg.moments(frame.withColumn("v", F.when(F.col("id") == 5, F.expr(bad)).otherwise(F.col("v"))), "g", "v", ["b"]).count()
+
+
+def test_columns_with_few_cells_are_spread_few_at_a_time(spark):
+    """A bucket of one cell a column: no more dense cells at a time than asked for, one row of sums a task and tile, the same kernel."""
+    rng = np.random.default_rng(8)
+    rows = [(f"e{i % 30:02d}", c, float(rng.normal())) for c in range(400) for i in range(c, c + (1 if c % 2 else 12))]
+    cells = spark.createDataFrame(rows, "id string, f int, v double")
+    groups = spark.createDataFrame([(f"e{i:02d}", f"g{i % 3}") for i in range(30)], "id string, g string")
+    folds = kernels.group_folds(groups, "id", "g")
+    big, small = (kernels.fold_kernels(cells, folds, "id", "f", "v", size, 1e-8, dense) for size, dense in ((1 << 20, 1 << 20), (300, 30 * 16)))
+    pick = lambda made: {(r["fold"], r["i"], r["j"]): (r["used"], np.array(r["values"])) for r in made.collect()}
+    a, b = pick(big), pick(small)
+    assert a.keys() == b.keys() and len(a) == 3
+    assert all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1], atol=1e-9) for k in a)
