@@ -174,7 +174,8 @@ def _bounds(*more: str) -> dict:
 
 @register("WITH " + _draws("c_mktsegment", "c_custkey", "customer", "boot", "c_mktsegment") + f", p AS (SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 3) AS estimate FROM customer GROUP BY ALL), s AS (SELECT c_mktsegment, draw, avg(c_acctbal) AS stat FROM d GROUP BY ALL) SELECT c_mktsegment, any_value(p.n) AS n, any_value(p.estimate) AS estimate, {_q('stat')} FROM s JOIN p USING (c_mktsegment) GROUP BY c_mktsegment")
 def bootstrap_mean(spark, sf):
-    return resample.bootstrap(table(spark, sf, "customer").select("c_mktsegment", "c_custkey", "c_acctbal"), ["c_mktsegment"], "c_custkey", F.avg("c_acctbal"), 100, "boot").withColumns(_bounds("estimate"))
+    sums, mean = resample.mean_sums("c_acctbal")
+    return resample.bootstrap(table(spark, sf, "customer"), ["c_mktsegment"], "c_custkey", mean, 100, "boot", sums).withColumns(_bounds("estimate"))
 
 
 @register("WITH " + _draws("s_nationkey", "s_suppkey", "supplier", "boot", "CAST(s_nationkey AS VARCHAR)") + f", p AS (SELECT s_nationkey, count(*) AS n, round(median(s_acctbal), 3) AS estimate FROM supplier GROUP BY ALL), s AS (SELECT s_nationkey, draw, median(s_acctbal) AS stat FROM d GROUP BY ALL) SELECT s_nationkey, any_value(p.n) AS n, any_value(p.estimate) AS estimate, {_q('stat')} FROM s JOIN p USING (s_nationkey) GROUP BY s_nationkey")
@@ -184,7 +185,7 @@ def bootstrap_median(spark, sf):
 
 @register("WITH " + _draws("c_nationkey", "c_custkey", "customer", "boot", "CAST(c_nationkey AS VARCHAR)") + f", p AS (SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal) / sum(abs(c_acctbal)), 6) AS estimate FROM customer GROUP BY ALL), s AS (SELECT c_nationkey, draw, sum(c_acctbal) / sum(abs(c_acctbal)) AS stat FROM d GROUP BY ALL) SELECT c_nationkey, any_value(p.n) AS n, any_value(p.estimate) AS estimate, {_q('stat', 6)} FROM s JOIN p USING (c_nationkey) GROUP BY c_nationkey")
 def bootstrap_ratio(spark, sf):
-    made = resample.bootstrap(table(spark, sf, "customer"), ["c_nationkey"], "c_custkey", F.sum("c_acctbal") / F.sum(F.abs("c_acctbal")), 100, "boot")
+    made = resample.bootstrap(table(spark, sf, "customer"), ["c_nationkey"], "c_custkey", F.sum("v") / F.sum("size"), 100, "boot", {"v": F.col("c_acctbal"), "size": F.abs("c_acctbal")})
     return made.withColumns({c: six(c) for c in ("estimate", "ci_low", "boot_median", "ci_high")})
 
 

@@ -165,7 +165,7 @@ def json_round_trip(spark, sf):
 
 @register("WITH " + _draws("c_mktsegment", "c_custkey", "customer", "ratio", "c_mktsegment") + f", s AS (SELECT draw, sum(c_acctbal) / sum(abs(c_acctbal)) AS stat FROM d GROUP BY draw) SELECT {_q('stat', 6)} FROM s")
 def bootstrap_ratio_strata(spark, sf):
-    return resample.bootstrap_pooled(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", F.sum("c_acctbal") / F.sum(F.abs("c_acctbal")), 100, "ratio").withColumns({c: six(c) for c in ("ci_low", "boot_median", "ci_high")})
+    return resample.bootstrap_pooled(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", F.sum("v") / F.sum("size"), 100, "ratio", {"v": F.col("c_acctbal"), "size": F.abs("c_acctbal")}).withColumns({c: six(c) for c in ("ci_low", "boot_median", "ci_high")})
 
 
 _DIFF = "x AS (SELECT s_suppkey, s_nationkey, r, n FROM (SELECT l_suppkey, avg(l_quantity) FILTER (l_returnflag = 'R') AS r, avg(l_quantity) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY l_suppkey) JOIN supplier ON l_suppkey = s_suppkey WHERE r IS NOT NULL AND n IS NOT NULL)"
@@ -176,7 +176,8 @@ def bootstrap_paired_strata(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("arm", F.when(F.col("l_returnflag") == "R", "r").otherwise("n"))
     wide = relational.pivoted(lines, ["l_suppkey"], "arm", ["r", "n"], F.avg("l_quantity")).dropna(subset=["r", "n"])
     rows = wide.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_nationkey", (F.col("r") - F.col("n")).alias("diff"))
-    return resample.bootstrap_pooled(rows, "s_nationkey", "s_suppkey", F.avg("diff"), 100, "paired").withColumns({c: six(c) for c in ("ci_low", "boot_median", "ci_high")})
+    sums, mean = resample.mean_sums("diff")
+    return resample.bootstrap_pooled(rows, "s_nationkey", "s_suppkey", mean, 100, "paired", sums).withColumns({c: six(c) for c in ("ci_low", "boot_median", "ci_high")})
 
 
 @register("WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal, r_name AS lineage FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), a AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY s_suppkey) AS p FROM s), b AS (SELECT draw, lineage, s_acctbal, row_number() OVER (PARTITION BY draw, lineage ORDER BY sha256('null' || CAST(draw AS VARCHAR) || '|' || CAST(s_suppkey AS VARCHAR)), s_suppkey) AS p FROM s, range(20) t(draw)), m AS (SELECT draw, s_nationkey, avg(b.s_acctbal) AS m FROM a JOIN b ON a.lineage = b.lineage AND a.p = b.p GROUP BY ALL) SELECT draw, arg_min(s_nationkey, (round(m, 4), s_nationkey)) AS chosen, round(min(m), 4) AS score FROM m GROUP BY draw")
