@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite_below
 from ..sources.publish import staged
 from .ranking import ordinal_rank, top_k, top_lists
-from .resample import bootstrap, drawn, interval
+from .resample import bootstrap, drawn, fused_interval, interval
 
 
 def recovery_classes(wanted: DataFrame, measured: DataFrame, aliases: DataFrame, approved: DataFrame, key: str) -> DataFrame:
@@ -163,7 +163,7 @@ def split_evidence(cells: DataFrame, splits: DataFrame, entity: str, column: str
     over = F.col("__x") - F.col("__r")
     points = wide.filter("__x IS NOT NULL").join(reference, column).groupBy("split", column).agg(F.count("*").alias("n"), F.median(over).alias("median"), F.avg((over > 0).cast("double")).alias("above"))
     pairs = wide.filter("__x IS NOT NULL AND __y IS NOT NULL").select("split", column, entity, (F.col("__x") - F.col("__y")).alias("__d"))
-    paired = bootstrap(pairs, ["split", column], entity, F.median("__d"), draws, seed).withColumnsRenamed({"n": "n_pairs", "estimate": "paired_median"})
+    paired = bootstrap(pairs, ["split", column], entity, F.median("__d"), draws, seed, bounds=fused_interval).withColumnsRenamed({"n": "n_pairs", "estimate": "paired_median"})
     return points.join(paired, ["split", column], "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
 
 
