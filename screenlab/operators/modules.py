@@ -9,7 +9,9 @@ and sorted set keeps scores, so no set is scored twice.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from ..sources.publish import staged
 from . import linalg
 from .graph import moves
 from .ranking import placed
-from .resample import repeated
+from .resample import numbered, repeated
 
 
 def partialled(train: linalg._STATE, held: linalg._STATE, q: int, alpha: float, scaled: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
@@ -81,7 +83,12 @@ def fold_products(rows: DataFrame, fold: str, vector: str, target: str, q: int,
     ``vector`` holds ``q`` nuisance columns, then the genes' columns; the last row and column of products is the target's, ``total`` its held-out sum of squares about the training mean.
     """
     keyed = rows.withColumn("__key", F.concat_ws("|", F.lpad(F.col("draw").cast("string"), 9, "0"), F.col(fold).cast("string")))
-    states = linalg.moments(keyed, "__key", vector, [target]).filter("part = -1").withColumn("draw", F.split("__key", r"\|")[0].cast("int"))
+    return _products(linalg.moments(keyed, "__key", vector, [target]), q, alpha)
+
+
+def _products(states: DataFrame, q: int, alpha: float) -> DataFrame:
+    """``fold_products`` from states by draw and fold."""
+    states = states.filter("part = -1").withColumn("draw", F.split("__key", r"\|")[0].cast("int"))
 
     def apart(group: pa.Table) -> pa.Table:
         group = group.sort_by("__key")
@@ -97,6 +104,131 @@ def fold_products(rows: DataFrame, fold: str, vector: str, target: str, q: int,
     return states.groupBy("draw").applyInArrow(apart, "draw int, fold int, columns int, total double, train array<double>, held array<double>")
 
 
+def _lots(seed: str, side: str, draw: int, keys: list[bytes]) -> np.ndarray:
+    """The first 48 bits of ``hash_key`` of seed and side, draw and key."""
+    start, out = f"{seed}/{side}|{draw}|".encode(), np.zeros((len(keys), 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b"".join([sha256(start + k).digest() for k in keys]), np.uint8).reshape(-1, 32)[:, :6]
+    return out.view(">u8")[:, 0].astype(np.int64)
+
+
+def shuffled_products(rows: DataFrame, entity: str, context: str, fold: str, kept: str, values: str, target: str, draws: int, seed: str, q: int, alpha: float, most: int = 1 << 21, block: int = 1 << 15) -> DataFrame:
+    """``fold_products`` of ``shuffled`` rows, with ``kept`` and then ``values`` for a vector; no row of a draw is ever made.
+
+    ``entity`` is a key. Hashes meet packed, a group for each draw and context; what a row keeps goes from there to the
+    block its donor is in, which adds up products by draw and fold, so values never travel with a draw. A context of more
+    than ``most`` rows is cut by place: hashes are counted in bins first, and a bin on a cut goes to both sides.
+    """
+    keyed = rows.select("*", F.concat_ws("|", F.lit("000000000"), F.col(fold).cast("string")).alias("__key"), F.concat(kept, values).alias("__v"))
+    plain = linalg.moments(keyed, "__key", "__v", [target])
+    if not draws:
+        return _products(plain, q, alpha)
+    tails = sorted(r[0] for r in keyed.select(F.substr("__key", F.lit(10))).distinct().collect())  # a row a fold
+    code = (F.array_position(F.array(*[F.lit(t) for t in tails]), F.substr("__key", F.lit(10))) - 1).cast("int")
+    own = keyed.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("__e"), F.col(context).alias("__ctx"), code.alias("__fold"), F.concat(F.col(kept).cast("array<double>"), F.array(F.col(target).cast("double"))).alias("__given"), F.col(values).cast("array<double>").alias("__x"))
+    own = staged(numbered(own, ["__ctx"], "__e"), "numbered")
+    kind = own.schema["__ctx"].dataType
+    dealt = own.select(F.col("__e").cast("string").alias("__e"), "__ctx", "__pos", "__fold", "__given")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, many = dealt.repartition(n, "__e"), max(n, draws)
+    sizes = {r[0]: r[1] for r in own.filter(f"__pos = 0 AND __size > {most}").select("__ctx", "__size").collect()}  # contexts of more than ``most`` rows
+    width, before = {c: -(-m // -(-m // most)) for c, m in sizes.items()}, {}
+    bins = {c: 16 * -(-m // width[c]) for c, m in sizes.items()}
+    lot, sides = [("high", "<u4"), ("low", "<u2"), ("pos", "<i4")], ("rows", "donors")
+
+    def hashed(batches):
+        """Batch, its rows by context, draw, side and hashes."""
+        for batch in batches:
+            if batch.num_rows:
+                codes = batch.column("__ctx").dictionary_encode("encode")
+                at = codes.indices.to_numpy()
+                groups = [(c, np.flatnonzero(at == k)) for k, c in enumerate(codes.dictionary.to_pylist())]
+                keys = [k.encode() for k in batch.column("__e").to_pylist()]
+                for draw in range(1, draws + 1):
+                    for side in (0, 1):
+                        yield batch, groups, draw, side, _lots(seed, sides[side], draw, keys)
+
+    def counted(batches):
+        for batch, groups, draw, side, lots in hashed(batches):
+            for c, at in groups:
+                if c in bins:
+                    k, m = np.unique(lots[at] * bins[c] >> 48, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(k), batch.column("__ctx").type), pa.array([draw] * len(k), pa.int32()), pa.array([side] * len(k), pa.int32()), pa.array(k, pa.int32()), pa.array(m)], names=["c", "draw", "side", "bin", "n"])
+
+    if sizes:
+        kinds = T.StructType([T.StructField("c", kind), *[T.StructField(x, T.IntegerType()) for x in ("draw", "side", "bin")], T.StructField("n", T.LongType())])
+        counts = dealt.join(F.broadcast(own.filter(f"__pos = 0 AND __size > {most}").select(F.col("__ctx").alias("__big"))), F.col("__ctx").eqNullSafe(F.col("__big")), "left_semi").mapInArrow(counted, kinds)
+        for r in counts.groupBy("c", "draw", "side", "bin").agg(F.sum("n").alias("n")).toLocalIterator():  # 16 bins for ``most`` rows of a draw
+            before.setdefault((r["c"], r["draw"], r["side"]), np.zeros(bins[r["c"]] + 1, np.int64))[r["bin"] + 1] = r["n"]
+        before = {k: np.cumsum(x) for k, x in before.items()}
+
+    def packed(batches):
+        for batch, groups, draw, side, lots in hashed(batches):
+            given = batch.column("__given").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            made = np.zeros(batch.num_rows, lot if side else [*lot, ("fold", "<i2"), ("given", "<f8", given.shape[1:])])
+            made["high"], made["low"], made["pos"] = lots >> 16, lots & 0xFFFF, batch.column("__pos").to_numpy()
+            if not side:
+                made["fold"], made["given"] = batch.column("__fold").to_numpy(), given
+            out = []
+            for c, at in groups:
+                part = np.zeros(len(at), int)
+                if c in bins:
+                    first = before[c, draw, side]
+                    k = lots[at] * bins[c] >> 48
+                    low, times = first[k] // width[c], (first[k + 1] - 1) // width[c] - first[k] // width[c] + 1
+                    at = np.repeat(at, times)
+                    part = np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(at))
+                out += [(c, int(p), made[at[part == p]].tobytes()) for p in np.unique(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([draw] * len(out), pa.int32()), pa.array([c for c, _, _ in out], batch.column("__ctx").type), pa.array([p for _, p, _ in out], pa.int32()), pa.array([side] * len(out), pa.int32()), pa.array([b for _, _, b in out], pa.binary()), pa.array([given.shape[1]] * len(out), pa.int32())], names=["draw", "__ctx", "__part", "side", "packed", "m"])
+
+    def paired(group: pa.Table) -> pa.Table:
+        draw, c, part, m = (group.column(x)[0].as_py() for x in ("draw", "__ctx", "__part", "m"))
+        met = []
+        for side in (0, 1):
+            found = group.filter(pa.compute.equal(group.column("side"), side)).column("packed").to_pylist()
+            x = np.frombuffer(b"".join(found), lot if side else [*lot, ("fold", "<i2"), ("given", "<f8", (m,))])
+            x = x[np.lexsort((x["pos"], x["low"], x["high"]))]
+            if c in width:
+                first, low = before[c, draw, side], part * width[c]
+                start = first[np.searchsorted(first, low, side="right") - 1]
+                x = x[low - start : low - start + min(width[c], sizes[c] - low)]
+            met.append(x)
+        to = met[1]["pos"]
+        made = np.zeros(len(to), [("at", "<u2"), ("fold", "<i2"), ("given", "<f8", (m,))])
+        made["at"], made["fold"], made["given"] = to % block, met[0]["fold"], met[0]["given"]
+        blocks = np.unique(to // block)
+        return pa.table([pa.array([c] * len(blocks), group.column("__ctx").type), pa.array(blocks, pa.int32()), pa.array([draw] * len(blocks), pa.int32()), pa.array([made[to // block == b].tobytes() for b in blocks], pa.binary())], names=["__ctx", "__b", "draw", "packed"])
+
+    def summed(sent: pa.Table, values: pa.Table) -> pa.Table:
+        values = values.sort_by("__at")
+        x = values.column("__x").combine_chunks()
+        lengths = set(np.diff(x.offsets.to_numpy()).tolist())
+        if x.null_count or len(lengths) > 1:
+            raise ValueError("a vector is NULL or has another length than the others")
+        x, states = x.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1), {}
+        for draw, packed in zip(sent.column("draw").to_pylist(), sent.column("packed")):
+            m = values.column("__m")[0].as_py()
+            e = np.frombuffer(packed.as_buffer(), [("at", "<u2"), ("fold", "<i2"), ("given", "<f8", (m,))])
+            for k in np.unique(e["fold"]):
+                own = e[e["fold"] == k]
+                own = own[~np.isnan(own["given"][:, -1])]
+                z = np.hstack([own["given"][:, :-1], x[own["at"]], own["given"][:, -1:]])
+                if np.isnan(z).any():
+                    raise ValueError("a vector holds a missing value")
+                if len(z):
+                    key = f"{draw:09d}{tails[k]}"
+                    states[key] = linalg._merged(states.get(key), linalg._state(z, np.ones(len(z))))
+        piece = zlib.crc32(repr((values.column("__ctx")[0].as_py(), values.column("__b")[0].as_py())).encode()) >> 1
+        lists = pa.list_(pa.float64())
+        return pa.table({"__key": pa.array(list(states), pa.string()), "part": pa.array([-1] * len(states), pa.int32()), "n": pa.array([s[0] for s in states.values()], pa.float64()), "mean": pa.array([s[1] for s in states.values()], lists), "cross": pa.array([s[2].ravel() for s in states.values()], lists), "piece": pa.array([piece] * len(states), pa.int32())})
+
+    binary = lambda *x: T.StructType([T.StructField(c, {"__ctx": kind, "packed": T.BinaryType()}.get(c, T.IntegerType())) for c in x])
+    hashes = dealt.mapInArrow(packed, binary("draw", "__ctx", "__part", "side", "packed", "m")).repartition(many, "draw", "__ctx", "__part")
+    sent = hashes.groupBy("draw", "__ctx", "__part").applyInArrow(paired, binary("__ctx", "__b", "draw", "packed"))
+    values = own.select("__ctx", F.floor(F.col("__pos") / block).cast("int").alias("__b"), (F.col("__pos") % block).alias("__at"), "__x", F.size("__given").alias("__m"))
+    pieces = sent.groupBy("__ctx", "__b").cogroup(values.groupBy("__ctx", "__b")).applyInArrow(summed, "__key string, part int, n double, mean array<double>, cross array<double>, piece int")
+    return _products(plain.unionByName(linalg.added_states(pieces, "__key")), q, alpha)
+
+
 def set_rewards(sets: DataFrame, products: DataFrame, names: list[str], width: int, alpha: float) -> DataFrame:
     """draw, members, reward: how much of the held-out sum of squares a set's columns explain beyond nuisance, over all folds.
 

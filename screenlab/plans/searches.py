@@ -54,8 +54,8 @@ def _setting(spark, sf, draws: int):
     """Brands, edges, genes and each draw's products by fold."""
     brands = _brands(spark, sf)
     rows = _vectors(spark, sf, brands)
-    drawn = modules.shuffled(rows, "c_custkey", "context", ["x"], draws, "module-null").withColumn("v", F.concat("c", "x"))
-    return brands, _edges(rows, brands), _genes(spark, brands), staged(modules.fold_products(drawn, "fold", "v", "y", 1, _ALPHA), "products")
+    products = modules.shuffled_products(rows, "c_custkey", "context", "fold", "c", "x", "y", draws, "module-null", 1, _ALPHA)
+    return brands, _edges(rows, brands), _genes(spark, brands), staged(products, "products")
 
 
 def _search(brands, edges, genes, products):
